@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tripletlab.llm import bpe
+from tripletlab.llm import bpe, exact, shard
 
 QUERIES = {
     "op3_bpe": bpe.op3_bpe,
+    "op5_exact_dedup": exact.op5_exact_dedup,
+    "op6_kd_shards": shard.op6_kd_shards,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact.ORACLE}
