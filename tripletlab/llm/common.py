@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,7 +159,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     n = batch.num_rows
     if n == 0:
         return
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     group = (np.cumsum(size) - size) // limit
     cut = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [n]])
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):

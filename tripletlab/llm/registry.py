@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tripletlab.llm import bpe, exact, shard
+from tripletlab.llm import bagminhash, bpe, exact, shard
 
 QUERIES = {
+    "op1_bagminhash": bagminhash.op1_bagminhash,
     "op3_bpe": bpe.op3_bpe,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_kd_shards": shard.op6_kd_shards,
