@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tripletlab.llm import bagminhash, bpe, exact, fmindex, shard
+from tripletlab.llm import bagminhash, bpe, covertree, exact, fmindex, shard
 
 QUERIES = {
     "op1_bagminhash": bagminhash.op1_bagminhash,
+    "op2_cover_tree": covertree.op2_cover_tree,
     "op3_bpe": bpe.op3_bpe,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_kd_shards": shard.op6_kd_shards,
     "op9_fm_substrings": fmindex.op9_fm_substrings,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_cover_tree": covertree.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
     "op9_fm_substrings": fmindex.ORACLE,
 }
