@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tripletlab.llm import bagminhash, bpe, covertree, exact, fmindex, shard
+from tripletlab.llm import bagminhash, bpe, covertree, exact, fmindex, shard, warc
 
 QUERIES = {
     "op1_bagminhash": bagminhash.op1_bagminhash,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_kd_shards": shard.op6_kd_shards,
+    "op8_warc": warc.op8_warc,
     "op9_fm_substrings": fmindex.op9_fm_substrings,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_cover_tree": covertree.ORACLE,
     "op5_exact_dedup": exact.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op9_fm_substrings": fmindex.ORACLE,
 }
