@@ -133,6 +133,13 @@ class Words:
         np.cumsum(_BYTE[data] * _POW.up[: len(data)], out=acc[1:])
         self.hash = mix((acc[self.end] - acc[self.start]) * _POW.down[self.start] + np.uint64(1))
 
+    def spans(self, table: np.ndarray):
+        """A function (start, end) -> hashes of byte ranges, each byte standing
+        for ``table[byte]`` (to fold case, for instance)."""
+        acc = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_BYTE[table][self.data] * _POW.up[: len(self.data)], out=acc[1:])
+        return lambda a, b: mix((acc[b] - acc[a]) * _POW.down[a] + np.uint64(1))
+
     def __len__(self) -> int:
         return len(self.start)
 

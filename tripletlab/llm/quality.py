@@ -3,8 +3,8 @@
 Document evidence.  Two logistic models (low quality, toxicity) are fitted on a
 bounded sample of labelled rows (``max_labels``, 20,000 by default, taken by a
 hash of the identifier).  Features are the shape of a text (shares of symbols,
-capitals, digits, line and word repetition, length) and the presence of the
-``max_words`` words that the labels separate best.  Scoring is one pass over the
+capitals, digits, word repetition, length) and the counts of the
+``max_words`` words and word beginnings that the labels separate best.  Scoring is one pass over the
 whole texts with hashed words.
 
 Site evidence.  Labelled rows are counted by host and by path with one grouped
@@ -46,7 +46,30 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[33:127] = True
 _SYMBOL &= ~(_LETTER | _DIGIT)
 _SYMBOL[[0x2C, 0x2E]] = False
+_FOLD = np.arange(256)
+_FOLD[65:91] += 32
 SHAPES = 9
+PREFIXES = (5, 7)
+
+
+def marks(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word, stripped of symbols around it and with A-Z
+    folded, and of its first 5 and 7 bytes where it is longer."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    a, b = words.start.copy(), words.end.copy()
+    edge = _SYMBOL.copy()
+    edge[[0x2C, 0x2E]] = True
+    for _ in range(4):
+        a += (a < b) & edge[words.data[np.minimum(a, len(words.data) - 1)]]
+        b -= (b > a) & edge[words.data[b - 1]]
+    hashed = words.spans(_FOLD)
+    rows, out = [words.doc], [hashed(a, b)]
+    for n in PREFIXES:
+        long = np.flatnonzero(b - a > n)
+        rows.append(words.doc[long])
+        out.append(hashed(a[long], a[long] + n) ^ np.uint64(n))
+    return np.concatenate(rows), np.concatenate(out)
 
 
 def shapes(words: Words, n: int) -> np.ndarray:
@@ -111,7 +134,8 @@ class Model:
         parts = []
         for a in range(0, len(texts), 500):
             w = Words(pa.array(texts[a : a + 500], pa.string()))
-            parts.append((shapes(w, len(texts[a : a + 500])), w.doc + a, w.hash))
+            row, mark = marks(w)
+            parts.append((shapes(w, len(texts[a : a + 500])), row + a, mark))
         shape = np.concatenate([p[0] for p in parts])
         doc = np.concatenate([p[1] for p in parts])
         mark = np.concatenate([p[2] for p in parts])
@@ -124,24 +148,29 @@ class Model:
         best = np.argsort(-gain)[:max_words]
         self.words = np.sort(kinds[best[gain[best] > 0]])
         self.mean, self.scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-        x = np.concatenate([(shape - self.mean) / self.scale, self.marks(doc, mark, len(texts))], axis=1)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
+        x = np.concatenate([(shape - self.mean) / self.scale, self.counts(doc, mark, len(texts))], axis=1)
         self.weights = _fit(x, label.astype(np.float64))
 
-    def marks(self, doc: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
+    def counts(self, doc: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
+        """log(1 + occurrences) of the chosen words in each of n rows."""
         out = np.zeros((n, len(self.words)))
         if len(self.words) and len(mark):
+            some = np.flatnonzero(self.maybe[(mark >> np.uint64(48)).astype(np.int64)])
+            doc, mark = doc[some], mark[some]
             at = np.minimum(np.searchsorted(self.words, mark), len(self.words) - 1)
             hit = self.words[at] == mark
-            out[doc[hit], at[hit]] = 1
-        return out
+            np.add.at(out, (doc[hit], at[hit]), 1)
+        return np.log1p(out)
 
-    def logit(self, words: Words, shape: np.ndarray) -> np.ndarray:
+    def logit(self, found: tuple[np.ndarray, np.ndarray], shape: np.ndarray) -> np.ndarray:
         """Evidence: log-odds of the label less the log-odds of its rate."""
         n = len(shape)
         if self.weights is None:
             return np.zeros(n)
         w = self.weights
-        return ((shape - self.mean) / self.scale) @ w[:SHAPES] + self.marks(words.doc, words.hash, n) @ w[SHAPES:-1] + w[-1] - np.log(self.rate / (1 - self.rate))
+        return ((shape - self.mean) / self.scale) @ w[:SHAPES] + self.counts(*found, n) @ w[SHAPES:-1] + w[-1] - np.log(self.rate / (1 - self.rate))
 
 
 def fit_models(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labels: int, max_words: int) -> dict[str, Model]:
@@ -204,7 +233,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for part in pieces(batch, text_col, 1 << 20):
                 words = Words(part.column(place))
                 shape = shapes(words, part.num_rows)
-                extra = [pa.array(models[c].logit(words, shape)) for c in ("low", "toxic")]
+                found = marks(words)
+                extra = [pa.array(models[c].logit(found, shape)) for c in ("low", "toxic")]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*columns, "_low", "_toxic"])
 
     scored = docs.mapInArrow(run, fields + ", _low double, _toxic double")
