@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tripletlab.llm import bagminhash, bpe, covertree, exact, fmindex, packing, quality, shard, warc
+from tripletlab.llm import bagminhash, bpe, covertree, exact, fmindex, packing, quality, sanitise, shard, warc
 
 QUERIES = {
     "op1_bagminhash": bagminhash.op1_bagminhash,
     "op2_cover_tree": covertree.op2_cover_tree,
     "op3_bpe": bpe.op3_bpe,
+    "op4_sanitise": sanitise.op4_sanitise,
     "op5_exact_dedup": exact.op5_exact_dedup,
     "op6_kd_shards": shard.op6_kd_shards,
     "op7_bayes_quality": quality.op7_bayes_quality,
