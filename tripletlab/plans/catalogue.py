@@ -1,6 +1,562 @@
-"""All registered queries and their DuckDB oracles."""
+"""All registered queries of the profiling operators and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripletlab.functions import sequence as S
+from tripletlab.functions import stats
+from tripletlab.functions.codons import CODE
+from tripletlab.operators import compare as C
+from tripletlab.operators import density as D
+from tripletlab.operators import peaks as K
+from tripletlab.operators import profiles as P
+from tripletlab.operators import reads as R
+from tripletlab.plans.analogs import EV, LN, LN0, events_density, line_counts, line_density, table
+from tripletlab.streaming import windows as W
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def r6(*cols: str):
+    """Round doubles to six places, as the oracles do."""
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+def ev(spark, sf):
+    return events_density(spark, sf)
+
+
+def ln(spark, sf):
+    return D.frame(line_density(spark, sf))
+
+
+def ln0(spark, sf):
+    return D.frame(line_counts(spark, sf))
+
+
+# -- projections, filters, totals -------------------------------------------
+
+
+@query(f"WITH {LN0} SELECT sample, CAST(sum(f0 + f1 + f2) AS BIGINT) AS total FROM ln0 GROUP BY sample")
+def total_counts(spark, sf):
+    return D.totals(ln0(spark, sf))
+
+
+@query(f"WITH {LN0} SELECT name, sample, codon, f0 + f1 + f2 AS all_frames, f1 AS frame1 FROM ln0")
+def frame_projection(spark, sf):
+    d = D.frame(line_counts(spark, sf), "all", "all_frames")
+    return D.frame(d, "1", "frame1").select("name", "sample", "codon", "all_frames", "frame1")
+
+
+@query(f"WITH {EV} SELECT name, pos, codon, from_tis, from_tts, round(x, 6) AS x FROM ev WHERE from_tis >= 2 AND from_tts <= -1")
+def tis_tts_trim(spark, sf):
+    return D.trim(ev(spark, sf), 2, 1).select("name", "pos", "codon", "from_tis", "from_tts", *r6("x"))
+
+
+@query(f"WITH {LN0}, g AS (SELECT name FROM ln0 GROUP BY name HAVING sum(f0 + f1 + f2) / 2.0 >= 500) SELECT sample, codon, count(*) AS n, CAST(sum(f0) AS BIGINT) AS f0 FROM ln0 WHERE name IN (SELECT name FROM g) GROUP BY sample, codon")
+def expressed_genes(spark, sf):
+    return D.expressed(ln0(spark, sf), 500, n_samples=2).groupBy("sample", "codon").agg(F.count("*").alias("n"), F.sum("f0").alias("f0"))
+
+
+@query(f"WITH {LN0} SELECT name, count(*) AS n, CAST(sum(f0) AS BIGINT) AS f0 FROM ln0 WHERE name IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY name")
+def gene_list_semi(spark, sf):
+    genes = table(spark, sf, "part").where("p_size <= 10").select(F.col("p_partkey").alias("name"))
+    return line_counts(spark, sf).join(genes, "name", "left_semi").groupBy("name").agg(F.count("*").alias("n"), F.sum("f0").alias("f0"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unmatched_ids_anti(spark, sf):
+    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT l_partkey AS name FROM lineitem WHERE l_linestatus = 'F' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'")
+def gene_set_intersect(spark, sf):
+    li = table(spark, sf, "lineitem")
+    a, b = (li.where(F.col("l_linestatus") == s).select(F.col("l_partkey").alias("name")) for s in "FO")
+    return a.intersect(b)
+
+
+@query(f"WITH {LN0} SELECT name FROM ln0 WHERE sample = 'F' GROUP BY name HAVING sum(f0) > 400 UNION SELECT name FROM ln0 WHERE sample = 'O' GROUP BY name HAVING sum(f0) > 400")
+def eligible_union(spark, sf):
+    per = [line_counts(spark, sf).where(F.col("sample") == s).groupBy("name").agg(F.sum("f0").alias("s")).where("s > 400").select("name") for s in "FO"]
+    return per[0].union(per[1]).distinct()
+
+
+@query(f"WITH {LN0}, g AS (SELECT name, sample, CAST(sum(f0) AS BIGINT) AS f0 FROM ln0 GROUP BY name, sample) SELECT a.name, a.f0 AS \"F_f0\", b.f0 AS \"O_f0\" FROM g a JOIN g b ON a.name = b.name AND a.sample = 'F' AND b.sample = 'O'")
+def merge_samples_inner(spark, sf):
+    g = line_counts(spark, sf).groupBy("name", "sample").agg(F.sum("f0").alias("f0"))
+    return D.merge_samples({s: g.where(F.col("sample") == s) for s in "FO"}, ["name"], ["f0"])
+
+
+@query("WITH a AS (SELECT l_suppkey AS name, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1), b AS (SELECT l_suppkey AS name, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 3 GROUP BY 1) SELECT name, a.n AS \"R_n\", b.n AS \"A_n\" FROM a FULL JOIN b USING (name)")
+def merge_tables_outer(spark, sf):
+    li = table(spark, sf, "lineitem")
+    a = li.where("l_returnflag = 'R' AND l_quantity > 45").groupBy(F.col("l_suppkey").alias("name")).agg(F.count("*").alias("n"))
+    b = li.where("l_returnflag = 'A' AND l_quantity < 3").groupBy(F.col("l_suppkey").alias("name")).agg(F.count("*").alias("n"))
+    return D.merge_samples({"R": a, "A": b}, ["name"], ["n"], "full_outer")
+
+
+@query("SELECT event_type AS sample, user_id AS name, count(*) AS n FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY 1, 2")
+def union_long_tables(spark, sf):
+    e = table(spark, sf, "events")
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())[:2]  # a handful of types
+    return D.union_long({k: e.where(F.col("event_type") == k).groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("n")) for k in kinds})
+
+
+# -- windows ----------------------------------------------------------------
+
+
+@query(f"WITH {EV} SELECT name, pos, round(coalesce(lag(x) OVER (PARTITION BY name ORDER BY pos), 0), 6) AS shifted FROM ev")
+def shift_site_a(spark, sf):
+    return D.shift_site(ev(spark, sf), "A").select("name", "pos", *r6("shifted"))
+
+
+@query(f"WITH {EV} SELECT name, pos, round(coalesce(lead(x) OVER (PARTITION BY name ORDER BY pos), 0), 6) AS shifted FROM ev")
+def shift_site_e(spark, sf):
+    return D.shift_site(ev(spark, sf), "E").select("name", "pos", *r6("shifted"))
+
+
+@query(f"WITH {LN0}, t AS (SELECT sample, sum(f0 + f1 + f2) AS total FROM ln0 GROUP BY sample), g AS (SELECT name, sample, sum(f0 + f1 + f2) AS x FROM ln0 GROUP BY name, sample) SELECT name, g.sample, round(x * 1e6 / total, 6) AS rpm FROM g JOIN t ON g.sample = t.sample")
+def rpm_normalise(spark, sf):
+    g = ln0(spark, sf).groupBy("name", "sample").agg(F.sum("x").alias("x"))
+    return D.per_million(g).select("name", "sample", *r6("rpm"))
+
+
+@query(f"""WITH {LN}, g AS (SELECT name, region, sample, sum(f0 + f1 + f2) AS c FROM ln GROUP BY ALL), l AS (SELECT name, sample, count(*) * 3 AS len FROM ln GROUP BY ALL),
+t AS (SELECT sample, sum(f0 + f1 + f2) AS total FROM ln GROUP BY ALL), q AS (SELECT g.*, len, total, c * 1e3 / len AS rpk FROM g JOIN l USING (name, sample) JOIN t USING (sample))
+SELECT name, region, sample, CAST(c AS BIGINT) AS "count", round(c * 1e6 / total, 6) AS rpm, round(c * 1e9 / (len * total), 6) AS rpkm, round(rpk * 1e6 / sum(rpk) OVER (PARTITION BY region, sample), 6) AS tpm FROM q""")
+def region_quant_tpm(spark, sf):
+    return P.region_quant(ln(spark, sf)).select("name", "region", "sample", "count", *r6("rpm", "rpkm", "tpm"))
+
+
+@query(f"WITH {LN}, g AS (SELECT sample, region, sum(f0 + f1 + f2) AS c FROM ln GROUP BY ALL) SELECT sample, region, CAST(c AS BIGINT) AS \"count\", round(c * 100.0 / sum(c) OVER (PARTITION BY sample), 6) AS share FROM g")
+def region_share(spark, sf):
+    return P.shares(ln(spark, sf), ["region"], ["sample"], "x").select("sample", "region", "count", *r6("share"))
+
+
+@query(f"WITH {LN0}, u AS (SELECT sample, unnest([0, 1, 2]) AS frame, unnest([f0, f1, f2]) AS n FROM ln0), g AS (SELECT sample, frame, sum(n) AS c FROM u GROUP BY ALL) SELECT sample, frame, CAST(c AS BIGINT) AS \"count\", round(c * 100.0 / sum(c) OVER (PARTITION BY sample), 6) AS ratio FROM g")
+def periodicity(spark, sf):
+    return P.periodicity(line_counts(spark, sf)).select("sample", "frame", "count", *r6("ratio"))
+
+
+@query(f"WITH {EV}, g AS (SELECT count(DISTINCT name) AS k FROM ev) SELECT 'TIS' AS meta, from_tis AS \"offset\", round(sum(x) / any_value(k), 6) AS density FROM ev, g WHERE from_tis BETWEEN -10 AND 20 GROUP BY from_tis UNION ALL SELECT 'TTS', from_tts, round(sum(x) / any_value(k), 6) FROM ev, g WHERE from_tts BETWEEN -20 AND 10 GROUP BY from_tts")
+def metagene_tis_tts(spark, sf):
+    e = ev(spark, sf)
+    a, b = P.metagene(e, at="from_tis", lo=-10, hi=20), P.metagene(e, at="from_tts", lo=-20, hi=10)
+    return D.union_long({"TIS": a, "TTS": b}, "meta").select("meta", "offset", *r6("density"))
+
+
+@query(f"""WITH {EV}, e AS (SELECT name, min(pos) AS lo, max(pos) AS hi FROM ev GROUP BY name),
+b AS (SELECT ev.name, greatest(0, CAST(ceil((pos - lo) * 10.0 / nullif(hi - lo, 0)) AS INT) - 1) AS bin, x FROM ev JOIN e ON ev.name = e.name),
+m AS (SELECT name, coalesce(bin, 0) AS bin, avg(x) AS m FROM b GROUP BY ALL) SELECT bin, round(sum(m) / (SELECT count(*) FROM e), 6) AS density FROM m GROUP BY bin""")
+def coverage_bins(spark, sf):
+    return P.coverage(ev(spark, sf), 10).select("bin", *r6("density"))
+
+
+@query(f"WITH {EV}, q AS (SELECT name, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, avg(x) AS m FROM ev GROUP BY name) SELECT ev.name, pos, round(CASE WHEN x < q1 - 2 * (q3 - q1) OR x > q3 + 2 * (q3 - q1) THEN m ELSE x END, 6) AS filled FROM ev JOIN q ON ev.name = q.name")
+def outlier_iqr_fill(spark, sf):
+    return P.fill_outliers(ev(spark, sf)).select("name", "pos", *r6("filled"))
+
+
+@query(f"WITH {EV} SELECT name, pos, round(coalesce(x / nullif(avg(CASE WHEN region = 'cds' THEN x END) OVER (PARTITION BY name), 0), 0), 6) AS pause FROM ev")
+def pausing_gene_mean(spark, sf):
+    return P.pausing_gene_mean(ev(spark, sf), inside=F.col("region") == "cds").select("name", "pos", *r6("pause"))
+
+
+_SHIFTED = f"{EV}, sh AS (SELECT name, pos, codon, from_tis, coalesce(lag(x) OVER (PARTITION BY name ORDER BY pos), 0) AS x FROM ev)"
+_PAUSE = f"{_SHIFTED}, pz AS (SELECT *, coalesce(x / nullif(sum(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) / 5, 0), 0) AS pause FROM sh)"
+
+
+def _pauses(spark, sf):
+    e = D.shift_site(ev(spark, sf), "A")
+    return P.pausing_background(e.drop("x").withColumnRenamed("shifted", "x"), 2)
+
+
+@query(f"WITH {_PAUSE} SELECT codon, round(avg(pause), 6) AS pause FROM pz GROUP BY codon")
+def pausing_forward_background(spark, sf):
+    return _pauses(spark, sf).groupBy("codon").agg(F.round(F.avg("pause"), 6).alias("pause"))
+
+
+@query(f"WITH {_PAUSE} SELECT name, codon, round(sum(pause), 6) AS pause_sum, round(avg(pause), 6) AS pause_mean FROM pz GROUP BY ALL")
+def pausing_gene_codon(spark, sf):
+    return P.pausing_by_gene_codon(_pauses(spark, sf)).select("name", "codon", *r6("pause_sum", "pause_mean"))
+
+
+@query(f"WITH {_PAUSE}, s AS (SELECT codon, count(*) AS total_codon, count(*) FILTER (WHERE x > 0) AS valid_codon, sum(x) AS counts, avg(pause) AS mean_all, avg(pause) FILTER (WHERE x > 0) AS mean_valid FROM pz GROUP BY codon) SELECT codon, total_codon, valid_codon, round(counts, 4) AS counts, round(mean_all, 6) AS mean_all, round(mean_valid, 6) AS mean_valid, round(mean_all / max(mean_all) OVER (), 6) AS relative FROM s")
+def pausing_codon_summary(spark, sf):
+    s = P.pausing_by_codon(_pauses(spark, sf))
+    return s.select("codon", "total_codon", "valid_codon", F.round("counts", 4).alias("counts"), *r6("mean_all", "mean_valid", "relative"))
+
+
+@query(f"WITH {_PAUSE} SELECT name, round(sum(pause), 6) AS pause_sum, arg_max(from_tis, pos) AS last FROM pz GROUP BY name")
+def argmax_last_row(spark, sf):
+    return P.pausing_by_gene(_pauses(spark, sf)).select("name", *r6("pause_sum"), "last")
+
+
+@query(f"WITH {EV}, d AS (SELECT codon, x / nullif(avg(x) OVER (PARTITION BY name), 0) AS d FROM ev), s AS (SELECT codon, sum(d) AS s, avg(nullif(d, 0)) AS m FROM d GROUP BY codon) SELECT codon, round(s, 6) AS occ_sum, round(m, 6) AS occ_mean, round(m / max(m) OVER (), 6) AS relative FROM s")
+def codon_occupancy(spark, sf):
+    return P.occupancy(ev(spark, sf)).select("codon", *r6("occ_sum", "occ_mean", "relative"))
+
+
+@query(f"WITH {LN0}, c AS (SELECT codon, codon[1] AS aa, count(*) AS n FROM ln0 GROUP BY ALL) SELECT codon, aa, n, round(n * 1000.0 / sum(n) OVER (), 6) AS freq, round(n / avg(n) OVER (PARTITION BY aa), 6) AS rscu, round(n / max(n) OVER (PARTITION BY aa), 6) AS weight, row_number() OVER (PARTITION BY aa ORDER BY n DESC, codon) = 1 AS optimal FROM c")
+def codon_usage_rscu(spark, sf):
+    c = line_counts(spark, sf).groupBy("codon").agg(F.count("*").alias("n")).withColumn("aa", F.substring("codon", 1, 1))
+    return P.codon_usage(c).select("codon", "aa", "n", *r6("freq", "rscu", "weight"), "optimal")
+
+
+@query(f"WITH {EV}, g AS (SELECT name, sum(x) AS s, avg(x) AS m, stddev_samp(x) AS d FROM ev GROUP BY name) SELECT name, round(s, 4) AS \"sum\", round(m, 6) AS mean, round(d / m, 6) AS cov FROM g WHERE d IS NOT NULL AND m <> 0")
+def gene_cov(spark, sf):
+    return P.gene_cov(ev(spark, sf)).select("name", F.round("sum", 4).alias("sum"), *r6("mean", "cov"))
+
+
+_CC = "c AS (SELECT name, pos, stddev_samp(x) OVER w / nullif(avg(x) OVER w, 0) AS cov FROM ev WINDOW w AS (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"
+
+
+@query(f"WITH {EV}, {_CC} SELECT name, pos, round(cov, 6) AS cov FROM c")
+def cumulative_cov(spark, sf):
+    return P.cumulative_cov(ev(spark, sf)).select("name", "pos", *r6("cov"))
+
+
+@query(f"WITH {EV}, {_CC}, k AS (SELECT *, max(pos) OVER (PARTITION BY name) AS n FROM c) SELECT pos, round(avg(cov), 6) AS cov FROM k WHERE n > 30 AND pos <= 30 GROUP BY pos")
+def meta_cumulative_cov(spark, sf):
+    return P.meta_cumulative_cov(P.cumulative_cov(ev(spark, sf)), 30).select("pos", *r6("cov"))
+
+
+@query(f"WITH {LN} SELECT name, pos, pos - min(pos) OVER (PARTITION BY name) + 1 AS pos0 FROM ln WHERE region = 'cds'")
+def rezero_positions(spark, sf):
+    return D.rezero(line_density(spark, sf).where("region = 'cds'")).select("name", "pos", "pos0")
+
+
+# -- decoding and selection times -------------------------------------------
+
+_RPKM = "rk AS (SELECT name, sum(f0) * 1e9 / (count(*) * 3 * (SELECT sum(f0) FROM ln0 WHERE sample = 'O')) AS rpkm FROM ln0 WHERE sample = 'O' GROUP BY name)"
+
+
+def _rna_level(spark, sf):
+    o = line_counts(spark, sf).where("sample = 'O'")
+    total = o.agg(F.sum("f0").alias("t"))
+    return o.groupBy("name").agg(F.sum("f0").alias("s"), F.count("*").alias("n")).join(F.broadcast(total)).select("name", (F.col("s") * 1e9 / (F.col("n") * 3 * F.col("t"))).alias("rpkm"))
+
+
+@query(f"WITH {LN0}, {_RPKM}, p AS (SELECT name, codon, sum(f1) AS s, count(*) FILTER (WHERE f1 > 0) AS k FROM ln0 WHERE sample = 'F' GROUP BY ALL), c AS (SELECT codon, sum(s) AS s, sum(k) AS k, sum(s / rpkm) AS nm FROM p JOIN rk USING (name) WHERE rpkm > 0 GROUP BY codon) SELECT codon, CAST(s AS BIGINT) AS counts, CAST(k AS BIGINT) AS sites, round(s / k, 6) AS cdt, round(nm / k, 6) AS norm_cdt FROM c")
+def codon_decoding_time(spark, sf):
+    ribo = line_counts(spark, sf).where("sample = 'F'")
+    return P.decoding_time(ribo, _rna_level(spark, sf), "f1").select("codon", "counts", "sites", *r6("cdt", "norm_cdt"))
+
+
+def _cst_sql(times: int) -> str:
+    parts = [LN0.replace("ln0 AS (", "ln0 AS MATERIALIZED ("), "gc AS MATERIALIZED (SELECT name, codon[1] AS codon, count(*) AS n, sum(f0) AS ribo, sum(f1) AS rna FROM ln0 GROUP BY ALL)",
+             "gs AS MATERIALIZED (SELECT name, sum(n) AS codons, sum(ribo) / nullif(sum(rna), 0) AS density FROM gc GROUP BY name)", "rb AS (SELECT codon, sum(ribo) / (SELECT sum(ribo) FROM gc) AS rs FROM gc GROUP BY codon)"]
+    for i in range(times):
+        w = "1.0" if i == 0 else "w"
+        j = "gc" if i == 0 else f"gc JOIN w{i} USING (name)"
+        parts.append(f"a{i} AS MATERIALIZED (SELECT codon, sum(rna * {w}) AS a FROM {j} GROUP BY codon)")
+        parts.append(f"c{i} AS MATERIALIZED (SELECT codon, coalesce(rs / nullif(a / (SELECT sum(a) FROM a{i}), 0), 0) AS cst FROM rb JOIN a{i} USING (codon))")
+        parts.append(f"w{i + 1} AS MATERIALIZED (SELECT name, coalesce(codons * density / nullif(t, 0), 0) AS w FROM gs JOIN (SELECT name, sum(n * cst) AS t FROM gc JOIN c{i} USING (codon) GROUP BY name) USING (name))")
+    return f"WITH {', '.join(parts)} SELECT codon, round(cst, 6) AS cst FROM c{times - 1}"
+
+
+@query(_cst_sql(3))
+def codon_selection_time_k(spark, sf):
+    gc = line_counts(spark, sf).groupBy("name", F.substring("codon", 1, 1).alias("codon")).agg(F.count("*").alias("n"), F.sum("f0").alias("ribo"), F.sum("f1").alias("rna"))
+    genes = gc.groupBy("name").agg(F.sum("n").alias("codons"), F.try_divide(F.sum("ribo"), F.sum("rna")).alias("density"))
+    return P.selection_time(gc, genes, 3).select("codon", *r6("cst"))
+
+
+# -- meta-codon windows -----------------------------------------------------
+
+
+@query(f"WITH {EV}, m AS (SELECT name, pos FROM ev WHERE codon = 'click'), n AS (SELECT name, max(pos) AS n FROM ev GROUP BY name) SELECT ev.pos - m.pos AS \"offset\", round(avg(x), 6) AS density FROM m JOIN n ON m.name = n.name AND m.pos > 3 AND m.pos + 3 <= n JOIN ev ON ev.name = m.name AND ev.pos BETWEEN m.pos - 3 AND m.pos + 3 GROUP BY 1")
+def meta_codon_window(spark, sf):
+    w = P.windows_around(ev(spark, sf), F.col("codon") == "click", 3)
+    return P.meta_window(w).select("offset", *r6("density"))
+
+
+@query(f"WITH {EV}, l AS (SELECT name, pos, codon, lead(codon) OVER (PARTITION BY name ORDER BY pos) AS nx, count(*) OVER (PARTITION BY name) AS n FROM ev), m AS (SELECT name, pos FROM l WHERE codon = 'click' AND nx = 'view' AND pos > 2 AND pos + 2 <= n), d AS (SELECT ev.pos - m.pos AS o, avg(x) AS d FROM m JOIN ev ON ev.name = m.name AND ev.pos BETWEEN m.pos - 2 AND m.pos + 2 GROUP BY 1) SELECT o AS \"offset\", round(d / avg(d) OVER (), 6) AS density FROM d")
+def motif_window(spark, sf):
+    e = ev(spark, sf).withColumn("m", P.motif_match(["click", "view"]))
+    return P.meta_window(P.windows_around(e, F.col("m"), 2), scale=True).select("offset", *r6("density"))
+
+
+# -- top rows, sets, joins --------------------------------------------------
+
+
+@query("SELECT l_partkey AS name, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) AS k FROM lineitem) WHERE k = 1")
+def representative_top1(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_partkey").orderBy(F.desc("l_quantity"), F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_suppkey")
+    return table(spark, sf, "lineitem").withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("l_partkey").alias("name"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def dedup_keep_first(spark, sf):
+    return table(spark, sf, "documents").groupBy("text").agg(F.min_by(F.struct("doc_id", "lang"), "doc_id").alias("r")).select("r.doc_id", "r.lang")
+
+
+_IV = "SELECT o_custkey AS name, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s, o_orderpriority AS p FROM orders"
+
+
+@query(f"WITH i AS ({_IV}), a AS (SELECT DISTINCT name, s - 10 AS start, s + 10 AS \"end\" FROM i WHERE p LIKE '1%'), b AS (SELECT DISTINCT name, s - 10 AS start, s + 10 AS \"end\" FROM i WHERE p LIKE '2%') SELECT a.name, a.start, a.\"end\", EXISTS (SELECT 1 FROM b WHERE b.name = a.name AND a.start <= b.\"end\" AND b.start <= a.\"end\") AS overlap FROM a")
+def interval_overlap_label(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("long").alias("s"), F.col("o_orderpriority").alias("p"))
+    a, b = (o.where(F.col("p").startswith(k)).select("name", (F.col("s") - 10).alias("start"), (F.col("s") + 10).alias("end")).distinct() for k in "12")
+    return K.overlap_label(a, b, ["name"])
+
+
+@query("WITH n AS (SELECT n_name AS id FROM nation UNION SELECT r_name FROM region), p AS (SELECT a.id AS a, b.id AS b, unnest(range(2, length(a.id) + 1)) AS k FROM n a, n b WHERE a.id <> b.id) SELECT a, b, min(k) AS overlap FROM p WHERE k <= length(b) AND right(a, CAST(k AS INT)) = left(b, CAST(k AS INT)) GROUP BY a, b")
+def suffix_prefix_overlap(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("id")).union(table(spark, sf, "region").select("r_name")).distinct()
+    # every suffix meets every prefix of its length by an equality join
+    cut = F.explode(F.sequence(F.lit(2), F.length("id"))).alias("k")
+    a = n.where("length(id) >= 2").select(F.col("id").alias("a"), cut).withColumn("part", F.expr("right(a, k)"))
+    b = n.where("length(id) >= 2").select(F.col("id").alias("b"), cut).withColumn("part", F.expr("left(b, k)")).drop("k")
+    return a.join(b, "part").where("a <> b").groupBy("a", "b").agg(F.min("k").cast("long").alias("overlap"))
+
+
+# -- reshaping --------------------------------------------------------------
+
+
+@query(f"WITH {LN}, u AS (SELECT name, pos, codon, unnest([0, 1, 2]) AS frame, unnest([f0, f1, f2]) AS n FROM ln) SELECT name, pos + frame AS nt, frame, substring(codon, frame + 1, 1) AS base, n FROM u")
+def melt_nt(spark, sf):
+    return D.melt_nucleotides(line_density(spark, sf)).select("name", "nt", "frame", "base", "n")
+
+
+@query(f"WITH {LN0} SELECT codon, CAST(sum(f0) FILTER (WHERE sample = 'F') AS BIGINT) AS \"F\", CAST(sum(f0) FILTER (WHERE sample = 'O') AS BIGINT) AS \"O\" FROM ln0 GROUP BY codon")
+def pivot_wide(spark, sf):
+    g = line_counts(spark, sf).groupBy("codon", "sample").agg(F.sum("f0").alias("v"))
+    return D.pivot_samples(g, ["codon"], "sample", "v", ["F", "O"])
+
+
+@query("SELECT p_partkey AS name, CAST(p_size + i AS BIGINT) AS pos FROM (SELECT p_partkey, p_size, unnest(range(0, CAST(p_partkey % 7 AS BIGINT))) AS i FROM part)")
+def interval_to_base(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), F.col("p_size").cast("long").alias("start"), (F.col("p_size") + F.col("p_partkey") % 7).cast("long").alias("end"))
+    return D.expand_intervals(p).select("name", "pos")
+
+
+@query("""WITH a AS (SELECT p_partkey AS name, CAST(p_size % 11 AS BIGINT) AS u, CAST(p_size AS BIGINT) AS c0, CAST(p_size % 13 AS BIGINT) AS t0 FROM part), b AS (SELECT name, u, c0 - c0 % 3 AS c, t0 + c0 % 3 AS t FROM a),
+g AS (SELECT name, u % 3 AS s5, (u - u % 3) // 3 AS u3, (t - t % 3) // 3 AS t3, (u - u % 3 + c + t - t % 3) // 3 AS n FROM b), k AS (SELECT *, unnest(range(0, n)) AS k FROM g)
+SELECT name, 1 + s5 + 3 * k AS now_nt, k - u3 AS from_tis, t3 - n + 1 + k AS from_tts, CASE WHEN k - u3 < 0 THEN '5utr' WHEN t3 - n + 1 + k > 0 THEN '3utr' ELSE 'cds' END AS region FROM k""")
+def codon_grid(spark, sf):
+    a = table(spark, sf, "part").select(F.col("p_partkey").alias("name"), (F.col("p_size") % 11).cast("long").alias("utr5_length"), F.col("p_size").cast("long").alias("cds_length"), (F.col("p_size") % 13).cast("long").alias("utr3_length"))
+    return D.codon_grid(a)
+
+
+# -- sequences --------------------------------------------------------------
+
+
+@query("SELECT k AS kmer, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(1, length(text) - 3) + 1), lambda i: substring(text, i, 4))) AS k FROM benchmark WHERE text IS NOT NULL) GROUP BY k")
+def kmers(spark, sf):
+    return table(spark, sf, "benchmark").where("text IS NOT NULL").select(F.explode(S.kmers(F.col("text"), 4)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id, translate(reverse(text), 'ACGTUacgtu', 'TGCAAtgcaa') AS rc FROM benchmark")
+def revcomp(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", S.revcomp(F.col("text")).alias("rc"))
+
+
+@query("WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), c AS (SELECT doc_id, length(text) AS l, length(text) - length(replace(text, 'a', '')) AS a, length(text) - length(replace(text, 'e', '')) AS e FROM t) SELECT doc_id, CAST(sum(l) AS BIGINT) AS length, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(e) AS BIGINT) AS n_e FROM c GROUP BY ROLLUP (doc_id)")
+def composition(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return S.composition(d, "doc_id", "text", "ae")
+
+
+@query("WITH s AS (SELECT item_id, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS q FROM benchmark), c AS (SELECT item_id, q, list_transform(range(0, length(q) // 3), lambda i: substring(q, 3 * i + 1, 3)) AS c FROM s), m AS (SELECT " + "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in sorted(CODE.items())) + "} AS m) SELECT item_id, array_to_string(list_transform(c, lambda x: m[x]), '') AS protein FROM c, m")
+def translate(spark, sf):
+    q = F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", ""))
+    d = table(spark, sf, "benchmark").select("item_id", q.alias("q"))
+    whole = F.expr("substring(q, 1, length(q) - length(q) % 3)")
+    return d.withColumn("q", whole).select("item_id", S.translate_nt(F.col("q")).alias("protein"))
+
+
+@query("SELECT n_chars AS length, count(*) AS n FROM documents GROUP BY ROLLUP (n_chars)")
+def length_histogram(spark, sf):
+    return table(spark, sf, "documents").rollup(F.col("n_chars").alias("length")).agg(F.count("*").alias("n"))
+
+
+@query("WITH p AS (SELECT unnest(range(0, least(16, length(text)))) AS site, text FROM documents WHERE length(text) > 0), c AS (SELECT site, lower(substring(text, site + 1, 1)) AS c FROM p), g AS (SELECT * FROM c WHERE c IN ('a', 'e', 'n', 't')) SELECT CAST(site AS INT) AS site, round(count(*) FILTER (WHERE c = 'a') / count(*), 6) AS a, round(count(*) FILTER (WHERE c = 'e') / count(*), 6) AS e, round(count(*) FILTER (WHERE c = 'n') / count(*), 6) AS n, round(count(*) FILTER (WHERE c = 't') / count(*), 6) AS t FROM g GROUP BY site")
+def pwm_by_position(spark, sf):
+    d = table(spark, sf, "documents").where("length(text) > 0").select(F.lower(F.substring("text", 1, 16)).alias("seq"))
+    p = d.select(F.posexplode(F.split("seq", "")).alias("site", "c")).where(F.col("c").isin(*"aent"))
+    g = p.groupBy("site").agg(*[F.count_if(F.col("c") == c).alias(f"k_{c}") for c in "aent"], F.count("*").alias("k"))
+    return g.select("site", *[F.round(F.col(f"k_{c}") / F.col("k"), 6).alias(c) for c in "aent"])
+
+
+# -- enrichment and peaks ---------------------------------------------------
+
+@query(f"WITH {LN0}, g AS (SELECT name, sum(f0) AS a, sum(f1) AS b, sum(f2) AS c FROM ln0 GROUP BY name) SELECT name, round((coalesce(a / nullif(b, 0), 0) + coalesce(a / nullif(c, 0), 0)) / 2, 6) AS ratio FROM g")
+def enrichment_ratio(spark, sf):
+    g = line_counts(spark, sf).groupBy("name").agg(F.sum("f0").alias("a"), F.sum("f1").alias("b"), F.sum("f2").alias("c"))
+    return K.enrichment(g, ["b", "c"], ["a"]).select("name", *r6("ratio"))
+
+
+@query(f"WITH {LN} SELECT name, pos, round(CASE WHEN f1 = 0 THEN avg(f1) OVER (PARTITION BY name) ELSE f1 END, 6) AS f1 FROM ln")
+def fill_empty(spark, sf):
+    return K.fill_empty(line_density(spark, sf), "f1").select("name", "pos", *r6("f1"))
+
+
+_MM = f"""{EV}, o AS (SELECT name, pos, x, count(*) OVER (PARTITION BY name) AS n, first(x) OVER w AS fx, last(x) OVER w AS lx,
+sum(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM ev WINDOW w AS (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+sm AS (SELECT name, pos, (s + greatest(0, 3 - pos) * fx + greatest(0, 2 - (n - pos)) * lx) / 5 AS smooth FROM o)"""
+
+
+@query(f"WITH {_MM} SELECT name, pos, round(smooth, 6) AS smooth FROM sm")
+def moving_mean_smooth(spark, sf):
+    return P.moving_mean(ev(spark, sf), 2).select("name", "pos", *r6("smooth"))
+
+
+_IS = f"{EV}, e AS (SELECT name, pos, x, CASE WHEN pos - lag(pos) OVER (PARTITION BY name ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS nw FROM ev WHERE x > 60), i AS (SELECT name, pos, x, CAST(sum(nw) OVER (PARTITION BY name ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM e)"
+
+
+@query(f"WITH {_IS} SELECT name, pos, island FROM i")
+def gap_islands(spark, sf):
+    return K.islands(ev(spark, sf).where("x > 60"), 2).select("name", "pos", "island")
+
+
+@query(f"WITH {_IS} SELECT name, island, min(pos) AS start, max(pos) AS \"end\", count(*) AS covered, round(max(x), 6) AS max_value, arg_max(pos, (x, -pos)) AS max_pos, round(avg(x), 6) AS mean_value FROM i GROUP BY ALL")
+def peak_summary(spark, sf):
+    i = K.islands(ev(spark, sf).where("x > 60"), 2)
+    return K.summarise(i, "x").select("name", "island", "start", "end", "covered", *r6("max_value"), "max_pos", *r6("mean_value"))
+
+
+@query()
+def peak_detection(spark, sf):
+    d = line_density(spark, sf).select("name", "pos", "region", F.col("f1").alias("ck"), F.col("f0").alias("ip"))
+    p = K.detect(d, ["ck"], ["ip"], floor=8.0, width=3, share=0.5)
+    return p.select("name", "start", "end", "n", *r6("max_value", "mean_value", "p", "bhfdr"), "max_pos")
+
+
+# -- statistics -------------------------------------------------------------
+
+
+@query(f"WITH {LN0} SELECT 'f0' AS a, 'f1' AS b, round(corr(f0, f1), 6) AS r FROM ln0 UNION ALL SELECT 'f0', 'f2', round(corr(f0, f2), 6) FROM ln0 UNION ALL SELECT 'f1', 'f2', round(corr(f1, f2), 6) FROM ln0")
+def replicate_corr_matrix(spark, sf):
+    return C.correlations(line_counts(spark, sf), ["f0", "f1", "f2"]).select("a", "b", *r6("r"))
+
+
+_OD = "g AS (SELECT name, codon[1] AS codon, sum(f1) AS c, sum(f0) AS t FROM ln0 GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY name) AS cs, sum(t) OVER (PARTITION BY name) AS ts FROM g), od AS (SELECT *, (t / nullif(ts - t, 0)) / nullif(c / nullif(cs - c, 0), 0) AS odds FROM w)"
+
+
+def _odds(spark, sf):
+    d = line_counts(spark, sf).withColumn("codon", F.substring("codon", 1, 1))
+    return C.odds_sites(d, "f1", "f0", ["codon"])
+
+
+@query(f"WITH {LN0}, {_OD} SELECT name, codon, CAST(c AS BIGINT) AS c, CAST(t AS BIGINT) AS t, round(odds, 6) AS odds FROM od")
+def odds_ratio_sites(spark, sf):
+    return _odds(spark, sf).select("name", "codon", "c", "t", *r6("odds"))
+
+
+@query(f"WITH {LN0}, {_OD} SELECT codon, count(*) FILTER (WHERE odds < 1) AS lower, count(*) FILTER (WHERE odds > 1) AS higher, round(avg(c) FILTER (WHERE odds < 1), 6) AS mean_lower, round(avg(t) FILTER (WHERE odds > 1), 6) AS mean_higher FROM od GROUP BY codon")
+def odds_ratio_summary(spark, sf):
+    return C.odds_summary(_odds(spark, sf)).select("codon", "lower", "higher", *r6("mean_lower", "mean_higher"))
+
+
+@query(f"WITH {LN0}, {_OD} SELECT name, codon, round(ln(odds) / sqrt(1 / t + 1 / (ts - t) + 1 / c + 1 / (cs - c)), 6) AS z FROM od WHERE t > 0 AND ts - t > 0 AND c > 0 AND cs - c > 0")
+def odds_ratio_z(spark, sf):
+    return C.odds_z(_odds(spark, sf)).select("name", "codon", *r6("z"))
+
+
+@query()
+def odds_ratio_pvalue(spark, sf):
+    return C.odds_pvalues(_odds(spark, sf), ["name"], ["codon"]).select("name", "codon", *r6("z", "p", "bh"))
+
+
+_PV = "pv AS (SELECT p_partkey AS name, p_partkey * 7919 % 1009 / 1009.0 AS p FROM part)"
+
+
+def _pvalues(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 7919 % 1009 / 1009.0).alias("p"))
+
+
+@query(f"WITH {_PV}, r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS n FROM pv) SELECT name, round(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS bh FROM r")
+def bh_adjust(spark, sf):
+    return stats.bh_adjust(_pvalues(spark, sf), "p", ["name"]).select("name", *r6("bh"))
+
+
+@query(f"WITH {_PV} SELECT name, round(least(1, p * (SELECT count(*) FROM pv)), 6) AS bonferroni FROM pv")
+def bonferroni(spark, sf):
+    p = _pvalues(spark, sf)
+    n = p.agg(F.count("*").alias("n"))
+    return p.join(F.broadcast(n)).select("name", F.round(stats.bonferroni(F.col("p"), F.col("n")), 6).alias("bonferroni"))
+
+
+_LR = "lr AS (SELECT name, log2((sum(f0) FILTER (WHERE sample = 'F') + 1) / (sum(f0) FILTER (WHERE sample = 'O') + 1)) AS x, log2((sum(f1) FILTER (WHERE sample = 'F') + 1) / (sum(f1) FILTER (WHERE sample = 'O') + 1)) AS y FROM ln0 GROUP BY name)"
+
+
+@query(f"WITH {LN0}, {_LR} SELECT name, CASE WHEN x >= 0.5 THEN 'up' WHEN x <= -0.5 THEN 'down' ELSE 'flat' END || '_' || CASE WHEN y >= 0.5 THEN 'up' WHEN y <= -0.5 THEN 'down' ELSE 'flat' END AS quadrant FROM lr WHERE x IS NOT NULL AND y IS NOT NULL")
+def quadrant_class(spark, sf):
+    one = lambda c, s: F.sum(F.when(F.col("sample") == s, F.col(c)))
+    g = line_counts(spark, sf).groupBy("name").agg(*[F.log2((one(c, "F") + 1) / (one(c, "O") + 1)).alias(n) for c, n in (("f0", "x"), ("f1", "y"))]).dropna()
+    return C.quadrants(g, "x", "y", 0.5).select("name", "quadrant")
+
+
+@query(f"WITH {LN0}, a AS (SELECT name, sum(f0) AS r FROM ln0 WHERE sample = 'F' GROUP BY name), b AS (SELECT name, sum(f1) AS m FROM ln0 WHERE sample = 'O' GROUP BY name) SELECT name, CAST(r AS BIGINT) AS ribo, CAST(m AS BIGINT) AS rna, round(r / nullif(m, 0), 6) AS te FROM a FULL JOIN b USING (name)")
+def te_fold_change(spark, sf):
+    d = line_counts(spark, sf)
+    a = d.where("sample = 'F'").groupBy("name").agg(F.sum("f0").alias("x"))
+    b = d.where("sample = 'O'").groupBy("name").agg(F.sum("f1").alias("x"))
+    return C.translation_efficiency(a, b).select("name", "ribo", "rna", *r6("te"))
+
+
+@query(f"WITH {LN0}, c AS (SELECT name, sample, sum(f0) AS x FROM ln0 GROUP BY ALL), g AS (SELECT name, avg(ln(x)) AS lg FROM c WHERE x > 0 GROUP BY name HAVING count(*) = (SELECT count(DISTINCT sample) FROM c)) SELECT sample, round(exp(quantile_cont(ln(x) - lg, 0.5)), 6) AS size_factor FROM c JOIN g USING (name) GROUP BY sample")
+def size_factors(spark, sf):
+    c = line_counts(spark, sf).groupBy("name", "sample").agg(F.sum("f0").alias("x"))
+    return C.size_factors(c).select("sample", *r6("size_factor"))
+
+
+@query(f"WITH {LN0}, c AS (SELECT name, sample, sum(f0) AS x FROM ln0 GROUP BY ALL), v AS (SELECT sample, log2(x + 1) AS v FROM c) SELECT DISTINCT sample, round(v, 6) AS log2_value, round(cume_dist() OVER (PARTITION BY sample ORDER BY v), 6) AS cdf FROM v")
+def log2_cdf(spark, sf):
+    c = line_counts(spark, sf).groupBy("name", "sample").agg(F.sum("f0").alias("x"))
+    return C.log_cdf(c, "x", ["sample"]).select("sample", *r6("log2_value", "cdf"))
+
+
+@query()
+def saturation_hash(spark, sf):
+    return R.saturation(table(spark, sf, "events"), "event_id", "user_id")
+
+
+@query()
+def shuffle_within_gene(spark, sf):
+    return R.shuffle_counts(ev(spark, sf), "x").select("name", "pos", *r6("shuffled"))
+
+
+@query("WITH v AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL), e AS (SELECT label, list(x ORDER BY i) AS e FROM c GROUP BY label) SELECT a.label AS a, b.label AS b, round(list_distance(a.e, b.e), 6) AS distance FROM e a JOIN e b ON a.label < b.label")
+def pairwise_distance(spark, sf):
+    """Distances between the groups' mean profiles: one row per pair of groups."""
+    v = table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    mean = v.groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("e"))
+    return C.pair_distances(mean.select("label", F.col("e.x").alias("e")), "label", "e").select("a", "b", *r6("distance"))
+
+
+@query(f"WITH {EV}, s AS (SELECT name, sum(x) AS s FROM ev GROUP BY name) SELECT name, round((s - avg(s) OVER ()) / stddev_samp(s) OVER (), 6) AS z FROM s")
+def zscore_scale(spark, sf):
+    g = ev(spark, sf).groupBy("name").agg(F.sum("x").alias("s"))
+    m = g.agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("d"))
+    return g.join(F.broadcast(m)).select("name", F.round((F.col("s") - F.col("m")) / F.col("d"), 6).alias("z"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark, sf):
+    return W.tumbling(table(spark, sf, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(spark, sf):
+    return W.sessions(table(spark, sf, "events")).select("user_id", "start", "end", "n")
