@@ -1,7 +1,7 @@
 """Op 7: quality classifier with hierarchical empirical Bayes.
 
 Document evidence.  Two logistic models (low quality, toxicity) are fitted on a
-bounded sample of labelled rows (``max_labels``, 20,000 by default, taken by a
+bounded sample of labelled rows (``max_labels``, 6,000 by default, taken by a
 hash of the identifier).  Features are the shape of a text (shares of symbols,
 capitals, digits, word repetition, length) and the counts of the
 ``max_words`` words and word beginnings that the labels separate best.  Scoring is one pass over the
@@ -131,17 +131,27 @@ class Model:
         self.words, self.weights = np.zeros(0, np.uint64), None
         if not len(label) or label.min() == label.max():
             return
-        parts = []
-        for a in range(0, len(texts), 500):
-            w = Words(pa.array(texts[a : a + 500], pa.string()))
+        shape_parts, pairs = [], []
+        for a in range(0, len(texts), 200):
+            w = Words(pa.array(texts[a : a + 200], pa.string()))
             row, mark = marks(w)
-            parts.append((shapes(w, len(texts[a : a + 500])), row + a, mark))
-        shape = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1] for p in parts])
-        mark = np.concatenate([p[2] for p in parts])
-        pair = np.unique(np.stack([mark, doc.astype(np.uint64)], axis=1), axis=0) if len(mark) else np.zeros((0, 2), np.uint64)
-        kinds, back, seen = np.unique(pair[:, 0], return_inverse=True, return_counts=True)
-        hits = np.bincount(back, weights=label[pair[:, 1].astype(np.int64)], minlength=len(kinds))
+            order = np.lexsort((mark, row))
+            row, mark = row[order], mark[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
+            at = np.flatnonzero(new)
+            pairs.append((mark[at], (row[at] + a).astype(np.int32), np.diff(np.append(at, len(row))).astype(np.int32)))
+            shape_parts.append(shapes(w, len(texts[a : a + 200])))
+        shape = np.concatenate(shape_parts)
+        mark, doc, times = (np.concatenate(x) for x in zip(*pairs))
+        del pairs
+        order = np.argsort(mark, kind="stable")
+        mark, doc, times = mark[order], doc[order], times[order]
+        new = np.ones(len(mark), bool)
+        new[1:] = mark[1:] != mark[:-1]
+        at = np.flatnonzero(new)
+        kinds, seen = mark[at], np.diff(np.append(at, len(mark)))
+        hits = np.add.reduceat(label[doc], at) if len(at) else np.zeros(0)
         n1, n0 = label.sum(), len(label) - label.sum()
         gain = np.abs(np.log((hits + 0.5) / (n1 + 1)) - np.log((seen - hits + 0.5) / (n0 + 1))) * np.sqrt(seen)
         gain[seen < max(3, len(label) // 2000)] = 0
@@ -150,18 +160,19 @@ class Model:
         self.mean, self.scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
-        x = np.concatenate([(shape - self.mean) / self.scale, self.counts(doc, mark, len(texts))], axis=1)
+        x = np.concatenate([(shape - self.mean) / self.scale, self.counts(doc, mark, len(texts), times)], axis=1)
         self.weights = _fit(x, label.astype(np.float64))
 
-    def counts(self, doc: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
+    def counts(self, doc: np.ndarray, mark: np.ndarray, n: int, times: np.ndarray | None = None) -> np.ndarray:
         """log(1 + occurrences) of the chosen words in each of n rows."""
         out = np.zeros((n, len(self.words)))
         if len(self.words) and len(mark):
             some = np.flatnonzero(self.maybe[(mark >> np.uint64(48)).astype(np.int64)])
+            times = np.ones(len(some)) if times is None else times[some]
             doc, mark = doc[some], mark[some]
             at = np.minimum(np.searchsorted(self.words, mark), len(self.words) - 1)
             hit = self.words[at] == mark
-            np.add.at(out, (doc[hit], at[hit]), 1)
+            np.add.at(out, (doc[hit], at[hit]), times[hit])
         return np.log1p(out)
 
     def logit(self, found: tuple[np.ndarray, np.ndarray], shape: np.ndarray) -> np.ndarray:
@@ -217,7 +228,7 @@ def site_posteriors(docs: DataFrame, labels: DataFrame, id_col: str, host: str,
     return out.select("_host", "_path", *[f"{p}_{c}" for c in names for p in ("host", "path")]), rates
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", cut: float = 0.5, max_labels: int = 20_000, max_words: int = 400, max_sites: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", cut: float = 0.5, max_labels: int = 6_000, max_words: int = 400, max_sites: int = 20_000) -> DataFrame:
     """All columns of ``docs`` plus low_posterior, toxic_posterior, kept.
 
     Site posteriors are joined by broadcast while they are at most ``max_sites``
