@@ -15,11 +15,16 @@ settled, so the cost is near max(distinct shingles, slots * ln(slots)).
 Candidates.  Documents with the same multiset form a class first (grouped on a
 128-bit commutative digest, which collapses large groups of copies before
 anything else).  Class representatives meet in ``bands`` buckets of ``rows``
-slots each (32 x 5: a pair at 0.8 is missed with probability 3e-6).  In a bucket
-every member is compared with its smallest member only; verified links are
-joined into components, and then only pairs of one bucket that lie in different
-components are compared, until none is left.  The components are therefore those
-of all candidate links, without listing the pairs inside a group.
+slots each (32 x 5: a pair at 0.8 is missed with probability 3e-6).  In each turn
+every bucket that spans several components names a hub, first the member that
+shares most buckets (the text that its copies resemble), then others; members
+outside the hub's component are compared with it, and verified links are joined
+into components.  After ``turns`` turns, all pairs of one bucket that are still in
+different components are compared, except those that a bound rules out: shingles
+that no other open document holds cannot be shared, and similarity t needs an
+overlap of t / (1 + t) times both sizes.  Pairs inside a component need no
+comparison, so the components are those of all candidate links, without listing
+the pairs inside a group.
 
 Verification joins the texts and computes the multiset overlap exactly.
 
@@ -171,38 +176,142 @@ def overlaps(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+SKETCH = 2048  # bits of the finer signature of documents that are still open
+
+
+def sharable(texts: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(id, total, shared, sketch): size of each multiset, how much of it consists
+    of shingles that another one of these texts holds too, and one bit for each
+    of 2048 slots of a finer signature."""
+
+    def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 20):
+                row, sh, count = multisets(Words(part.column(1)), k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(signed(sh)), pa.array(count, pa.int64())], ["id", "shingle", "n"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", 1 << 18):
+                row, sh, count = multisets(Words(part.column(1)), k)
+                times = signatures(row, sh, count, part.num_rows, SKETCH)
+                one = (mix(times.view(np.uint64)) & np.uint64(1)).astype(bool)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in np.packbits(one, axis=1)], pa.binary())], ["id", "sketch"])
+
+    each = texts.select("id", "text").mapInArrow(each_shingle, "id long, shingle long, n long")
+    one = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other"), F.sum("n").alias("n")).where("id = other")
+    own = one.groupBy("id").agg(F.sum("n").alias("own"))
+    sketch = texts.select("id", "text").mapInArrow(bits, "id long, sketch binary")
+    return totals.join(sketch, "id").join(own, "id", "left").select("id", "total", (F.col("total") - F.coalesce("own", F.lit(0))).alias("shared"), "sketch")
+
+
+def close_pairs(rest: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that can be links.
+
+    A bucket is cut into blocks and every pair of blocks is a cell of at most
+    2 * block rows, so a hot bucket is spread over many tasks.  In a cell a pair
+    passes if the sharing bound and the sketch (5 standard deviations below the
+    threshold, so a link is lost with probability 3e-7) allow it; it is given in
+    the first of its shared buckets only."""
+    spark = rest.sparkSession
+    sizes = rest.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "parts")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))).alias("c")
+    dealt = rest.join(sizes, "bucket").select("bucket", cell, own.alias("part"), "rep", "comp", "total", "shared", "sketch", "bands")
+    dealt = dealt.select("bucket", "c.i", "c.j", "part", "rep", "comp", "total", "shared", "sketch", "bands")
+    need = threshold / (1 + threshold)
+    p = (1 + threshold) / 2
+    agree = SKETCH * (p - 5 * (p * (1 - p) / SKETCH) ** 0.5)
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(rows)
+        n = t.num_rows
+        part, rep, comp, total, shared = (t.column(c).to_numpy() for c in ("part", "rep", "comp", "total", "shared"))
+        bucket, i, j = t.column("bucket")[0].as_py(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        at = int(np.flatnonzero(bands[0] == bucket)[0])
+        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        out = []
+        for a in x.tolist():
+            o = y[y > a] if i == j else y
+            o = o[(comp[o] != comp[a]) & (np.minimum(shared[o], shared[a]) >= need * (total[o] + total[a]) - 1e-6)]
+            if not len(o):
+                continue
+            same = SKETCH - np.bitwise_count(sketch[o] ^ sketch[a]).sum(axis=1, dtype=np.int64)
+            o = o[same >= agree]
+            o = o[~(bands[o, :at] == bands[a, :at]).any(axis=1)]
+            out += [(min(rep[a], r), max(rep[a], r)) for r in rep[o]]
+        if not out:
+            return None
+        u, v = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            b, i, j = (batch.column(c).to_numpy() for c in range(3))
+            cut = np.flatnonzero((np.diff(b) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                if s == e:
+                    continue
+                now = (b[s], i[s], j[s])
+                if now != key and held:
+                    if (out := solve(held)) is not None:
+                        yield out
+                    held = []
+                key = now
+                held.append(batch.slice(s, e - s))
+        if held and (out := solve(held)) is not None:
+            yield out
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, turns: int = 1) -> DataFrame:
     """One row per document: id, class_id (smallest identifier with the same
     shingle multiset), class_size, component_id (smallest identifier reachable
     by links), kept."""
     marks = stash(fingerprints(docs, id_col, text_col, k, bands, rows), "marks")
     classes = stash(marks.where("id IS NOT NULL").groupBy("d1", "d2", "total").agg(F.min("id").alias("rep"), F.count("*").alias("class_size"), F.any_value("bands").alias("bands")), "classes")
     buckets = classes.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    members = stash(buckets.join(shared, "bucket").select("bucket", "hub", "rep"), "members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stash(buckets.join(shared, "bucket").select("bucket", "rep", "n"), "members")
+    weight = members.groupBy("rep").agg(F.sum("n").alias("w"))  # large for the text that its copies resemble most
+    members = stash(members.join(weight, "rep").select("bucket", "rep", "w"), "weighed")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = stash(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id"), "texts")
-    todo = members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    checked = links = None
+    comp = checked = links = None
+    turn = 0
     while True:
-        seen = stash(overlaps(todo, texts, k), "verified")
+        placed = members.withColumn("comp", F.col("rep")) if comp is None else members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "w", F.coalesce("component", "rep").alias("comp"))
+        # one hub for each bucket, another one each turn; buckets of one component are done
+        rank = F.col("w") if turn == 0 else F.xxhash64("rep", "bucket", F.lit(turn))
+        hubs = placed.groupBy("bucket").agg(F.max(F.struct(rank.alias("h"), "rep", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "hub.rep", "hub.comp")
+        hubs = hubs.toDF("bucket", "hub", "hub_comp")
+        left = stash(placed.join(hubs, "bucket"), "open")
+        if left.isEmpty():
+            break
+        last = turn >= turns
+        if last:  # every pair of one bucket in different components that the bound allows
+            able = sharable(texts.join(left.select(F.col("rep").alias("id")).distinct(), "id"), classes.select(F.col("rep").alias("id"), "total"), k)
+            able = able.join(classes.select(F.col("rep").alias("id"), "bands"), "id").withColumnRenamed("id", "rep")
+            pairs = close_pairs(left.select("bucket", "rep", "comp").join(able, "rep"), threshold)
+        else:
+            pairs = left.where("comp <> hub_comp").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+        todo = pairs.distinct()
+        seen = stash(overlaps(todo if checked is None else todo.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, k), "verified")
         checked = seen if checked is None else checked.union(seen)
         good = seen.where(F.col("similarity") >= threshold).select("a", "b")
         links = good if links is None else links.union(good)
         comp = stash(components(links), "components")
-        # pairs of one bucket that lie in different components and were not compared
-        placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        open_members = stash(placed.join(mixed, "bucket"), "open")
-        x, y = open_members.alias("x"), open_members.alias("y")
-        cross = (
-            x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp")))
-            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-            .distinct()
-        )
-        todo = stash(cross.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "todo")
-        if todo.isEmpty():
+        turn += 1
+        if last:
             break
+    if comp is None:
+        comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "total", "rep", "class_size", F.coalesce("component", "rep").alias("component_id"))
     out = marks.join(found, ["d1", "d2", "total"], "left")
     named = F.col("id").isNotNull()
