@@ -16,9 +16,9 @@ PMI = log2(N n(e,t) / (df(e) df(t))) and IC(e) = log2(N / df(e)).  Where
 n(e, t) >= ``support`` and PMI >= ``alpha`` * IC(e), the term gives the entity
 away; its occurrences in texts that hold the entity are added as spans of kind
 ``term`` and are generalised to a placeholder.  df(t) is counted over all whole
-texts, but only for terms that stand near an entity with enough support.
+texts.
 
-Everything is DataFrame or SQL expressions.  Small tables (candidate terms,
+Everything is DataFrame or SQL expressions.  Small tables (copies, pairs,
 texts that hold flagged terms) are broadcast only below ``small`` rows and are
 joined by a shuffle beyond.
 
@@ -111,13 +111,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = held.join(_small(entities, small), "_e")
     pairs = known.select("_key", "_e", "_df_e", F.explode("_near").alias("_t")).distinct().groupBy("_e", "_df_e", "_t").agg(F.count("*").alias("_n")).where(F.col("_n") >= support)
     pairs = stash(pairs, "pairs")
-    wanted = stash(pairs.select("_t").distinct(), "terms")
-    if wanted.isEmpty():
+    if pairs.isEmpty():
         return found.withColumn("terms", F.expr("cast(array() as array<struct<kind: string, s: bigint, e: bigint>>)"))
-    words = rows.select("_key", F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(_text), {_lit(TERM)}, 0))")).alias("_t"))
-    df = words.join(_small(wanted, small), "_t").distinct().groupBy("_t").agg(F.count("*").alias("_df_t"))
+    # each text counts once: of copies only the rows with the smallest identifier
+    copies = stash(found.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).where("_n > 1").select("_key", "_first"), "copies")
+    once = rows.join(_small(copies, small), "_key", "left").where("_first IS NULL OR _id = _first")
+    words = once.select(F.explode(F.expr(f"array_distinct(regexp_extract_all(lower(_text), {_lit(TERM)}, 0))")).alias("_t"))
+    df = words.groupBy("_t").agg(F.count("*").alias("_df_t"))
     flagged = stash(
-        pairs.join(df, "_t").where(F.log2(F.lit(total) * F.col("_n") / (F.col("_df_e") * F.col("_df_t"))) >= alpha * F.log2(F.lit(float(total)) / F.col("_df_e"))).where(f"_df_e < {total}").select("_e", "_t"),
+        df.join(_small(pairs, small), "_t").where(F.log2(F.lit(total) * F.col("_n") / (F.col("_df_e") * F.col("_df_t"))) >= alpha * F.log2(F.lit(float(total)) / F.col("_df_e"))).where(f"_df_e < {total}").select("_e", "_t"),
         "flagged",
     )
     lists = known.select("_key", "_e").distinct().join(flagged, "_e").groupBy("_key").agg(F.collect_set("_t").alias("_terms"))
