@@ -22,7 +22,7 @@ Defined cases: null and empty texts have no evidence against their site's rate
 beyond their shape, which the models see as length 0; null host or path is a
 site of its own; labels that are null are not used, labels of documents that are
 not in the table neither; with no labels of one class the rate is used alone;
-extra columns are carried along; repeated rows are scored alike.
+extra columns are carried along, except those named like the three results; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -246,19 +246,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 shape = shapes(words, part.num_rows)
                 found = marks(words)
                 extra = [pa.array(models[c].logit(found, shape)) for c in ("low", "toxic")]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*columns, "_low", "_toxic"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*columns, "__low", "__toxic"])
 
-    scored = docs.mapInArrow(run, fields + ", _low double, _toxic double")
+    scored = docs.mapInArrow(run, fields + ", __low double, __toxic double")
+    sites = sites.toDF(*[f"__site{c}" for c in sites.columns])  # no column of docs can clash
     few = sites.limit(max_sites + 1).count() <= max_sites
     right = F.broadcast(sites) if few else sites
-    keyed = scored.withColumns({"_dh": F.expr(host), "_dp": F.expr(path)})
-    joined = keyed.join(right, keyed["_dh"].eqNullSafe(sites["_host"]) & keyed["_dp"].eqNullSafe(sites["_path"]), "left")
+    keyed = scored.withColumns({"__dh": F.expr(host), "__dp": F.expr(path)})
+    joined = keyed.join(right, keyed["__dh"].eqNullSafe(sites["__site_host"]) & keyed["__dp"].eqNullSafe(sites["__site_path"]), "left")
 
     def posterior(c: str):
-        prior = F.coalesce(F.col(f"path_{c}"), F.lit(rates[c]))
-        return 1 / (1 + F.exp(-(F.col(f"_{c}") + F.log(prior / (1 - prior)))))
+        prior = F.coalesce(F.col(f"__sitepath_{c}"), F.lit(rates[c]))
+        return 1 / (1 + F.exp(-(F.col(f"__{c}") + F.log(prior / (1 - prior)))))
 
-    found = joined.select(*docs.columns, posterior("low").alias("low_posterior"), posterior("toxic").alias("toxic_posterior"))
+    rest = [c for c in docs.columns if c not in ("low_posterior", "toxic_posterior", "kept")]
+    found = joined.select(*rest, posterior("low").alias("low_posterior"), posterior("toxic").alias("toxic_posterior"))
     return found.withColumn("kept", (F.col("low_posterior") <= cut) & (F.col("toxic_posterior") <= cut))
 
 

@@ -139,18 +139,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     ``[EMAIL]``; overlapping spans become one.  Other columns stay as they are."""
     spans = find_spans(docs, id_col, text_col, **options)
     cut = spans.where("size(spans) + size(terms) > 0").select(
-        "_key", F.expr("array_sort(concat(transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)), transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))))").alias("_cuts")
+        F.col("_key").alias("__key"), F.expr("array_sort(concat(transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind)), transform(terms, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))))").alias("_cuts")
     )
-    cut = stash(cut.groupBy("_key").agg(F.any_value("_cuts").alias("_cuts")), "cuts")
+    cut = stash(cut.groupBy("__key").agg(F.any_value("_cuts").alias("__cuts")), "cuts")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(_small(cut, 50_000), "_key", "left")
+    joined = docs.withColumn("__key", F.xxhash64(text)).join(_small(cut, 50_000), "__key", "left")
     body = (
-        "aggregate(_cuts, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a "
+        "aggregate(__cuts, named_struct('at', 0L, 'out', cast(array() as array<string>)), (a, x) -> CASE WHEN x.e <= a.at THEN a "
         f"WHEN x.s < a.at THEN named_struct('at', x.e, 'out', a.out) "
         f"ELSE named_struct('at', x.e, 'out', concat(a.out, array(substring(`{text_col}`, cast(a.at + 1 as int), cast(x.s - a.at as int)), concat('[', upper(x.kind), ']')))) END, "
         f"a -> concat(array_join(a.out, ''), substring(`{text_col}`, cast(a.at + 1 as int))))"
     )
-    new = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.expr(body))
+    new = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.expr(body))
     return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
