@@ -22,7 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 5: of equal texts the row with the smallest doc_id stays."""
-    return exact.exact_groups(docs, keep="smallest", carry=docs.columns).where("kept").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of results cannot clash
+    got = exact.exact_groups(plain, f"c{names.index('doc_id')}", f"c{names.index('text')}", "smallest", carry=plain.columns)
+    return got.where("kept").select(*plain.columns).toDF(*names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
