@@ -282,7 +282,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weight = members.groupBy("rep").agg(F.sum("n").alias("w"))  # large for the text that its copies resemble most
     members = stash(members.join(weight, "rep").select("bucket", "rep", "w"), "weighed")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = stash(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id"), "texts")
+    # one plan at every size: a list of identifiers that grows is never broadcast
+    texts = stash(texts.hint("merge").join(members.select(F.col("rep").alias("id")).distinct(), "id"), "texts")
     comp = checked = links = None
     turn = 0
     while True:
