@@ -89,12 +89,13 @@ def psite_hits(reads: DataFrame, offsets: DataFrame) -> DataFrame:
     Nucleotides count from 1."""
     d = reads.join(F.broadcast(offsets), "length")
     hits = F.flatten(F.transform("p_site", lambda o: F.when(o == -1, F.sequence(F.col("block_start"), F.col("block_end") - 1)).otherwise(F.array(F.col("block_start") + o))))
-    return d.select(F.col("rname").alias("name"), (F.explode(hits) + 1).cast("long").alias("nt")).groupBy("name", "nt").agg(F.count("*").alias("n"))
+    hits = F.transform(hits, lambda x: (x + 1).cast("long"))
+    return d.select(F.col("rname").alias("name"), F.explode(hits).alias("nt")).groupBy("name", "nt").agg(F.count("*").alias("n"))
 
 
 def rolling_hits(reads: DataFrame, step: int = 32) -> DataFrame:
     """RNA density: a hit every ``step`` nucleotides of the block."""
-    return reads.where("block_end > block_start").select(F.col("rname").alias("name"), (F.explode(F.sequence(F.col("block_start"), F.col("block_end") - 1, F.lit(step))) + 1).cast("long").alias("nt")).groupBy("name", "nt").agg(F.count("*").alias("n"))
+    return reads.where("block_end > block_start").select(F.col("rname").alias("name"), F.explode(F.sequence((F.col("block_start") + 1).cast("long"), F.col("block_end").cast("long"), F.lit(step).cast("long"))).alias("nt")).groupBy("name", "nt").agg(F.count("*").alias("n"))
 
 
 def genome_track(reads: DataFrame, offsets: DataFrame, scale: float = 1e6) -> DataFrame:

@@ -21,7 +21,7 @@ def write_fasta(df: DataFrame, path: str, id_col: str = "id", seq_col: str = "se
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, id, seq, quality); a file is read as one row, so large inputs
     should be many files (gzip, the usual form, cannot be split either)."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("l"))
     n = F.floor(F.size("l") / 4).cast("int")
     rec = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("record"), F.regexp_replace(F.get("l", i * 4), "^@", "").alias("id"), F.get("l", i * 4 + 1).alias("seq"), F.get("l", i * 4 + 3).alias("quality")))
     return whole.where(n > 0).select("file", F.explode(rec).alias("x")).select("file", "x.*")

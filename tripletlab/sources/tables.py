@@ -125,8 +125,8 @@ def read_peaks(spark: SparkSession, path: str, alpha: float | None = None) -> Da
 
 def read_aligner_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log: file, reads processed, alignments reported."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    return text.select("file", F.regexp_extract("value", r"# reads processed: (\d+)", 1).cast("long").alias("processed"), F.regexp_extract("value", r"Reported (\d+)", 1).cast("long").alias("reported"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    return text.select("file", F.regexp_extract("value", r"# reads processed: (\d+)", 1).try_cast("long").alias("processed"), F.regexp_extract("value", r"Reported (\d+)", 1).try_cast("long").alias("reported"))
 
 
 def read_orf_bed(spark: SparkSession, path: str) -> DataFrame:
