@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tripletlab.operators import compare, density, peaks, profiles, reads
+from tripletlab.operators import compare, density, peaks, profiles, reads, tracks
 
 
 def gene(spark, xs, name="g"):
@@ -183,3 +183,20 @@ def test_saturation(spark):
     d = spark.range(5000).select("id", (F.col("id") % 97).alias("g"))
     got = [r.genes for r in reads.saturation(d, "id", "g").orderBy("step").collect()]
     assert got == sorted(got) and got[-1] <= 97 and len(got) == 9
+
+
+def test_tracks(spark):
+    d = spark.createDataFrame([("c", 5, 4.0), ("c", 9, 2.0)], "chr string, pos long, x double")
+    got = {r.pos: r.x for r in tracks.smooth(d, [0.25, 0.5, 0.25], ["chr"], "pos", "x").collect()}
+    assert got == {4: 1.0, 5: 2.0, 6: 1.0, 8: 0.5, 9: 1.0, 10: 0.5}
+    assert tracks.polynomial_weights(5, 2) == pytest.approx([-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35])
+    assert sum(tracks.gaussian_weights(2.0)) == pytest.approx(1.0)
+    codons = spark.createDataFrame([("g", i + 1, c) for i, c in enumerate(["ATG", "GCT", "AAA", "TAA"])], "name string, pos long, codon string")
+    peak = spark.createDataFrame([("g", 2, 2)], "name string, start long, end long")
+    r = tracks.peak_sequences(peak, codons, 1).first()
+    assert (r.seq, r.protein) == ("ATGGCTAAA", "MAK")
+    seqs = spark.createDataFrame([("a", "AC"), ("b", "GG")], "id string, seq string")
+    found, missing = tracks.lookup(seqs, spark.createDataFrame([(">a",), ("z",)], "x string"))
+    assert [x.id for x in found.collect()] == ["a"] and [x.id for x in missing.collect()] == ["z"]
+    m = spark.createDataFrame([("g", 0, 1.0), ("g", 1, 2.0)], "name string, bin int, m double")
+    assert tracks.bin_matrix(m, 2).first()["1"] == 2.0

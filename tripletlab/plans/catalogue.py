@@ -15,6 +15,7 @@ from tripletlab.operators import density as D
 from tripletlab.operators import peaks as K
 from tripletlab.operators import profiles as P
 from tripletlab.operators import reads as R
+from tripletlab.operators import tracks as T
 from tripletlab.plans.analogs import EV, LN, LN0, events_density, line_counts, line_density, table
 from tripletlab.streaming import windows as W
 
@@ -560,3 +561,43 @@ def tumbling_windows(spark, sf):
 @query("WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def session_windows(spark, sf):
     return W.sessions(table(spark, sf, "events")).select("user_id", "start", "end", "n")
+
+
+_GAUSS = T.gaussian_weights(1.0, 2.0)
+
+
+@query(f"WITH {EV}, w AS (SELECT unnest({_GAUSS}) AS w, unnest(range(-2, 3)) AS k) SELECT name, CAST(pos + k AS BIGINT) AS pos, greatest(0, round(sum(x * w), 4)) AS x FROM ev, w GROUP BY ALL")
+def smooth_gaussian(spark, sf):
+    return T.smooth(ev(spark, sf).select("name", "pos", "x"), _GAUSS, ["name"], "pos", "x")
+
+
+_POLY = T.polynomial_weights(5, 2)
+
+
+@query(f"WITH {EV}, w AS (SELECT unnest({_POLY}) AS w, unnest(range(-2, 3)) AS k) SELECT name, CAST(pos + k AS BIGINT) AS pos, greatest(0, round(sum(x * w), 4)) AS x FROM ev, w GROUP BY ALL")
+def smooth_polynomial(spark, sf):
+    return T.smooth(ev(spark, sf).select("name", "pos", "x"), _POLY, ["name"], "pos", "x")
+
+
+@query("SELECT source, count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en, count(*) AS total FROM documents GROUP BY source")
+def sequence_matrix(spark, sf):
+    return T.sequence_matrix(table(spark, sf, "documents"), "source", "lang", ["de", "en"])
+
+
+@query(f"WITH {LN0}, g AS (SELECT name, sum(f0) AS s FROM ln0 GROUP BY name), q AS (SELECT quantile_cont(s, [0.25, 0.5, 0.75]) AS q FROM g) SELECT name, CAST(s AS BIGINT) AS s, CAST(1 + (s > q[1])::INT + (s > q[2])::INT + (s > q[3])::INT AS INT) AS quartile FROM g, q")
+def quartile_split(spark, sf):
+    return T.quartiles(line_counts(spark, sf).groupBy("name").agg(F.sum("f0").alias("s")), "s")
+
+
+@query(f"WITH {EV}, p AS (SELECT name, 5 AS a, 8 AS b FROM (SELECT DISTINCT name FROM ev)) SELECT ev.name, ev.pos, round(x, 6) AS x FROM ev JOIN p ON ev.name = p.name AND pos BETWEEN a - 2 AND b + 3")
+def region_rows(spark, sf):
+    e = ev(spark, sf)
+    ranges = e.select("name").distinct().withColumns({"start": F.lit(5), "end": F.lit(8)})
+    return T.region_rows(e, ranges, 2, 3).select("name", "pos", *r6("x"))
+
+
+@query("WITH c AS (SELECT l_linestatus AS sample, l_returnflag AS database, count(*) AS n FROM lineitem GROUP BY ALL) SELECT sample, database, CAST(CASE database WHEN 'R' THEN 1 WHEN 'N' THEN 2 WHEN 'A' THEN 3 ELSE 0 END AS INT) AS rank, n AS \"count\", round(n * 100.0 / sum(n) OVER (PARTITION BY sample), 6) AS ratio FROM c")
+def mapping_ratio(spark, sf):
+    c = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("sample"), F.col("l_returnflag").alias("database")).agg(F.count("*").alias("reported"))
+    t = c.groupBy("sample").agg(F.sum("reported").alias("processed"))
+    return T.mapping_ratios(c.join(F.broadcast(t), "sample"), ["R", "N", "A"]).select("sample", "database", "rank", "count", *r6("ratio"))
