@@ -43,8 +43,9 @@ SLACK = 1e-9
 class CoverTree:
     """Nodes as arrays: centre row, covering radius, range of ``order``, children."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 128) -> None:
+    def __init__(self, points: np.ndarray, leaf: int = 512) -> None:
         self.points, self.leaf = points, leaf
+        self.rough = points.astype(np.float32)
         self.order = np.arange(len(points))
         self.centre: list[np.ndarray] = []
         self.radius: list[float] = []
@@ -89,10 +90,9 @@ class CoverTree:
 
 
 def dual(one: CoverTree, two: CoverTree, cosine: float, near, inside, same: bool) -> None:
-    """Traverse two trees together.  near(rows_a, rows_b, mask) gets decided
-    pairs, inside(rows_a, rows_b) pairs of whole nodes.  With ``same`` the trees
-    are one, and each unordered pair is visited once (blocks on the diagonal are
-    given to ``near`` with the upper triangle only)."""
+    """Traverse two trees together.  near(rows_a, rows_b) gets linked pairs,
+    inside(rows_a, rows_b) whole nodes all of whose pairs are links.  With
+    ``same`` the trees are one, and each unordered pair is visited once."""
     if not len(one.points) or not len(two.points):
         return
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
@@ -110,10 +110,14 @@ def dual(one: CoverTree, two: CoverTree, cosine: float, near, inside, same: bool
         leaf_x, leaf_y = not one.kids[x], not two.kids[y]
         if (leaf_x and leaf_y) or (b - a) * (d - c) <= one.leaf * two.leaf:
             p, q = one.order[a:b], two.order[c:d]
-            mask = one.points[p] @ two.points[q].T >= cosine
+            # single precision, with room for its error, picks what double decides
+            mask = one.rough[p] @ two.rough[q].T >= np.float32(cosine - 1e-4)
             if same and x == y:
                 mask = np.triu(mask, 1)
-            near(p, q, mask)
+            i, j = np.nonzero(mask)
+            if len(i):
+                sure = np.einsum("ij,ij->i", one.points[p[i]], two.points[q[j]]) >= cosine
+                near(p[i[sure]], q[j[sure]])
         elif same and x == y:
             kids = one.kids[x]
             todo += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
@@ -144,12 +148,10 @@ class _Links:
                     break
                 self.root = up
 
-    def pairs(self, p: np.ndarray, q: np.ndarray, mask: np.ndarray) -> None:
-        i, j = np.nonzero(mask)
-        if len(i):
-            np.add.at(self.count, p[i], self.weight[q[j]])
-            np.add.at(self.count, q[j], self.weight[p[i]])
-            self.join(p[i], q[j])
+    def pairs(self, p: np.ndarray, q: np.ndarray) -> None:
+        np.add.at(self.count, p, self.weight[q])
+        np.add.at(self.count, q, self.weight[p])
+        self.join(p, q)
 
     def whole(self, p: np.ndarray, q: np.ndarray) -> None:
         self.count[p] += self.weight[q].sum()
@@ -289,7 +291,7 @@ def _join(points: DataFrame, pivots: np.ndarray, total: int, cosine: float, reac
             n = len(state["rep"])
             links = _Links(np.append(state["weight"], w))
             tree = CoverTree(x)
-            dual(state["tree"], tree, cosine, lambda p, q, m: links.pairs(p, q + n, m), lambda p, q: links.whole(p, q + n), False)
+            dual(state["tree"], tree, cosine, lambda p, q: links.pairs(p, q + n), lambda p, q: links.whole(p, q + n), False)
             return give(np.append(state["rep"], rep), links)
 
         guests: list = []
