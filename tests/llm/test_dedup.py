@@ -194,6 +194,15 @@ def test_substrings_match_brute_force(spark, span):
         assert r.kept_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
 
 
+@pytest.mark.parametrize("span", [8, 20])
+def test_substrings_of_every_period(spark, span):
+    """Text that repeats itself at any distance, in one document and nowhere else."""
+    rows = [(p, " ".join(f"w{p}x{j % p}" for j in range(3 * p + 2 * span))) for p in range(1, 31)]
+    got = {r.doc_id: r.kept_text for r in fmindex.remove_repeats(docs_of(spark, rows, True), span=span).collect()}
+    assert got == brute_windows(rows, span)
+    assert all(len(got[p].split()) == p for p, _ in rows)
+
+
 def test_substring_edges(spark):
     assert fmindex.remove_repeats(docs_of(spark, [])).count() == 0
     t = " ".join(f"w{i}" for i in range(30))

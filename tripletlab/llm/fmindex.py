@@ -177,7 +177,7 @@ def window_keys(words: Words, span: int, gram: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(words.doc[: n - span + 1] == words.doc[span - 1 :])
     key, row = low[first], words.doc[first]
     twin = np.zeros(n + span, bool)
-    for d in range(1, width):
+    for d in range(1, width + 1):  # windows of one run hold their key at most ``width`` grams apart
         twin[:-d] |= g[:-d] == g[d:]
     twin &= g != _TOP
     twins = np.append(0, np.cumsum(twin))
