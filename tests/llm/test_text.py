@@ -108,6 +108,40 @@ def test_disclosing_terms(spark):
     assert "zorblax" in sanitise.redact(frame(spark, copies)).where("doc_id = 1").first().text  # copies are no evidence
 
 
+def plain_near(t, s, e):
+    """Terms that lie whole in the 60 characters before or after [s, e)."""
+    runs = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]+", t)]
+    return {w for a, b, w in runs if b - a >= 3 and (s - 60 <= a and b <= s or e <= a and b <= e + 60)}
+
+
+def test_near_terms_match_plain_windows(spark):
+    """At both ends of a text, at the rim of the window, between close matches
+    (also such as fail their check), and at the edges of the blocks of a text."""
+    random.seed(8)
+    rows = [(1, "Zorblax bob@x.org"), (2, "bob@x.org Zorblax"), (3, "Zorblax\tbob@x.org; ann@y.org; Quimby"), (4, "Zorblax 999.1.1.1 1.2.3.4 999.1.1.2 Quimby"), (5, "bob@x.org"), (6, "Äöüé bob@x.orgé Zorblaxé🙂")]
+    rows += [(100 + n, f"Zorblax{'.' * n}bob@x.org{'.' * n}Quimby") for n in range(50, 64)]
+    rows += [(200 + n, f"ab{'.' * (n - 2)}bob@x.org{'.' * n}cd") for n in range(50, 64)]
+    rows += [(300 + n, f"aZorblax{'.' * 53}bob@x.org{'.' * 54}Quimbyz {n}") for n in range(2)]
+    words = ["Zorblax", "naïve", "ab", "bob@x.org", "+1 555 123 4567", "1.2.3.4", "999.1.1.1", "a@b", "🙂", "4111 1111 1111 1111", "Quimby,", "\n", "--", "über"]
+    rows += [(1000 + i, " ".join(random.choice(words) for _ in range(random.randrange(1, 150)))) for i in range(300)]
+    rows += [(2000 + n, "é🙂" * (n // 2) + "." * (n % 2) + " Zorblax 1.2.3.4 Quimby" + "!" * 300) for n in range(180, 270)]
+    texts = dict(rows)
+    for r in sanitise.find_spans(frame(spark, rows)).collect():
+        t = texts[r._id]
+        assert [(x.kind, x.s, x.e) for x in r.spans] == plain_spans(t)
+        for x in r.spans:
+            assert len(x.near) == len(set(x.near)) and set(x.near) == plain_near(t, x.s, x.e), (t, x)
+
+
+@pytest.mark.parametrize("form", ["Zorblax bob@x.org {}", "{} bob@x.org Zorblax", "bob@x.org, a{}@y.org, Zorblax the {}"])
+def test_disclosing_terms_at_ends_and_in_lists(spark, form):
+    rows = [(i, form.format(i, i)) for i in range(6)] + [(100 + i, f"common plain text number {i} about the lake") for i in range(200)]
+    out = {r.doc_id: r.text for r in sanitise.redact(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert "Zorblax" not in out[i] and "bob@x.org" not in out[i]
+        assert i < 100 or out[i] == t
+
+
 def test_sanitise_empty(spark):
     assert sanitise.find_spans(frame(spark, [])).count() == 0
     assert sanitise.redact(frame(spark, [])).count() == 0

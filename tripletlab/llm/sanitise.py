@@ -11,7 +11,8 @@ sums in chunks of 256 inside the row, so a text with very many matches stays lin
 Disclosing terms.  A term (three letters or more, lower-cased) near a match is
 judged by corpus co-occurrence over distinct texts, so copies are no evidence:
 with N distinct texts, df(e), df(t) and n(e, t) of them holding the entity, the
-term, and the term within 60 characters of the entity,
+term, and the term whole in the 60 characters before or after the entity (by
+place in the text, whatever other matches lie there),
 PMI = log2(N n(e,t) / (df(e) df(t))) and IC(e) = log2(N / df(e)).  Where
 n(e, t) >= ``support`` and PMI >= ``alpha`` * IC(e), the term gives the entity
 away; its occurrences in texts that hold the entity are added as spans of kind
@@ -44,6 +45,7 @@ PATTERNS = {
 }
 TERM = r"\p{L}{3,}+"
 NEAR = 60
+BLOCK = 256
 
 
 def _lit(pattern: str) -> str:
@@ -51,21 +53,32 @@ def _lit(pattern: str) -> str:
 
 
 def _places(matches: str, pieces: str) -> str:
-    """SQL: array of (s, e, v, near) from the matches and the pieces between."""
-    near = _lit(r"(?<=[^\p{L}])\p{L}{3,}+(?=[^\p{L}])")
-    item = (
-        f"transform({matches}, (v, i) -> named_struct('g', cast(length({pieces}[i]) as bigint), 'l', cast(length(v) as bigint), 'v', v, "
-        f"'near', array_distinct(regexp_extract_all(lower(concat(substring({pieces}[i], -{NEAR}), ' ', substring({pieces}[i + 1], 1, {NEAR}))), {near}, 0))))"
-    )
-    row = "named_struct('s', a.pos + z.g, 'e', a.pos + z.g + z.l, 'v', z.v, 'near', z.near)"
-    kind = "array<struct<s: bigint, e: bigint, v: string, near: array<string>>>"
+    """SQL: array of (s, e, v) from the matches and the pieces between."""
+    item = f"transform({matches}, (v, i) -> named_struct('g', cast(length({pieces}[i]) as bigint), 'l', cast(length(v) as bigint), 'v', v))"
+    row = "named_struct('s', a.pos + z.g, 'e', a.pos + z.g + z.l, 'v', z.v)"
+    kind = "array<struct<s: bigint, e: bigint, v: string>>"
     part = f"aggregate(slice(items, c * 256 + 1, 256), named_struct('pos', 0L, 'out', cast(array() as {kind})), (a, z) -> named_struct('pos', a.pos + z.g + z.l, 'out', concat(a.out, array({row}))))"
     parts = f"transform(array({item}), items -> transform(sequence(0, (size(items) - 1) div 256), c -> {part}))[0]"
     bases = "aggregate(parts, named_struct('pos', 0L, 'out', cast(array() as array<bigint>)), (a, q) -> named_struct('pos', a.pos + q.pos, 'out', concat(a.out, array(a.pos)))).out"
-    moved = f"flatten(zip_with(parts, {bases}, (q, b) -> transform(q.out, x -> named_struct('s', x.s + b, 'e', x.e + b, 'v', x.v, 'near', x.near))))"
+    moved = f"flatten(zip_with(parts, {bases}, (q, b) -> transform(q.out, x -> named_struct('s', x.s + b, 'e', x.e + b, 'v', x.v))))"
     return f"CASE WHEN size({matches}) > 0 THEN transform(array({parts}), parts -> {moved})[0] ELSE cast(array() as {kind}) END"
 
 
+def _near(blocks: str) -> str:
+    """SQL: the distinct terms that lie whole in the NEAR characters before or
+    after the span ``x`` of the text that ``blocks`` (BLOCK characters each, so
+    a window takes two of them) holds.  One more character on either side only
+    shows where a term ends; beyond the text there is a blank."""
+    term = _lit(r"(?<=[^\p{L}])\p{L}{3,}+(?=[^\p{L}])")
+
+    def cut(a: str, n: int) -> str:
+        return f"substring(concat(coalesce(get({blocks}, cast(({a}) div {BLOCK} as int)), ''), coalesce(get({blocks}, cast(({a}) div {BLOCK} as int) + 1), '')), cast(({a}) % {BLOCK} as int) + 1, {n})"
+
+    left = f"concat(CASE WHEN x.s > {NEAR} THEN {cut(f'x.s - {NEAR + 1}', NEAR + 1)} ELSE concat(' ', substring({blocks}[0], 1, cast(x.s as int))) END, left(x.v, 1))"
+    right = f"concat(right(x.v, 1), rpad({cut('x.e', NEAR + 1)}, {NEAR + 1}, ' '))"
+    return f"array_distinct(concat(regexp_extract_all(lower({left}), {term}, 0), regexp_extract_all(lower({right}), {term}, 0)))"
+
+
 _DIGITS = "regexp_replace(x.v, '[^0-9]', '')"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CHECKS = {
@@ -86,8 +99,9 @@ def base_spans(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn(f"_p_{k}", F.expr(f"CASE WHEN size(_m_{k}) > 0 THEN split(_text, {_lit(PATTERNS[k])}, -1) END"))
     for k in KINDS:
         rows = rows.withColumn(f"_s_{k}", F.expr(f"filter({_places(f'_m_{k}', f'_p_{k}')}, x -> {CHECKS[k]})"))
-    tagged = [F.expr(f"transform(_s_{k}, x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, 'v', x.v, 'near', x.near))") for k in KINDS]
-    return rows.withColumn("spans", F.concat(*tagged)).drop(*[f"_{c}_{k}" for c in "mps" for k in KINDS])
+    rows = rows.withColumn("_b", F.expr(f"CASE WHEN {' + '.join(f'size(_s_{k})' for k in KINDS)} > 0 THEN regexp_extract_all(_text, {_lit(f'(?s).{{1,{BLOCK}}}')}, 0) END"))
+    tagged = [F.expr(f"transform(_s_{k}, x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, 'v', x.v, 'near', {_near('_b')}))") for k in KINDS]
+    return rows.withColumn("spans", F.concat(*tagged)).drop("_b", *[f"_{c}_{k}" for c in "mps" for k in KINDS])
 
 
 def _joined(spans: str) -> str:
