@@ -178,6 +178,16 @@ def test_quality_held_out(spark):
     assert all(got[i].kept == (got[i].low_posterior <= 0.5 and got[i].toxic_posterior <= 0.5) for i, _, _ in held)
 
 
+def test_quality_label_bound(spark, monkeypatch):
+    """The default bound takes 20,000 labelled rows; fewer are all used."""
+    seen, real = [], quality.Model
+    monkeypatch.setattr(quality, "Model", lambda pairs, shape, label, max_words: seen.append(len(label)) or real(pairs, shape, label, max_words))
+    for n, want in ((9_000, 9_000), (21_000, 20_000)):
+        docs = spark.range(n).selectExpr("id AS doc_id", "'a b' AS text", "'s' AS source", "'en' AS lang")
+        quality.score(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+        assert seen[-2:] == [want, want]
+
+
 def test_site_shrinkage(spark):
     docs = spark.createDataFrame([(i, "big" if i < 200 else "bad" if i < 260 else f"s{i}", "p") for i in range(264)], "doc_id long, source string, lang string")
     lab = spark.createDataFrame([(i, 0 if 200 <= i < 260 or i == 260 else 1, 0) for i in range(264)], "doc_id long, quality int, toxic int")

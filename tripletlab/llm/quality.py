@@ -1,7 +1,7 @@
 """Op 7: quality classifier with hierarchical empirical Bayes.
 
 Document evidence.  Two logistic models (low quality, toxicity) are fitted on a
-bounded sample of labelled rows (``max_labels``, 6,000 by default, taken by a
+bounded sample of labelled rows (``max_labels``, 20,000 by default, taken by a
 hash of the identifier).  Features are the shape of a text (shares of symbols,
 capitals, digits, word repetition, length) and the counts of the
 ``max_words`` words and word beginnings that the labels separate best.  Scoring is one pass over the
@@ -28,6 +28,7 @@ extra columns are carried along, except those named like the three results; repe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -107,8 +108,8 @@ def shapes(words: Words, n: int) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last weight is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    """Ridge logistic regression by Newton's method; the last column of ``x`` is
+    one, and its weight the intercept."""
     w = np.zeros(x.shape[1])
     pen = np.full(x.shape[1], ridge)
     pen[-1] = 1e-3
@@ -123,35 +124,39 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> n
     return w
 
 
+def _tally(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(mark, texts, texts with the label), sorted by mark, summed over parts."""
+    mark, *sums = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(mark, kind="stable")
+    mark = mark[order]
+    at = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])[: len(mark)])
+    return mark[at], *(np.add.reduceat(x[order], at) if len(at) else x for x in sums)
+
+
 class Model:
     """Word hashes (sorted), scaling of shapes and weights of one label."""
 
-    def __init__(self, texts: list[str | None], label: np.ndarray, max_words: int) -> None:
+    def __init__(self, pairs: list[tuple], shape: np.ndarray, label: np.ndarray, max_words: int) -> None:
+        """``pairs`` and ``shape`` as from evidence(); rows whose label is NaN are not used."""
+        known = ~np.isnan(label)
+        every, label = label, label[known]
         self.rate = float((label.sum() + 0.5) / (len(label) + 1))
-        self.words, self.weights = np.zeros(0, np.uint64), None
+        self.words, self.weights, self.todo = np.zeros(0, np.uint64), None, None
         if not len(label) or label.min() == label.max():
             return
-        shape_parts, pairs = [], []
-        for a in range(0, len(texts), 200):
-            w = Words(pa.array(texts[a : a + 200], pa.string()))
-            row, mark = marks(w)
-            order = np.lexsort((mark, row))
-            row, mark = row[order], mark[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
-            at = np.flatnonzero(new)
-            pairs.append((mark[at], (row[at] + a).astype(np.int32), np.diff(np.append(at, len(row))).astype(np.int32)))
-            shape_parts.append(shapes(w, len(texts[a : a + 200])))
-        shape = np.concatenate(shape_parts)
-        mark, doc, times = (np.concatenate(x) for x in zip(*pairs))
-        del pairs
-        order = np.argsort(mark, kind="stable")
-        mark, doc, times = mark[order], doc[order], times[order]
-        new = np.ones(len(mark), bool)
-        new[1:] = mark[1:] != mark[:-1]
-        at = np.flatnonzero(new)
-        kinds, seen = mark[at], np.diff(np.append(at, len(mark)))
-        hits = np.add.reduceat(label[doc], at) if len(at) else np.zeros(0)
+        shape = shape[known]
+        tallies, held, a = [], 0, 0
+        for row, mark, size, _ in pairs:
+            y = every[a : a + size][row]
+            some = ~np.isnan(y)
+            tallies.append(_tally([(mark[some], np.ones(int(some.sum())), y[some])]))
+            held += len(tallies[-1][0])
+            if held > 2 * len(tallies[0][0]) + 1_000_000:
+                tallies = [_tally(tallies)]
+                held = len(tallies[0][0])
+            a += size
+        kinds, seen, hits = _tally(tallies)
+        del tallies
         n1, n0 = label.sum(), len(label) - label.sum()
         gain = np.abs(np.log((hits + 0.5) / (n1 + 1)) - np.log((seen - hits + 0.5) / (n0 + 1))) * np.sqrt(seen)
         gain[seen < max(3, len(label) // 2000)] = 0
@@ -160,8 +165,25 @@ class Model:
         self.mean, self.scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
-        x = np.concatenate([(shape - self.mean) / self.scale, self.counts(doc, mark, len(texts), times)], axis=1)
-        self.weights = _fit(x, label.astype(np.float64))
+        few = ((np.isin(p[1], self.words), *p) for p in pairs)
+        few = [(row[hit], mark[hit], size, times[hit]) for hit, row, mark, size, times in few]
+        self.todo = few, (shape - self.mean) / self.scale, label, known
+
+    def fit(self) -> Model:
+        """The weights, from what is left of the evidence once words are chosen."""
+        if self.todo is None:
+            return self
+        (few, shape, label, known), self.todo = self.todo, None
+        x = np.ones((len(label), SHAPES + len(self.words) + 1))
+        x[:, :SHAPES] = shape
+        a = b = 0
+        for row, mark, size, times in few:
+            some = known[a : a + size]
+            n = int(some.sum())
+            x[b : b + n, SHAPES:-1] = self.counts(row, mark, size, times)[some]
+            a, b = a + size, b + n
+        self.weights = _fit(x, label)
+        return self
 
     def counts(self, doc: np.ndarray, mark: np.ndarray, n: int, times: np.ndarray | None = None) -> np.ndarray:
         """log(1 + occurrences) of the chosen words in each of n rows."""
@@ -184,18 +206,40 @@ class Model:
         return ((shape - self.mean) / self.scale) @ w[:SHAPES] + self.counts(*found, n) @ w[SHAPES:-1] + w[-1] - np.log(self.rate / (1 - self.rate))
 
 
+def evidence(texts: Iterator[str | None], step: int = 200) -> tuple[list[tuple], np.ndarray]:
+    """Of texts taken ``step`` at a time: the distinct (row, mark) of each step
+    with its rows and the times of each, and the shapes of all.  Texts are not held."""
+    pairs, parts = [], [np.zeros((0, SHAPES))]
+    while some := list(islice(texts, step)):
+        w = Words(pa.array(some, pa.string()))
+        row, mark = marks(w)
+        order = np.lexsort((row, mark))
+        row, mark = row[order], mark[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
+        at = np.flatnonzero(new)
+        pairs.append((row[at].astype(np.uint8), mark[at], len(some), np.diff(np.append(at, len(row))).astype(np.int32)))
+        parts.append(shapes(w, len(some)))
+    return pairs, np.concatenate(parts)
+
+
 def fit_models(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labels: int, max_words: int) -> dict[str, Model]:
     """Models of low quality and toxicity from a bounded sample of labelled rows."""
     known = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_lid")).agg(F.max("quality").alias("_q"), F.max("toxic").alias("_t"))
     chosen = known.orderBy(F.xxhash64("_lid"), "_lid").limit(max_labels)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_text", "_q", "_t").limit(max_labels).toPandas()
-    rows = rows.sort_values(["_id"], kind="stable")
-    out = {}
-    for name, column, flip in (("low", "_q", True), ("toxic", "_t", False)):
-        have = rows[rows[column].notna()]
-        y = have[column].to_numpy(np.float64)
-        out[name] = Model(have["_text"].tolist(), 1 - y if flip else y, max_words)
-    return out
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select("_id", "_text", "_q", "_t").limit(max_labels).orderBy("_id")
+    label = {"low": [], "toxic": []}
+
+    def texts() -> Iterator[str | None]:
+        for _, text, q, t in rows.toLocalIterator():  # a partition at a time
+            label["low"].append(np.nan if q is None else 1.0 - q)
+            label["toxic"].append(np.nan if t is None else float(t))
+            yield text
+
+    pairs, shape = evidence(texts())
+    out = {name: Model(pairs, shape, np.array(y, np.float64), max_words) for name, y in label.items()}
+    del pairs  # before the dense matrices are made
+    return {name: m.fit() for name, m in out.items()}
 
 
 def site_posteriors(docs: DataFrame, labels: DataFrame, id_col: str, host: str, path: str) -> tuple[DataFrame, dict[str, float]]:
@@ -228,7 +272,7 @@ def site_posteriors(docs: DataFrame, labels: DataFrame, id_col: str, host: str,
     return out.select("_host", "_path", *[f"{p}_{c}" for c in names for p in ("host", "path")]), rates
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", cut: float = 0.5, max_labels: int = 6_000, max_words: int = 400, max_sites: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", cut: float = 0.5, max_labels: int = 20_000, max_words: int = 400, max_sites: int = 20_000) -> DataFrame:
     """All columns of ``docs`` plus low_posterior, toxic_posterior, kept.
 
     Site posteriors are joined by broadcast while they are at most ``max_sites``
