@@ -240,6 +240,17 @@ def test_packing(spark):
     assert packing.pack(packing.word_counts(frame(spark, []))).count() == 0
 
 
+def test_packing_by_tokens(spark):
+    rows = [(i, "abc" * 400) for i in range(20)] + [(100 + i, "a b c") for i in range(20)]
+    lengths = bpe.encode(frame(spark, rows))
+    sizes = {r.doc_id: r.n_tokens for r in lengths.collect()}
+    batches = {}
+    for r in packing.pack(lengths, buckets=2, budget=2000).collect():
+        assert r.n_tokens == sizes[r.doc_id]
+        batches.setdefault((r.bucket, r.batch), []).append(r)
+    assert all(sum(r.n_tokens for r in b) <= 2000 for b in batches.values()) and sum(map(len, batches.values())) == 40
+
+
 def test_histogram_cells(spark):
     d = spark.range(0, 40_000, 7).withColumn("top", packing.cell_top(F.col("id")))
     for r in d.collect():
