@@ -56,7 +56,7 @@ STAGES = [
 ]
 
 #: Neither the classifier nor the dynamic program can be written as SQL; the
-#: stages are tested against plain Python instead.
+#: deterministic stages are tested against plain Python instead.
 ORACLE_SQL = None
 
 

@@ -155,6 +155,46 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in P.STAGES] == ["quality", "exact_dedup", "near_dedup", "personal_data", "packing"]
 
 
+def test_pipeline_keeps_what_plain_python_keeps(spark, monkeypatch, tmp_path):
+    """run() on a fixture, stage by stage: quality against its own decisions,
+    the deterministic stages against brute force, packing for whole rows."""
+    import corpus_pipeline as P
+    from tests.llm.test_dedup import brute_components, lower, near_rows
+    from tests.llm.test_text import plain_spans
+
+    rows = near_rows()
+    rows += [(20_000 + i, t.upper() if i % 2 else t) for i, (_, t) in enumerate(rows[:9])]
+    rows += [(30_000 + i, f"note {i} of {i * i} x{i} y{i} mail u{i}@a{i}.org or 10.0.0.{i} or +1 555 123 45{i:02d}") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, plain = {}, P.stash
+
+    def stash(df, name):
+        out = plain(df, name)
+        seen[name] = {r.doc_id: r.text for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(P, "stash", stash)
+    got = P.run(spark, str(tmp_path)).collect()
+    assert seen["quality"] == dict(rows)  # every label is clean
+    first = {}
+    for i, t in sorted(seen["quality"].items()):
+        first.setdefault(lower(t), i)
+    left = {i: dict(rows)[i] for i in first.values()}
+    assert seen["exact_dedup"] == left and len(left) < len(rows)
+    kept = set(brute_components(sorted(left.items())).values())
+    assert seen["near_dedup"] == {i: left[i] for i in kept} and len(kept) < len(left)
+
+    def masked(t):
+        for k, s, e in sorted(plain_spans(t), key=lambda x: -x[1]):
+            t = f"{t[:s]}[{k.upper()}]{t[e:]}"
+        return t
+
+    assert seen["personal_data"] == {i: masked(left[i]) for i in kept}
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len((t or "").encode().split()) for i, t in seen["personal_data"].items()} and len(got) == len(kept)
+
+
 def test_pipeline_edges(spark):
     import corpus_pipeline as P
 
