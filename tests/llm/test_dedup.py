@@ -145,6 +145,19 @@ def test_near_groups_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True)]
 
 
+@pytest.mark.parametrize("turns", [0, 1])
+def test_near_groups_with_repeated_identifiers(spark, turns):
+    """Unrelated texts under one identifier are documents of their own."""
+    random.seed(11)
+    base, other = (" ".join(f"{c}{random.randrange(99)}" for _ in range(60)) for c in "ab")
+    rows = [(1, base), (2, base + " more"), (2, other), (3, other + " x"), (3, base), (5, "alone one two three four five"), (5, base + " end"), (2, other)]
+    got = B.near_groups(docs_of(spark, rows, True), turns=turns).collect()
+    want = Counter([(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (3, 2, False), (3, 1, False), (5, 5, True), (5, 1, False)])
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == want
+    twice = B.near_groups(docs_of(spark, [(1, base), (1, base + " more")]), turns=turns).collect()
+    assert sorted(r.kept for r in twice) == [False, True]
+
+
 @pytest.mark.parametrize("one_task", [0, 1_000_000])
 def test_components(spark, one_task):
     random.seed(3)
@@ -210,21 +223,34 @@ def test_substring_edges(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
-def test_hot_keys_are_split(spark, monkeypatch):
-    """Segments of hot keys go window by window and give the same answer."""
+def brute_rows(rows, span=20):
+    """Kept words of every row, where rows may repeat an identifier."""
+    words = [WORD.findall(t or "") for _, t in rows]
+    seen = {}
+    for k, (d, _) in enumerate(rows):
+        for s in range(len(words[k]) - span + 1):
+            seen.setdefault(tuple(words[k][s : s + span]), []).append((d, rows[k][1], s))
+    out = []
+    for k, (d, t) in enumerate(rows):
+        gone = [False] * len(words[k])
+        for s in range(len(words[k]) - span + 1):
+            if any(e < d or (e == d and u == t and z < s) for e, u, z in seen[tuple(words[k][s : s + span])]):
+                gone[s : s + span] = [True] * span
+        out.append((d, " ".join(x for x, g in zip(words[k], gone) if not g)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_runs": 0}, {"hot_runs": 30}])
+def test_substrings_with_repeated_identifiers_and_hot_keys(spark, limits):
+    """Rows that repeat an identifier lose words only to smaller identifiers and
+    to themselves; keys split window by window give the same answer."""
     random.seed(6)
     passage = " ".join(f"p{i}" for i in range(50))
-    rows = [(i, f"u{i} v{i} {passage} y{i} z{i}") for i in range(40)]
-    d = docs_of(spark, rows).select(F.col("doc_id").alias("doc"), "text")
-    runs = fmindex.repeated_runs(fmindex.anchors(d, 20, 6))
-    keys = [r[0] for r in runs.select("key").distinct().collect()]
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "windows")).alias("runs"))
-    joined = d.join(lists, "doc").select("doc", "text", "runs")
-    found = []
-    for hot in ([], keys):
-        hits = fmindex.search_shards(fmindex.segments(joined, hot, 20), 20).collect()
-        found.append({(r.doc, r.first + i) for r in hits for i in range(r.windows)})
-    assert found[0] == found[1] and found[0]
+    own = lambda i: " ".join(f"o{i}x{j}" for j in range(25))
+    rows = [(0, passage), (1, passage), (1, own(1)), (2, own(2) + " " + own(2)), (2, "a " + own(2)), (2, own(2) + " b"), (3, own(2)), (3, own(2)), (-4, own(9) + " x"), (-4, own(9) + " y")]
+    rows += [(10 + i // 2, f"u{i} v{i} {passage} y{i}\tz{i}" + (" " + passage.replace(" ", "\n")) * (i % 3 == 0)) for i in range(60)]
+    got = fmindex.remove_repeats(docs_of(spark, rows, True), **limits).collect()
+    assert Counter((r.doc_id, r.kept_text) for r in got) == brute_rows(rows)
 
 
 def test_wavelet_ranks():

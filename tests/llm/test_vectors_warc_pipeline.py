@@ -210,3 +210,20 @@ def test_pipeline_edges(spark):
         if data:
             assert 4 not in got and 5 not in got and 3 in got
             assert got[6].text == "mail [EMAIL] now" and got[6].n_chars == 16
+
+
+def test_pipeline_keeps_unrelated_rows_of_one_identifier(spark):
+    import corpus_pipeline as P
+
+    random.seed(12)
+    base, other, third = (" ".join(f"{c}{random.randrange(99)}" for _ in range(60)) for c in "abc")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, c0 string, _key string, `__low` string, `odd``name` int, spans string"
+    rows = [(i, t, "en", "s", len(t), "x", "k", "z", 1, "s") for i, t in ((1, base), (2, base + " more"), (2, other), (2, other), (3, third + " a@b.co"), (3, base.upper()), (None, third))]
+    docs = spark.createDataFrame(rows, kind)
+    for _, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), kind)
+        assert docs.columns[5:] == ["c0", "_key", "__low", "odd`name", "spans"]
+    left = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+    assert left == sorted([(1, base), (2, other), (2, other), (3, third + " [EMAIL]"), (0, third)])
+    assert all(tuple(r)[5:] == ("x", "k", "z", 1, "s") for r in docs.collect())
+    assert P.STAGES[-1][1](spark, docs, SF).count() == 5

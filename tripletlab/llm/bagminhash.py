@@ -30,9 +30,13 @@ Verification joins the texts and computes the multiset overlap exactly.
 
 Defined cases: documents with fewer than five words are one shingle of all their
 words (none: the empty multiset, a class of its own); null text counts as empty;
-rows without identifier are their own group and get a null component; repeated
-identifiers are treated as one document each with the same multiset as the
-smallest digest; extra columns are not used.
+rows without identifier are their own group and get a null component; rows that
+repeat an identifier are documents of their own (classes are numbered, and texts
+are found by identifier and a hash of the text), of which, inside one group, only
+those with the smallest (identifier, hash) are kept; rows that repeat identifier
+and text are kept or dropped together; empty tables give no rows; a
+text is one piece of work at least, at about 40 bytes of memory for each byte of
+it; extra columns are not used.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripletlab.llm.common import Words, components, mix, pieces, signed, stash
+from tripletlab.llm.common import Words, components, mix, pieces, signed, stash, text_mark
 
 K, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -128,11 +132,11 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, d1, d2, total, bands array) per document; bands null for the empty multiset."""
+    """(id, mark, d1, d2, total, bands array) per document; bands null for the empty multiset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, text_col, 1 << 20):
+            for part in pieces(batch, "text", 1 << 20):
                 words, n = Words(part.column(1)), part.num_rows
                 row, sh, count = multisets(words, k)
                 times = signatures(row, sh, count, n, bands * rows)
@@ -144,9 +148,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int
                 total = np.bincount(row, weights=count, minlength=n).astype(np.int64)
                 off = np.arange(0, n * bands + 1, bands, dtype=np.int32)
                 arr = pa.ListArray.from_arrays(pa.array(off), pa.array(signed(keys.reshape(-1))), mask=pa.array(total == 0))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(total), arr], ["id", "d1", "d2", "total", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(signed(d1)), pa.array(signed(d2)), pa.array(total), arr], ["id", "mark", "d1", "d2", "total", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, d1 long, d2 long, total long, bands array<long>")
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_mark(F.col(text_col)).alias("mark"))
+    return marked.mapInArrow(run, "id long, mark long, d1 long, d2 long, total long, bands array<long>")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -273,17 +278,20 @@ def close_pairs(rest: DataFrame, threshold: float, block: int = 1024) -> DataFra
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, turns: int = 1) -> DataFrame:
     """One row per document: id, class_id (smallest identifier with the same
     shingle multiset), class_size, component_id (smallest identifier reachable
-    by links), kept."""
+    by links), kept, text_mark.  Inside, a class goes by its number ``rep``."""
     marks = stash(fingerprints(docs, id_col, text_col, k, bands, rows), "marks")
-    classes = stash(marks.where("id IS NOT NULL").groupBy("d1", "d2", "total").agg(F.min("id").alias("rep"), F.count("*").alias("class_size"), F.any_value("bands").alias("bands")), "classes")
+    alike = marks.where("id IS NOT NULL").groupBy("d1", "d2", "total").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("class_size"), F.any_value("bands").alias("bands"))
+    classes = stash(alike.select("d1", "d2", "total", F.monotonically_increasing_id().alias("rep"), "first", "class_size", "bands"), "classes")
     buckets = classes.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stash(buckets.join(shared, "bucket").select("bucket", "rep", "n"), "members")
     weight = members.groupBy("rep").agg(F.sum("n").alias("w"))  # large for the text that its copies resemble most
     members = stash(members.join(weight, "rep").select("bucket", "rep", "w"), "weighed")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_mark(F.col(text_col)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    wanted = members.select("rep").distinct().join(classes.select("rep", F.col("first.id").alias("doc"), "first.mark"), "rep")
     # one plan at every size: a list of identifiers that grows is never broadcast
-    texts = stash(texts.hint("merge").join(members.select(F.col("rep").alias("id")).distinct(), "id"), "texts")
+    texts = texts.hint("merge").join(wanted, ["doc", "mark"])
+    texts = stash(texts.groupBy("doc", "mark").agg(F.any_value("rep").alias("id"), F.any_value("text").alias("text")).select("id", "text"), "texts")
     comp = checked = links = None
     turn = 0
     while True:
@@ -312,18 +320,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if last:
             break
     if comp is None:
-        comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "total", "rep", "class_size", F.coalesce("component", "rep").alias("component_id"))
+        comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    tied = classes.select("rep", "first").join(comp.withColumnRenamed("node", "rep"), "rep")
+    heads = tied.groupBy("component").agg(F.min("first").alias("head"))
+    tied = tied.join(heads, "component").select("rep", "head")
+    found = classes.join(tied, "rep", "left").select("d1", "d2", "total", "first", "class_size", F.coalesce("head", "first").alias("head"))
     out = marks.join(found, ["d1", "d2", "total"], "left")
     named = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
-        F.when(named, F.col("rep")).alias("class_id"),
+        F.when(named, F.col("first.id")).alias("class_id"),
         F.when(named, F.col("class_size")).otherwise(1).alias("class_size"),
-        F.when(named, F.col("component_id")).alias("component_id"),
-        (~named | (F.col("component_id") == F.col("id"))).alias("kept"),
+        F.when(named, F.col("head.id")).alias("component_id"),
+        (~named | ((F.col("id") == F.col("head.id")) & (F.col("mark") == F.col("head.mark")))).alias("kept"),
+        F.col("mark").alias("text_mark"),
     )
 
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_mark")

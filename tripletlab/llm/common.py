@@ -3,7 +3,7 @@
 * ``stash``       cuts lineage with a table in the shared checkpoint folder;
 * ``Words``       vectorised word splitting and hashing over an Arrow buffer;
 * ``components``  distributed connected components;
-* ``dense_rank_slots``  gapless numbering without one big sort task.
+* ``slots``       gapless numbering without one big sort task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -22,10 +22,12 @@ _OWN_DIR: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a folder of our own
-    only where the session names none (tests in local mode)."""
+    only where the session names none and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tripletlab-"))
     return _OWN_DIR[0]
@@ -45,6 +47,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the written tables of all operators in the shared folder, once
+    nothing that reads them is left to be computed."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tripletlab")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_mark(text: Column) -> Column:
+    """With an identifier, tells rows apart that repeat it with another text."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole, F.octet_length(whole))
+
+
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df``, marked for broadcast only if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,8 +13,10 @@ as (key, document, place).
 
 Shards.  The words of the runs that remain are sent to the shard of their key;
 runs with the same words in one block are sent once and the later ones settled
-at once.  Runs of a key with more than a thousandth part of all runs are sent
-window by window, dealt by the window's own words.  A shard sorts by key and
+at once.  Runs of a key that has more than ``hot_runs`` runs or ``hot_windows``
+windows are sent window by window, dealt by the window's own words; such windows
+arrive in document order and are settled as they come, so a route holds a bounded
+number of words however often one passage occurs.  A shard sorts by key and
 builds an FM-index over a few megabytes at a time: symbols are five-word groups
 (four per window, in five interleaved sequences), the Burrows-Wheeler transform
 is kept as a wavelet matrix of packed bits with block counts.  Every window of
@@ -24,9 +26,11 @@ interval holds an earlier occurrence are reported as (document, start, count).
 Words are compared through 64-bit hashes of their bytes inside a shard.
 
 Defined cases: null text has no words; rows without identifier lose nothing and
-prove nothing; rows that repeat an identifier are taken as the same place in the
-order, so equal windows of theirs do not remove each other; extra columns are
-not used; empty tables give empty results; documents may have any length.
+prove nothing; rows that repeat an identifier with another text are documents of
+their own at the same place in the order (``twin`` tells them apart), so equal
+windows of theirs do not remove each other; rows that repeat identifier and text
+lose the same words; extra columns are not used; empty tables give empty results;
+documents may have any length, at about 40 bytes of memory for each byte.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripletlab.llm.common import Words, mix, n_parts, pieces, signed, stash
+from tripletlab.llm.common import Words, mix, n_parts, pieces, signed, small, stash, text_mark
 
 SPAN, GRAM, GROUP = 20, 6, 5
 _LEN_BITS = 20
@@ -112,10 +116,11 @@ class FMIndex:
         return lo, hi
 
 
-def later_windows(words: Words, place: np.ndarray, doc: np.ndarray, span: int = SPAN) -> np.ndarray:
+def later_windows(words: Words, place: np.ndarray, doc: np.ndarray, span: int = SPAN, twin: np.ndarray | None = None) -> np.ndarray:
     """For runs given as texts (rows of ``words``) with their document and first
     window number: indices of first words of windows that have the same words as
-    an earlier window.  Rows must be sorted by (document, place)."""
+    an earlier window.  Rows must be sorted by (document, twin, place)."""
+    twin = np.zeros(len(doc), np.int64) if twin is None else twin
     group = span // 4
     at, h = words.shingles(group)
     if not len(at):
@@ -140,7 +145,8 @@ def later_windows(words: Words, place: np.ndarray, doc: np.ndarray, span: int =
     first = np.flatnonzero(words.doc[: len(words) - span + 1] == words.doc[span - 1 :]) if len(words) >= span else np.zeros(0, np.int64)
     if not len(first):
         return first
-    out = []
+    out, shared = [], []
+    number = lambda w, x: place[x] + w - words.first[x]
     low_source = np.append(source[index.suffix], np.iinfo(np.int64).max)
     for a in range(0, len(first), 1 << 18):
         some = first[a : a + (1 << 18)]
@@ -150,8 +156,21 @@ def later_windows(words: Words, place: np.ndarray, doc: np.ndarray, span: int =
         end[back] = hi
         earliest = np.minimum.reduceat(low_source, np.stack([kind, end], axis=1).reshape(-1))[::2][back]
         d, e = words.doc[some], words.doc[earliest]
-        number = lambda w, x: place[x] + w - words.first[x]
-        out.append(some[(doc[e] < doc[d]) | ((doc[e] == doc[d]) & (number(earliest, e) < number(some, d)))])
+        out.append(some[(doc[e] < doc[d]) | ((doc[e] == doc[d]) & (twin[e] == twin[d]) & (number(earliest, e) < number(some, d)))])
+        if twin.any():  # the earliest one may be of another row with the same identifier
+            mine = np.flatnonzero(twin[d] != 0)
+            shared.append((lo[mine], some[mine]))
+    if shared:
+        lo, w = (np.concatenate(x) for x in zip(*shared))
+        d = words.doc[w]
+        n = number(w, d)
+        order = np.lexsort((n, twin[d], doc[d], lo))
+        lo, w, d, n = lo[order], w[order], d[order], n[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (lo[1:] != lo[:-1]) | (doc[d[1:]] != doc[d[:-1]]) | (twin[d[1:]] != twin[d[:-1]])
+        at = np.flatnonzero(new)
+        out.append(w[n > np.repeat(n[at], np.diff(np.append(at, len(w))))])
+        return np.unique(np.concatenate(out))
     return np.concatenate(out)
 
 
@@ -192,30 +211,31 @@ def window_keys(words: Words, span: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def anchors(docs: DataFrame, span: int, gram: int, block: int = 16 << 20) -> DataFrame:
-    """Runs as (key, doc, packed): packed = first window << 20 | windows, as its
-    complement where the run is already known to need a look; doc null where the
-    row only says that the key occurs."""
+    """Runs as (key, doc, twin, packed): packed = first window << 20 | windows, as
+    its complement where the run is already known to need a look; doc null where
+    the row only says that the key occurs."""
 
     def close(found: list[tuple]) -> pa.RecordBatch:
-        doc, packed, key, own = (np.concatenate(x) for x in zip(*found))
+        doc, twin, packed, key, own = (np.concatenate(x) for x in zip(*found))
         kinds, back, count = np.unique(key, return_inverse=True, return_counts=True)
         known = own | (count[back] > 1)
         say = np.union1d(kinds[count > 1], key[own])
         packed = np.where(known, ~packed, packed)
         keys = pa.array(signed(np.concatenate([key, say])))
-        docs_ = pa.array(np.concatenate([doc, np.zeros(len(say), np.int64)]), mask=np.concatenate([np.zeros(len(doc), bool), np.ones(len(say), bool)]))
-        return pa.RecordBatch.from_arrays([keys, docs_, pa.array(np.concatenate([packed, np.zeros(len(say), np.int64)]))], ["key", "doc", "packed"])
+        none = np.zeros(len(say), np.int64)
+        docs_ = pa.array(np.concatenate([doc, none]), mask=np.concatenate([np.zeros(len(doc), bool), np.ones(len(say), bool)]))
+        return pa.RecordBatch.from_arrays([keys, docs_, pa.array(np.concatenate([twin, none])), pa.array(np.concatenate([packed, none]))], ["key", "doc", "twin", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, twins = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             done = 0
             for part in pieces(batch, "text", 1 << 20):
-                words = Words(part.column(1))
+                words = Words(part.column(2))
                 row, number, size, key, own = window_keys(words, span, gram)
                 if len(row):
-                    found.append((ids[done + row], (number << _LEN_BITS) | size, key, own))
+                    found.append((ids[done + row], twins[done + row], (number << _LEN_BITS) | size, key, own))
                 done += part.num_rows
                 held += len(words.data)
                 if held > block and found:
@@ -224,122 +244,131 @@ def anchors(docs: DataFrame, span: int, gram: int, block: int = 16 << 20) -> Dat
         if found:
             yield close(found)
 
-    return docs.mapInArrow(run, "key long, doc long, packed long")
+    return docs.mapInArrow(run, "key long, doc long, twin long, packed long")
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """Runs whose key occurs elsewhere: (key, doc, first, windows)."""
+    """Runs whose key occurs elsewhere: (key, doc, twin, first, windows)."""
     spark = found.sparkSession
     dealt = F.when(F.col("packed") < 0, F.xxhash64("doc", "packed")).otherwise(F.col("key"))
     sorted_ = found.repartition(n_parts(spark), dealt).sortWithinPartitions("key")
 
-    def emit(key, doc, packed, null):
+    def emit(key, doc, twin, packed, null):
         keep = ~null
-        key, doc, packed = key[keep], doc[keep], packed[keep]
+        key, doc, twin, packed = key[keep], doc[keep], twin[keep], packed[keep]
         packed = np.where(packed < 0, ~packed, packed)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(packed >> _LEN_BITS), pa.array(packed & ((1 << _LEN_BITS) - 1))], ["key", "doc", "first", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(twin), pa.array(packed >> _LEN_BITS), pa.array(packed & ((1 << _LEN_BITS) - 1))], ["key", "doc", "twin", "first", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last single row of the batch before, and whether it repeats
         for batch in batches:
             null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            key, packed = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            key, twin, packed = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             doc = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
             known = packed < 0
             if known.any():
-                yield emit(key[known], doc[known], packed[known], null[known])
+                yield emit(key[known], doc[known], twin[known], packed[known], null[known])
             one = ~known
-            key, doc, packed, null = key[one], doc[one], packed[one], null[one]
+            key, doc, twin, packed, null = key[one], doc[one], twin[one], packed[one], null[one]
             if not len(key):
                 continue
             again = np.zeros(len(key) + 1, bool)
             if held is not None:
-                key, doc, packed, null = np.append(held[0], key), np.append(held[1], doc), np.append(held[2], packed), np.append(held[3], null)
+                key, doc, twin, packed, null = (np.append(a, b) for a, b in zip(held, (key, doc, twin, packed, null)))
                 again = np.zeros(len(key) + 1, bool)
-                again[0] = held[4]
+                again[0] = held[5]
             same = key[1:] == key[:-1]
             again[1:-1] |= same
             again[:-2] |= same
             again = again[:-1]
-            held = (key[-1], doc[-1], packed[-1], null[-1], again[-1])
+            held = (key[-1], doc[-1], twin[-1], packed[-1], null[-1], again[-1])
             take = again.copy()
             take[-1] = False
             if take.any():
-                yield emit(key[take], doc[take], packed[take], null[take])
-        if held is not None and held[4]:
-            yield emit(*(np.array([x]) for x in held[:4]))
+                yield emit(key[take], doc[take], twin[take], packed[take], null[take])
+        if held is not None and held[5]:
+            yield emit(*(np.array([x]) for x in held[:5]))
 
-    return sorted_.mapInArrow(run, "key long, doc long, first long, windows long")
+    return sorted_.mapInArrow(run, "key long, doc long, twin long, first long, windows long")
 
 
-def segments(joined: DataFrame, hot: list[int], span: int, block: int = 8 << 20) -> DataFrame:
-    """(route, doc, first, windows, body): runs to compare; body null where the
-    windows are known to repeat an earlier run."""
-    hot_keys = np.array(sorted(hot), np.int64)
+def segments(joined: DataFrame, span: int, block: int = 8 << 20) -> DataFrame:
+    """(route, doc, twin, first, windows, alone, body): runs to compare; body null
+    where the windows are known to repeat an earlier run.  Runs marked as hot go
+    window by window (``alone``), as words joined by one space."""
+    names = ["route", "doc", "twin", "first", "windows", "alone", "body"]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        settled: list[tuple[int, int, int]] = []
+        best: dict[tuple, tuple[int, int, int, bool]] = {}
+        settled: list[tuple[int, int, int, int]] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            rows = [(k, d, f, n, body) for (k, body), (d, f, n) in best.items()]
-            rows += [(hash((d, f)), d, f, n, None) for d, f, n in settled]
-            cols = list(zip(*rows))
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["route", "doc", "first", "windows", "body"])
+            rows = [(key[0], d, key[2], f, n, alone, key[1]) for key, (d, f, n, alone) in best.items()]
+            rows += [(hash((d, f)), d, t, f, n, False, None) for d, t, f, n in settled]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
         for batch in batches:
             for part in pieces(batch, "text", 1 << 20):
-                words = Words(part.column(1))
-                ids, runs = part.column(0).to_pylist(), part.column(2)
-                for i, d in enumerate(ids):
-                    base, top = int(words.first[i]), int(words.first[i + 1])
+                words = Words(part.column(2))
+                ids, twins, runs = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3)
+                for i, (d, t) in enumerate(zip(ids, twins)):
+                    base = int(words.first[i])
                     mine = runs[i].values
                     key, first, size = (mine.field(j).to_numpy() for j in range(3))
-                    if len(hot_keys):
-                        wide = np.isin(key, hot_keys)
+                    wide = mine.field(3).to_numpy(zero_copy_only=False)
+                    if wide.any():
                         rep = np.where(wide, size, 1)
                         off = np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep)
                         key, first, size = np.repeat(key, rep), np.repeat(first, rep) + off, np.where(np.repeat(wide, rep), 1, np.repeat(size, rep))
-                        single = np.repeat(wide, rep).tolist()
-                    else:
-                        single = [False] * len(key)
-                    for k, f, n, alone in zip(key.tolist(), first.tolist(), size.tolist(), single):
-                        if base + f + n + span - 1 > top:
-                            continue  # another row of the same identifier
+                        wide = np.repeat(wide, rep)
+                    for k, f, n, alone in zip(key.tolist(), first.tolist(), size.tolist(), wide.tolist()):
                         body = words.text(base + f, base + f + n + span - 1)
                         if alone:
-                            k = int.from_bytes(hashlib.blake2b(b" ".join(body.split()), digest_size=8).digest(), "little", signed=True)
-                        old = best.get((k, body))
+                            body = b" ".join(body.split())
+                            k = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+                        at = (k, body, t, d if t else 0)  # rows that share an identifier settle nothing but their own
+                        old = best.get(at)
                         if old is None:
-                            best[k, body] = (d, f, n)
-                            held += len(body) + 200
+                            best[at] = (d, f, n, alone)
+                            held += len(body) + 250
                         elif (d, f) < old[:2]:
-                            settled.append(old)
-                            best[k, body] = (d, f, n)
+                            settled.append((old[0], t, old[1], old[2]))
+                            best[at] = (d, f, n, alone)
                         elif (d, f) > old[:2]:
-                            settled.append((d, f, n))
+                            settled.append((d, t, f, n))
                     if held + 64 * len(settled) > block:
                         yield close()
                         best, settled, held = {}, [], 0
         if best or settled:
             yield close()
 
-    return joined.mapInArrow(run, "route long, doc long, first long, windows long, body binary")
+    return joined.mapInArrow(run, "route long, doc long, twin long, first long, windows long, alone boolean, body binary")
+
+
+class _Alone:
+    """Settles windows that come one by one, in the order of their documents."""
+
+    def __init__(self) -> None:
+        self.low: dict[bytes, tuple[int, dict[int, int]]] = {}  # words -> smallest document, first place by twin
+
+    def repeats(self, doc: int, twin: int, first: int, body: bytes) -> bool:
+        d, places = self.low.setdefault(body, (doc, {}))
+        return d < doc or first > places.setdefault(twin, first)
 
 
 def search_shards(parts: DataFrame, span: int, load: int = 3 << 20) -> DataFrame:
-    """Windows that repeat an earlier one, as runs (doc, first, windows)."""
+    """Windows that repeat an earlier one, as runs (doc, twin, first, windows)."""
     spark = parts.sparkSession
-    sorted_ = parts.repartition(n_parts(spark), "route").sortWithinPartitions("route")
-
-    def settle(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
-        rows.sort(key=lambda r: (r[0], r[1]))
-        doc = np.array([r[0] for r in rows], np.int64)
-        place = np.array([r[1] for r in rows], np.int64)
-        words = Words(pa.array([r[2] for r in rows], pa.binary()).view(pa.utf8()))
-        hit = later_windows(words, place, doc, span)
+    sorted_ = parts.repartition(n_parts(spark), "route").sortWithinPartitions("route", "doc", "first")
+    names = ["doc", "twin", "first", "windows"]
+
+    def settle(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch | None:
+        rows.sort(key=lambda r: r[:3])
+        doc, twin, place = (np.array(c, np.int64) for c in list(zip(*rows))[:3])
+        words = Words(pa.array([r[3] for r in rows], pa.binary()).view(pa.utf8()))
+        hit = later_windows(words, place, doc, span, twin)
         if not len(hit):
             return None
         row = words.doc[hit]
@@ -347,49 +376,74 @@ def search_shards(parts: DataFrame, span: int, load: int = 3 << 20) -> DataFrame
         new = np.ones(len(hit), bool)
         new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1] + 1)
         a = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(number[a]), pa.array(np.diff(np.append(a, len(hit))))], ["doc", "first", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(twin[row[a]]), pa.array(number[a]), pa.array(np.diff(np.append(a, len(hit))))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, None
+        rows, held, last, single = [], 0, None, _Alone()
         for batch in batches:
-            known = batch.filter(batch.column(4).is_null())
+            known = batch.filter(batch.column(6).is_null())
             if known.num_rows:
-                yield known.select(["doc", "first", "windows"])
-            batch = batch.filter(batch.column(4).is_valid())
-            for route, doc, first, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
-                if route != last and held > load:
-                    if (out := settle(rows)) is not None:
-                        yield out
-                    rows, held = [], 0
+                yield known.select(names)
+            batch = batch.filter(batch.column(6).is_valid())
+            hits = []
+            for route, doc, twin, first, alone, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6))):
+                if route != last:
+                    single = _Alone()
+                    if held > load:
+                        if (out := settle(rows)) is not None:
+                            yield out
+                        rows, held = [], 0
                 last = route
-                rows.append((doc, first, body))
-                held += len(body)
+                if alone:
+                    if single.repeats(doc, twin, first, body):
+                        hits.append((doc, twin, first, 1))
+                else:
+                    rows.append((doc, twin, first, body))
+                    held += len(body)
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits)], names)
         if rows and (out := settle(rows)) is not None:
             yield out
 
-    return sorted_.mapInArrow(run, "doc long, first long, windows long")
+    return sorted_.mapInArrow(run, "doc long, twin long, first long, windows long")
+
+
+def marked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, twin, text): twin is 0, or tells apart the texts of one identifier."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    mark = F.when(text_mark(F.col("text")) == 0, 1).otherwise(text_mark(F.col("text")))
+    ids = rows.where("doc IS NOT NULL").select("doc", mark.alias("m")).groupBy("doc").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi")
+    ids = stash(ids.select(F.col("doc").alias("again")), "repeated-ids")
+    if ids.isEmpty():
+        return rows.select("doc", F.lit(0).cast("long").alias("twin"), "text")
+    return rows.join(small(ids), F.col("doc") == F.col("again"), "left").select("doc", F.when(F.col("again").isNull(), 0).otherwise(mark).cast("long").alias("twin"), "text")
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """Runs of windows that occur earlier in the corpus: (doc, first, windows)."""
+def repeated_windows(rows: DataFrame, span: int = SPAN, hot_runs: int = 2_000, hot_windows: int = 200_000) -> DataFrame:
+    """Runs of windows that occur earlier in the corpus: (doc, twin, first, windows).
+    ``rows`` as from marked_rows()."""
     if span % 4 or span < 8:
         raise ValueError("span must be a multiple of 4, 8 or more")
     gram = min(GRAM, span // 2)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.where("doc IS NOT NULL")
     runs = stash(repeated_runs(anchors(rows, span, gram)), "runs")
-    limit = max(1000, runs.count() // 1000)
-    hot = [r[0] for r in runs.groupBy("key").count().where(F.col("count") > limit).select("key").collect()]  # under 1000 keys
-    lists = runs.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "windows")).alias("runs"))
-    joined = rows.join(lists, "doc").select("doc", "text", "runs")
-    return search_shards(segments(joined, hot, span), span)
+    hot = runs.groupBy("key").agg(F.count("*").alias("n"), F.sum("windows").alias("w")).where((F.col("n") > hot_runs) | (F.col("w") > hot_windows))
+    hot = stash(hot.select(F.col("key").alias("hot_key")), "hot-keys")
+    wide = F.lit(False).alias("hot")
+    if not hot.isEmpty():
+        runs, wide = runs.join(small(hot), F.col("key") == F.col("hot_key"), "left"), F.col("hot_key").isNotNull().alias("hot")
+    lists = runs.groupBy("doc", "twin").agg(F.collect_list(F.struct("key", "first", "windows", wide)).alias("runs"))
+    joined = rows.join(lists, ["doc", "twin"]).select("doc", "twin", "text", "runs")
+    return search_shards(segments(joined, span), span)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = True, **limits) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked
     for, the text of the kept words."""
-    hits = repeated_windows(docs, id_col, text_col, span)
-    lists = hits.groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("hits"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(lists, "doc", "left").select("doc", "text", "hits")
+    rows = marked_rows(docs, id_col, text_col)
+    hits = repeated_windows(rows, span, **limits)
+    lists = hits.groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "windows")).alias("hits"))
+    rows = rows.join(lists, ["doc", "twin"], "left").select("doc", "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
