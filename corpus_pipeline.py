@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs.  All stages but the last
 return the columns of documents.
+
+Defined cases: null text counts as empty and an empty text is a document like any
+other (its quality is judged from its site and its shape; all empty texts are
+copies of each other); rows without identifier are never dropped as copies of
+rows with one by the near stage, and lose against them in the exact stage; rows
+that repeat an identifier with another text are documents of their own in every
+stage, rows that repeat both stay or go together; ties go to the smallest
+identifier; extra columns of any name are carried along, except to packing, whose
+rows are described there; an empty table stays empty; no stage cuts a long text.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripletlab.llm import bagminhash, exact, packing, quality, sanitise
-from tripletlab.llm.common import stash
+from tripletlab.llm.common import stash, text_mark
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +38,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 1: of each group of near copies the smallest doc_id stays."""
-    gone = bagminhash.near_groups(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Op 1: of each group of near copies the smallest doc_id stays.  Rows go by
+    identifier and text, so another text under the same identifier stays."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of results cannot clash
+    key, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    gone = bagminhash.near_groups(plain, key, text).where("NOT kept").select(F.col(key).alias("gone_id"), F.col("text_mark").alias("gone_mark")).distinct()
+    left = plain.join(gone, (F.col(key) == F.col("gone_id")) & (text_mark(F.col(text)) == F.col("gone_mark")), "left_anti")
+    return left.toDF(*names)
 
 
 def remove_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
