@@ -193,7 +193,7 @@ def quality_rows(n=900):
 
 def test_quality_held_out(spark):
     rows, labels = quality_rows()
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("host_low", F.lit("clash"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({c: F.lit("clash") for c in ("host_low", "__low", "_e_low", "c0", "_host", "odd`name")})
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.score(d, lab.where("doc_id % 3 <> 0")).collect()}
     held = [x for x in labels if x[0] % 3 == 0]
@@ -204,21 +204,69 @@ def test_quality_held_out(spark):
 
 def test_quality_label_bound(spark, monkeypatch):
     """The default bound takes 20,000 labelled rows; fewer are all used."""
-    seen, real = [], quality.Model
-    monkeypatch.setattr(quality, "Model", lambda pairs, shape, label, max_words: seen.append(len(label)) or real(pairs, shape, label, max_words))
+    seen, real = [], quality._tallies
+    monkeypatch.setattr(quality, "_tallies", lambda sample: seen.append(sample.count()) or real(sample))
     for n, want in ((9_000, 9_000), (21_000, 20_000)):
         docs = spark.range(n).selectExpr("id AS doc_id", "'a b' AS text", "'s' AS source", "'en' AS lang")
         quality.score(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
-        assert seen[-2:] == [want, want]
+        assert seen[-1] == want
 
 
-def test_site_shrinkage(spark):
-    docs = spark.createDataFrame([(i, "big" if i < 200 else "bad" if i < 260 else f"s{i}", "p") for i in range(264)], "doc_id long, source string, lang string")
-    lab = spark.createDataFrame([(i, 0 if 200 <= i < 260 or i == 260 else 1, 0) for i in range(264)], "doc_id long, quality int, toxic int")
-    post, rates = quality.site_posteriors(docs, lab, "doc_id", "source", "lang")
-    p = {r._host: r.path_low for r in post.collect()}
-    assert p["big"] < 0.1 and p["bad"] > 0.9
-    assert p["bad"] > p["s260"] > rates["low"] > p["s261"] > p["big"]  # one row moves a site only part of the way
+def plain_priors(rows, labels, folds):
+    """Prior of each row by the formulas of the module, in plain Python."""
+    out = {}
+    for c, value in (("low", lambda q, t: None if q is None else 1 - q), ("toxic", lambda q, t: t)):
+        seen = [(folds[i], h, p, value(*labels[i])) for i, h, p in rows if i in labels and value(*labels[i]) is not None]
+        n, k = len(seen), sum(y for *_, y in seen)
+        r = (k + 0.5) / (n + 1)
+        hosts, paths = {}, {}
+        for _, h, p, y in seen:
+            for d, key in ((hosts, h), (paths, (h, p))):
+                a, b = d.get(key, (0, 0))
+                d[key] = (a + 1, b + y)
+        s_host, s_path = (sum(b * b / a for a, b in d.values()) for d in (hosts, paths))
+        q_path = sum(a * a / hosts[h][0] for (h, _), (a, _) in paths.items())
+
+        def kappa(between, free, spread):
+            tau = (between - free * r * (1 - r)) / spread if spread > 1e-9 else 0
+            return min(1e4, max(2.0, r * (1 - r) / tau - 1)) if tau > 0 else 1e4
+
+        over = kappa(s_host - k * k / n, len(hosts) - 1, n - sum(a * a for a, _ in hosts.values()) / n)
+        within = kappa(s_path - s_host, len(paths) - len(hosts), n - q_path)
+        for i, h, p in rows:
+            rest = [x for x in seen if x[0] != folds[i]]
+            rate = (sum(x[3] for x in rest) + 0.5) / (len(rest) + 1)
+            mine = [x[3] for x in rest if x[1] == h]
+            own = [x[3] for x in rest if x[1:3] == (h, p)]
+            host = (sum(mine) + over * rate) / (len(mine) + over)
+            out[i, c] = (sum(own) + within * host) / (len(own) + within)
+    return out
+
+
+@pytest.mark.parametrize("max_sites", [0, 20_000])
+def test_posteriors_match_plain_python(spark, max_sites):
+    """Priors by path, host and global rate, with a row's own label left out."""
+    random.seed(13)
+    places = [("good", "p0"), ("good", "p1"), ("bad", "p0"), ("bad", "p1"), ("mixed", "p0"), ("mixed", "p1"), (None, "p0"), ("good", None), ("unseen", "p0"), ("bad", "unseen")]
+    rows, labels = [], {}
+    for i in range(400):
+        h, p = random.choice(places)
+        rows.append((i, h, p))
+        if "unseen" not in (h, p) and random.random() < 0.7:
+            low = random.random() < (0.05 if h == "good" else 0.9 if h == "bad" else 0.1 if p == "p0" else 0.8)
+            labels[i] = (random.choice([int(not low), int(not low), None]), int(random.random() < 0.2))
+    docs = spark.createDataFrame([(i, None, h, p) for i, h, p in rows], "doc_id long, text string, source string, lang string")
+    lab = spark.createDataFrame([(i, *v) for i, v in labels.items()] + [(9999, 0, 1)], "doc_id long, quality int, toxic int")
+    folds = {r[0]: r[1] for r in docs.select("doc_id", quality._fold(F.col("doc_id"))).collect()}
+    want = plain_priors(rows, labels, folds)
+    got = {r.doc_id: r for r in quality.score(docs, lab, max_sites=max_sites).collect()}
+    # texts are all empty, so evidence is one number: a posterior over a prior tells it
+    odds = lambda x: math.log(x / (1 - x))
+    for c in ("low", "toxic"):
+        gaps = [odds(got[i][f"{c}_posterior"]) - odds(want[i, c]) for i, _, _ in rows]
+        assert max(gaps) - min(gaps) < 1e-9
+    unseen = {h: [got[i].low_posterior for i, a, p in rows if (a, p) == (h, "unseen" if h == "bad" else "p0")] for h in ("bad", "good", "unseen")}
+    assert min(unseen["bad"]) > max(unseen["unseen"]) > max(unseen["good"])  # path, then host, then all
 
 
 def test_quality_edges(spark):
