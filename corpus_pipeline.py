@@ -26,7 +26,10 @@ from tripletlab.llm.common import stash, text_mark
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 7: documents whose posterior says low quality or toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, labels).where("kept").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names of results cannot clash
+    ident, text, host, path = (f"c{names.index(c)}" for c in ("doc_id", "text", "source", "lang"))
+    return quality.score(plain, labels, ident, text, host, path).where("kept").select(*plain.columns).toDF(*names)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
