@@ -312,6 +312,21 @@ def test_packing(spark):
     assert packing.pack(packing.word_counts(frame(spark, []))).count() == 0
 
 
+def test_long_lengths_are_padded_to_lengths_that_occur(spark):
+    random.seed(14)
+    rows = [(i, random.choice([3, 5_000, 5_001, 9_999, 70_000, 69_990, 69_991, 131_073])) for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), buckets=8).collect()
+    tops = sorted({r.padded_to for r in got})
+    assert tops[-1] == max(n for _, n in rows) and set(tops) <= {n for _, n in rows}
+    assert all(r.padded_to == min(t for t in tops if t >= r.n_tokens) for r in got)
+    assert [r for r in got if r.n_tokens == 70_000][0].padded_to == 70_000
+
+
+def test_packing_ties(spark):
+    got = packing.pack(spark.createDataFrame([(i % 3, 7) for i in range(30)], "doc_id long, n_tokens long"), budget=21).collect()
+    assert sorted((r.batch, r.place) for r in got) == [(b, p) for b in range(10) for p in range(3)]
+
+
 def test_packing_by_tokens(spark):
     rows = [(i, "abc" * 400) for i in range(20)] + [(100 + i, "a b c") for i in range(20)]
     lengths = bpe.encode(frame(spark, rows))

@@ -2,15 +2,17 @@
 
 Lengths are counted in one pass (the query counts words; any length column can
 be given).  The global histogram has one cell for each length up to 4096 and
-1024 cells for each doubling beyond, so it is bounded at any corpus size.  A
-dynamic program over its cells chooses the bucket boundaries with the least
-padding, each document being padded to its bucket's boundary.  Inside a bucket,
+1024 cells for each doubling beyond, so it is bounded at any corpus size; a cell
+knows its largest length.  A dynamic program over the cells chooses the bucket
+boundaries with the least padding among their largest lengths (up to 4096 these
+are all lengths there are), each document being padded to its bucket's boundary,
+and the last boundary is the longest document.  Inside a bucket,
 documents are numbered without gaps (chunk by chunk, no global sort) and every
 ``budget // boundary`` of them form one batch (one at least).
 
 Defined cases: null and empty texts have length 0 and go to the first bucket; a
 document longer than the budget is a batch of its own; ties are ordered by
-identifier; rows that repeat are separate rows; empty tables give no rows; extra
+identifier; texts may have any length; rows that repeat are separate rows; empty tables give no rows; extra
 columns are carried only where asked for.
 """
 
@@ -89,10 +91,10 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def pack(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """(id, n_tokens, bucket, padded_to, batch, place) of every row."""
     rows = stash(lengths.select(F.col(id_col).alias("_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens")).withColumn("_cell", cell_top(F.col("n_tokens"))), "lengths")
-    cells = rows.groupBy("_cell").count().orderBy("_cell").collect()  # a bounded histogram
-    tops = best_boundaries(np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], np.int64), buckets)
+    cells = rows.groupBy("_cell").agg(F.max("n_tokens").alias("top"), F.count("*").alias("n")).orderBy("_cell").collect()  # a bounded histogram
+    tops = best_boundaries(np.array([r["top"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.int64), buckets)
     edges = F.array(*[F.lit(t).cast("long") for t in tops]) if tops else F.array().cast("array<long>")
-    bucket = F.size(F.filter(edges, lambda t: t < F.col("_cell")))
+    bucket = F.size(F.filter(edges, lambda t: t < F.col("n_tokens")))
     placed = rows.select("_id", "n_tokens", bucket.alias("bucket"), F.get(edges, bucket).alias("padded_to"))
     numbered = slots(placed, ["bucket", "padded_to"], ["n_tokens", "_id"], "_slot")
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("padded_to", F.lit(1)))).cast("long")
