@@ -65,6 +65,14 @@ def test_trie_and_spill():
     assert {a: b for a, b, _ in full.terminals()} == low
 
 
+def test_exact_string_identifiers_and_odd_names(spark):
+    rows = [("b", "One"), ("a", "oNe"), (None, "one"), ("c", None), ("d", "")]
+    d = spark.createDataFrame(rows, "doc_id string, text string").withColumn("odd`name", F.lit(1)).withColumn("t", F.lit(2))
+    got = exact.exact_groups(d, keep="largest", carry=["odd`name", "t", "text"]).collect()
+    assert sorted((r.doc_id or "", r.keep_id, r.group_size, r.kept, r["odd`name"], r.t) for r in got) == [("", "b", 3, False, 1, 2), ("a", "b", 3, False, 1, 2), ("b", "b", 3, True, 1, 2), ("c", "d", 2, False, 1, 2), ("d", "d", 2, True, 1, 2)]
+    assert {r.text for r in got} == {t for _, t in rows}
+
+
 def test_exact_empty_table(spark):
     assert exact.exact_groups(docs_of(spark, [])).count() == 0
 

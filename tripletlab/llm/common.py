@@ -55,6 +55,11 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def column(name: str) -> Column:
+    """A column by its plain name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_mark(text: Column) -> Column:
     """With an identifier, tells rows apart that repeat it with another text."""
     whole = F.coalesce(text, F.lit(""))

@@ -18,7 +18,9 @@ and which adaptive execution may split.
 Defined cases: null text counts as empty; a null identifier loses against any
 other and an owner is null only if all copies lack one; a row whose identifier
 is the owner's is kept, so rows that repeat both text and identifier are all
-kept; empty tables give empty results; extra columns are not used.
+kept; identifiers may have any type that has an order; texts may have any length;
+empty tables give empty results; extra columns are not used, or carried along
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripletlab.llm.common import n_parts
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tripletlab.llm.common import column, n_parts
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -109,18 +113,15 @@ class PatriciaTrie:
             self.root.weight -= kid.weight
 
 
-def _rows(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*found))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-
-_PART = ["size", "hash", "body", "owner", "copies"]
-
-
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", budget: int = 24 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
     """One row per distinct normalised text: (text_sha256, keep_id, group_size)."""
     largest = keep == "largest"
+    kind = docs.schema[id_col].dataType
+    ident = to_arrow_type(kind)
+    names, kinds = ["size", "hash", "body", "owner", "copies"], [pa.int64(), pa.int64(), pa.binary(), ident, pa.int64()]
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names)
 
     def send(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -129,10 +130,10 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             found.append((len(text), h - (1 << 64) if h >> 63 else h, text, owner, count))
             held += len(text) + 64
             if held > shard_bytes:
-                yield _rows(found, _PART)
+                yield rows_of(found)
                 found, held = [], 0
         if found:
-            yield _rows(found, _PART)
+            yield rows_of(found)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(largest)
@@ -153,7 +154,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
                 sizes.append(count)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(keeps, pa.int64()), pa.array(sizes, pa.int64())], ["text_sha256", "keep_id", "group_size"])
+            return pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(keeps, ident), pa.array(sizes, pa.int64())], ["text_sha256", "keep_id", "group_size"])
 
         for batch in batches:
             size, hashes, owner, count = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
@@ -169,46 +170,32 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         if shas:
             yield out()
 
-    part = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(local, "size long, hash long, body binary, owner long, copies long")
+    part = docs.select(column(id_col), column(text_col)).mapInArrow(local, f"size long, hash long, body binary, owner {kind.simpleString()}, copies long")
     n = n_parts(docs.sparkSession)
-    return part.repartition(n, "size", "hash").sortWithinPartitions("size", "hash").mapInArrow(merge, "text_sha256 string, keep_id long, group_size long")
+    return part.repartition(n, "size", "hash").sortWithinPartitions("size", "hash").mapInArrow(merge, f"text_sha256 string, keep_id {kind.simpleString()}, group_size long")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns and the SHA-256 of each normalised text."""
+def digests(rows: DataFrame) -> DataFrame:
+    """``rows`` (the last column a text) and the SHA-256 of each normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = batch.num_columns - 1
-            sha = [hashlib.sha256((t.as_py() or "").encode().translate(_LOWER)).hexdigest() for t in batch.column(last)]
-            cols = batch.columns[:-1] if carry is None else batch.columns
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sha, pa.string())], schema=pa.schema([*[batch.schema.field(i) for i in range(len(cols))], pa.field("text_sha256", pa.string())]))
+            sha = [hashlib.sha256((t.as_py() or "").encode().translate(_LOWER)).hexdigest() for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sha, pa.string())], schema=pa.schema([*list(batch.schema)[:-1], pa.field("text_sha256", pa.string())]))
 
-    chosen = [id_col] if carry is None else [c for c in carry if c != text_col]
-    rows = docs.select(*chosen, text_col)
-    kept = chosen if carry is None else [*chosen, text_col]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["text_sha256 string"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in rows.dtypes[:-1]] + ["text_sha256 string"]))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", carry: list[str] | None = None) -> DataFrame:
     """One row per document with the owner of its text: ``id``, keep_id,
     group_size, kept, text_sha256 and the carried columns."""
     groups = owners(docs, id_col, text_col, keep).where("group_size > 1")
-    rows = digests(docs, id_col, text_col, carry)
+    wanted = list(dict.fromkeys([id_col, *(carry or [])]))
+    rows = digests(docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(wanted)], column(text_col).alias("t")))
     size = F.coalesce(F.col("g.group_size"), F.lit(1)).cast("long")
-    keep_id = F.when(F.col("g.group_size").isNull(), F.col(f"r.{id_col}")).otherwise(F.col("g.keep_id"))
-    return (
-        rows.alias("r")
-        .join(groups.alias("g"), F.col("r.text_sha256") == F.col("g.text_sha256"), "left")
-        .select(
-            *[F.col(f"r.{c}") for c in rows.columns if c != "text_sha256"],
-            keep_id.cast("long").alias("keep_id"),
-            size.alias("group_size"),
-            keep_id.eqNullSafe(F.col(f"r.{id_col}")).alias("kept"),
-            F.col("r.text_sha256"),
-        )
-    )
+    keep_id = F.when(F.col("g.group_size").isNull(), F.col("r.c0")).otherwise(F.col("g.keep_id"))
+    joined = rows.alias("r").join(groups.alias("g"), F.col("r.text_sha256") == F.col("g.text_sha256"), "left")
+    return joined.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(wanted)], keep_id.alias("keep_id"), size.alias("group_size"), keep_id.eqNullSafe(F.col("r.c0")).alias("kept"), F.col("r.text_sha256"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
