@@ -106,12 +106,27 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_concurrent_chain(spark):
     rows = [("r", "response", None, "u"), ("q", "request", "r", "u"), ("m", "metadata", "q", "u"), ("r2", "response", None, "v")]
-    d = spark.createDataFrame([(a, b, c, t, None, "h", "f", 1, None, None) for a, b, c, t in rows], warc.RECORD_SCHEMA)
+    d = spark.createDataFrame([(a, b, c, None, t, None, "h", "f", 1, None, None) for a, b, c, t in rows], warc.RECORD_SCHEMA)
     got = {r.record_id: r for r in warc.transactions(d).collect()}
     assert got["r"].request.record_id == "q" and got["r"].metadata.record_id == "m"
     assert got["r2"].request is None and got["r2"].metadata is None
 
 
+def test_warc_refers_to_and_large_pages(spark, tmp_path):
+    big = "<p>" + "y" * 200_000
+    rows = [(i, f"http://h/{i}", big + str(i // 2)) for i in range(6)] + [(10 + i, "http://same", "z" * 150) for i in range(4)] + [(20, "http://t", "short")] * 2
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path, file_bytes=1 << 20)
+    records = warc.read_records(spark, path)
+    by = {r.record_id: r for r in records.where("kind = 'response'").collect()}
+    page = {r.concurrent_to: int(r.fields.split(": ")[1]) for r in records.where("kind = 'metadata'").collect()}
+    seen = {page[r.record_id]: page[r.refers_to] for r in records.where("kind = 'revisit'").collect() if r.refers_to in by}
+    assert seen == {1: 0, 3: 2, 5: 4, 11: 10, 12: 10, 13: 10}
+    assert records.where("kind = 'response'").count() == len(rows) - len(seen)
+    assert warc.transactions(records).count() == len(rows)
+    assert max(os.path.getsize(tmp_path / "w" / f) for f in os.listdir(tmp_path / "w")) < 1 << 20
+
+
 def test_warc_empty(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
