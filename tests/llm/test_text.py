@@ -367,6 +367,60 @@ def test_kd_shards(spark):
         assert sorted(r.slot for r in v) == list(range(len(v)))
 
 
+def test_kd_cuts_are_weighted_medians(spark):
+    """Each split, level by level, against a sorted table of its keys."""
+    random.seed(15)
+    kind = "doc_id long, text string, source string, lang string"
+    rows = [(i, "x" * int(random.paretovariate(1.2) * 20), f"s{int(random.expovariate(0.5))}", random.choice("abc")) for i in range(2500)]
+    coords, dims = shard.coordinates(spark.createDataFrame(rows, kind), "doc_id", "text", ("source", "lang"))
+    table = [r.asDict() for r in coords.collect()]
+    got = {r._id: r.shard for r in shard.kd_assign(coords, dims, "size", 6, tolerance=0).collect()}
+    full = [max(1, max(r[d] for r in table) - min(r[d] for r in table)) for d in dims]
+
+    def split(part, first, n):
+        if n == 1:
+            assert {got[r["_id"]] for r in part} == {first}
+            return
+        d = max(range(len(dims)), key=lambda i: (max(r[dims[i]] for r in part) - min(r[dims[i]] for r in part)) / full[i])
+        part = sorted(part, key=lambda r: (r[dims[d]], r["_low"]))
+        left = [r for r in part if got[r["_id"]] < first + n // 2]
+        assert left == part[: len(left)]  # a cut along the widest dimension
+        wanted, at = sum(r["size"] for r in part) * (n // 2) / n, sum(r["size"] for r in left)
+        leaf = sum(r["size"] for r in table) / 6
+        near = {}
+        for r in part:
+            near[r["text_crc32"]] = near.get(r["text_crc32"], 0) + r["size"]
+        edge = {part[len(left) - 1]["text_crc32"], part[min(len(left), len(part) - 1)]["text_crc32"]}
+        assert abs(at - wanted) <= max(min(0.01 * leaf, max(near[c] for c in edge)), max(r["size"] for r in part if r["text_crc32"] in edge))
+        split(left, first, n // 2)
+        split(part[len(left) :], first + n // 2, n - n // 2)
+
+    split(table, 0, 6)
+
+
+def test_kd_keeps_equal_texts_together(spark):
+    random.seed(16)
+    kind = "doc_id long, text string, source string, lang string"
+    rows = [(i, f"text {i % 1500} " + "y" * (i % 1500 % 70), random.choice(["s1", "s2", "s3"]), random.choice("ab")) for i in range(4500)]
+    rows += [(10_000 + i, "hot copy", random.choice(["s1", "s2"]), "a") for i in range(2500)]
+    got = shard.shard_documents(spark.createDataFrame(rows, kind), shards=10).collect()
+    texts = {i: t for i, t, _, _ in rows}
+    where, sums = {}, Counter()
+    for r in got:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+        sums[r.shard] += r.size
+    assert [t for t, s in where.items() if len(s) > 1] == ["hot copy"]
+    assert max(sums.values()) - min(sums.values()) <= 0.05 * sum(sums.values()) / 10
+
+
+def test_kd_many_shards_and_ties(spark):
+    kind = "doc_id long, text string, source string, lang string"
+    d = spark.createDataFrame([(i, "same", "s", "a") for i in range(4000)], kind)
+    got = shard.shard_documents(d, target_bytes=20 * 16).collect()
+    sums = Counter(r.shard for r in got)
+    assert len(sums) == 250 and max(sums.values()) <= 32
+
+
 def test_kd_edges(spark):
     kind = "doc_id long, text string, source string, lang string"
     assert shard.shard_documents(spark.createDataFrame([], kind)).count() == 0
