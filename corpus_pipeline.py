@@ -56,7 +56,7 @@ def remove_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     clean = sanitise.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
