@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -51,7 +52,7 @@ def test_cosine_links_match_brute_force(spark):
     rng.shuffle(order := list(range(len(rows))))
     rows = [(int(i), rows[k][1]) for i, k in enumerate(order)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit("x")).withColumn("n_links", F.lit(0))
-    for block in (16, 4096):
+    for block in (16, 60, None):
         got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.cosine_links(d, block=block).collect()}
         big = [i for i, v in rows if v and v[0] in (1e300, 1e-300)]
         want = brute_links([(i, [1.0] * 8) if i in big else (i, v) for i, v in rows], 0.9)
@@ -65,16 +66,60 @@ def test_cosine_edges(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_cover_tree_radii():
+def cover_points(n=700, d=6):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(700, 6))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    t = covertree.CoverTree(x, leaf=16)
-    assert sorted(t.order) == list(range(700))
-    for c, r, (a, b), kids in zip(t.centre, t.radius, t.span, t.kids):
-        assert (np.linalg.norm(x[t.order[a:b]] - c, axis=1) <= r + 1e-12).all()
-        if kids:
-            assert sorted(t.span[k] for k in kids)[0][0] == a and sum(t.span[k][1] - t.span[k][0] for k in kids) == b - a
+    x = np.concatenate([rng.normal(size=(n, d)), (rng.normal(size=(1, d)) + 0.01 * rng.normal(size=(n // 3, d)))])
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_cover_tree_levels():
+    """Centres are points and nest, radii cover, children are apart by a level's
+    radius that halves, ranges are nested, and a tree survives its bytes."""
+    x = cover_points()
+    t = covertree.CoverTree(x, leaf=8)
+    t = covertree.CoverTree.unpack(x, t.pack())
+    assert sorted(t.order) == list(range(len(x)))
+    split = 0
+    for k in range(len(t.centre)):
+        own = t.order[t.lo[k] : t.hi[k]]
+        assert t.centre[k] in own
+        assert (np.linalg.norm(x[own] - x[t.centre[k]], axis=1) <= t.radius[k] + 1e-6).all()
+        kids = np.arange(t.kid_lo[k], t.kid_hi[k])
+        if len(kids):
+            split += 1
+            assert t.centre[k] in t.centre[kids]
+            spans = sorted((t.lo[j], t.hi[j]) for j in kids)
+            assert spans[0][0] == t.lo[k] and spans[-1][1] == t.hi[k] and all(p[1] == q[0] for p, q in zip(spans, spans[1:]))
+            gaps = np.linalg.norm(x[t.centre[kids]][:, None] - x[t.centre[kids]][None], axis=2)[np.triu_indices(len(kids), 1)]
+            bounds = [2.0**-e for e in range(-1, 14) if gaps.min() > 2.0**-e - 1e-3 and t.radius[kids].max() <= 2.0**-e + 1e-2]
+            assert bounds, (gaps.min(), t.radius[kids].max())
+        else:
+            assert len(own) <= 8 or t.radius[k] < 1e-2
+    assert split > 5
+
+
+@pytest.mark.parametrize("cosine", [0.9, 0.5, 0.9999])
+def test_dual_traversal_finds_all_pairs(cosine):
+    x = cover_points()
+    half = len(x) // 2
+    trees = [covertree.CoverTree(p, leaf=4, reach=(2 - 2 * cosine) ** 0.5) for p in (x[:half], x[half:])]
+    for one, two, same in ((0, 0, True), (0, 1, False)):
+        got = []
+        p, q = x[:half], (x[:half] if same else x[half:])
+        dual = lambda a, b: got.extend((i, j) for i, j in zip(a.tolist(), b.tolist()) if p[i] @ q[j] >= cosine)  # noqa: B023, E731
+        covertree.dual(trees[one], trees[two], cosine, dual, lambda a, b: got.extend((i, j) for i in a.tolist() for j in b.tolist()), (lambda a: got.extend(combinations(a.tolist(), 2))) if same else None, tile=64)  # noqa: B023
+        want = {(i, j) for i, j in zip(*np.nonzero(p @ q.T >= cosine))}
+        if same:
+            want, got = {(i, j) for i, j in want if i < j}, [tuple(sorted(z)) for z in got]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_repeated_vector_identifiers(spark):
+    rows = [(1, (1.0, 0.0)), (1, (0.0, 1.0)), (2, (1.0, 0.01)), (3, (0.01, 1.0)), (4, (0.02, 1.0)), (None, (1.0, 0.0))]
+    d = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<double>")
+    for block in (2, None):
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in covertree.cosine_links(d, block=block).collect())
+        assert got == [(0, 2, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
 
 
 PAGES = [(1, "http://a/\r\n1", "<p>" + "x" * 200), (5, None, "<p>" + "x" * 200), (3, "http://c", None), (4, "http://d", ""), (None, "http://e", "<p>" + "x" * 200), (6, "http://f", "short"), (7, "http://g", "short"), (8, "http://h", "WARC/1.1\r\nWARC-Type: x\r\n\r\n" * 20 + "é"), (9, "http://i", "\r\n\r\n" * 40), (2, "http://j", "\r\n\r\n" * 40)]
