@@ -76,7 +76,7 @@ def test_cover_tree_levels():
     """Centres are points and nest, radii cover, children are apart by a level's
     radius that halves, ranges are nested, and a tree survives its bytes."""
     x = cover_points()
-    t = covertree.CoverTree(x, leaf=8)
+    t = covertree.CoverTree(x, leaf=8, reach=0.447)
     t = covertree.CoverTree.unpack(x, t.pack())
     assert sorted(t.order) == list(range(len(x)))
     split = 0
