@@ -44,9 +44,11 @@ def count_of(seq: Column, letter: str) -> Column:
 
 
 def composition(df: DataFrame, id_col: str, seq_col: str, letters: str = "ACGTN") -> DataFrame:
-    """Letters of each sequence, with a total row (id null) from the same pass."""
-    counts = [F.sum(count_of(F.col(seq_col), c)).alias(f"n_{c.lower()}") for c in letters]
-    return df.rollup(id_col).agg(F.sum(F.length(seq_col)).cast("long").alias("length"), *counts)
+    """Letters of each sequence, with a total row (id null); letters are counted
+    row by row, so only numbers are grouped."""
+    names = [f"n_{c.lower()}" for c in letters]
+    each = df.select(id_col, F.length(seq_col).cast("long").alias("length"), *[count_of(F.col(seq_col), c).alias(n) for c, n in zip(letters, names)])
+    return each.rollup(id_col).agg(*[F.sum(c).alias(c) for c in ("length", *names)])
 
 
 def splice(seq: Column, starts: Column, ends: Column, strand: Column) -> Column:

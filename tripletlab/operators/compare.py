@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletlab.functions import stats
@@ -59,8 +59,15 @@ def odds_pvalues(d: DataFrame, order: list[str], groups: list[str] | None = None
     return stats.bh_adjust(z, "p", order, groups=groups)
 
 
-def odds_summary(d: DataFrame) -> DataFrame:
+def odds_summary(d: DataFrame, significant: Column | None = None) -> DataFrame:
+    """Sites below and above 1 per codon and their mean counts; with a condition
+    of significance also those that meet it, and their share (%)."""
+    extra = []
+    if significant is not None:
+        for n, side in (("lower", F.col("odds") < 1), ("higher", F.col("odds") > 1)):
+            extra += [F.count_if(side & significant).alias(f"sig_{n}"), F.try_divide(F.count_if(side & significant) * 100.0, F.count("*")).alias(f"share_{n}")]
     return d.groupBy("codon").agg(
+        *extra,
         F.count_if(F.col("odds") < 1).alias("lower"), F.count_if(F.col("odds") > 1).alias("higher"),
         F.avg(F.when(F.col("odds") < 1, F.col("c"))).alias("mean_lower"), F.avg(F.when(F.col("odds") > 1, F.col("t"))).alias("mean_higher"),
     )
@@ -164,3 +171,26 @@ def ward_order(labels: list, points: np.ndarray) -> list:
         (n, c, x), (m, d, y) = groups[i], groups[j]
         groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [(n + m, (n * c + m * d) / (n + m), x + y)]
     return groups[0][2] if groups else []
+
+
+def frame_correlations(counts: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
+    """Pearson matrices of samples for each frame and for all frames together:
+    (mode, a, b, r).  Counts are summed over ``keys`` first."""
+    samples = sorted(r[0] for r in counts.select(sample).distinct().collect())  # one per sample
+    modes = {"0": F.col("f0"), "1": F.col("f1"), "2": F.col("f2"), "all": F.col("f0") + F.col("f1") + F.col("f2")}
+    wide = counts.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col(sample) == s, x)), F.lit(0)).alias(f"{m}|{s}") for m, x in modes.items() for s in samples])
+    out = None
+    for m in modes:
+        one = correlations(wide, [f"{m}|{s}" for s in samples]).select(F.lit(m).alias("mode"), *[F.substring_index(c, "|", -1).alias(c) for c in ("a", "b")], "r")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def expressed_in_all(ribo: DataFrame, rna: DataFrame, ribo_min: float, rna_min: float, value: str = "x", name: str = "name", sample: str = "sample") -> DataFrame:
+    """Names whose sum reaches the assay's threshold in every sample of both assays."""
+    sides = []
+    for df, least in ((ribo, ribo_min), (rna, rna_min)):
+        k = df.select(sample).distinct().agg(F.count("*").alias("_k"))
+        per = df.groupBy(name, sample).agg(F.sum(value).alias("s")).where(F.col("s") >= least).groupBy(name).agg(F.count("*").alias("n"))
+        sides.append(per.join(F.broadcast(k)).where("n = _k").select(name))
+    return sides[0].intersect(sides[1])

@@ -42,6 +42,18 @@ def clean_codons(df: DataFrame) -> DataFrame:
     return df.withColumn("codon", F.upper("codon")).where(~F.col("codon").contains("N"))
 
 
+def keep_codons(df: DataFrame, codons: list[str] | DataFrame) -> DataFrame:
+    """Rows of listed codons (a list, or a table as read_codons gives)."""
+    if isinstance(codons, DataFrame):
+        return df.join(codons.select("codon").distinct(), "codon", "left_semi").select(*df.columns)
+    return df.where(F.col("codon").isin([c.upper().replace("U", "T") for c in codons]))
+
+
+def first_genes(df: DataFrame, n: int, name: str = "name") -> DataFrame:
+    """The first ``n`` gene names in order, for views of a few genes."""
+    return df.select(name).distinct().orderBy(name).limit(n)
+
+
 def trim(df: DataFrame, tis: int | None = None, tts: int | None = None) -> DataFrame:
     """Keep codons at least ``tis`` after the start and ``tts`` before the stop."""
     if tis is not None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletlab.functions import stats
+from tripletlab.operators.compare import replicate_gate
 from tripletlab.operators.profiles import moving_mean
 
 
@@ -124,11 +125,45 @@ def overlap_label(left: DataFrame, right: DataFrame, keys: list[str], start: str
     return left.join(hit, left.columns, "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
 
 
-def detect(df: DataFrame, controls: list[str], pulldowns: list[str], floor: float, gap: int = 2, width: int = 5, share: float = 0.6, half: int = 2, minimum: float = 0) -> DataFrame:
+def overlap_classes(control: DataFrame, treated: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Peaks of two sides: ``overlap`` where one meets a peak of the other side,
+    else the name of the side that has it alone (control or treated)."""
+    sides = (("control", control, treated), ("treated", treated, control))
+    each = [overlap_label(a, b, keys, start, end).select(*keys, start, end, F.lit(n).alias("side"), F.when(F.col("overlap"), "overlap").otherwise(n).alias("kind")) for n, a, b in sides]
+    return each[0].unionByName(each[1])
+
+
+def strong(peaks: DataFrame, alpha: float, fold: float, p: str = "bhfdr", value: str = "mean_value", width: tuple[int, int] | None = None) -> DataFrame:
+    """Peaks below ``alpha`` whose enrichment reaches ``fold``, of a width within bounds."""
+    ok = (F.col(p) < alpha) & (F.col(value) >= fold)
+    return peaks.where(ok & (F.col("end") - F.col("start") + 1).between(*width) if width else ok)
+
+
+def write_bed(peaks: DataFrame, path: str, name: str = "name", score: str = "max_value") -> None:
+    """Half-open intervals with a number and a score, without header."""
+    cols = [F.col(name), (F.col("start") - 1).alias("a"), F.col("end"), F.concat_ws("_", F.col(name), F.col("start")).alias("label"), F.round(score, 4)]
+    peaks.select(*cols).write.option("sep", "\t").csv(path)
+
+
+def eligible(df: DataFrame, controls: list[str], pulldowns: list[str], minimum: float, fold: float | None = None, at: int = 30, correlation: float | None = None) -> DataFrame:
+    """Names of genes that pass every gate: counts of the pulldowns, pulldown
+    after codon ``at`` over the one before, and correlation of replicates."""
+    names = df.groupBy("name").agg(reduce(add, [F.sum(p) for p in pulldowns]).alias("s")).where(F.col("s") >= minimum).select("name")
+    if fold is not None:
+        names = names.join(background_gate(df, pulldowns, fold, at).where("ok"), "name", "left_semi")
+    if correlation is not None:
+        for side in (controls, pulldowns):
+            if len(side) > 1:
+                names = names.join(replicate_gate(df, side, correlation).where("ok"), "name", "left_semi")
+    return names
+
+
+def detect(df: DataFrame, controls: list[str], pulldowns: list[str], floor: float, gap: int = 2, width: int = 5, share: float = 0.6, half: int = 2, minimum: float = 0, fold: float | None = None, at: int = 30, correlation: float | None = None, edge: float | None = None, reach: int = 9) -> DataFrame:
     """The caller from counts to tested peaks.  ``df`` has name, pos, region and
-    one column per sample; genes below ``minimum`` pulldown counts are left out."""
-    gene = df.groupBy("name").agg(reduce(add, [F.sum(p) for p in pulldowns]).alias("s")).where(F.col("s") >= minimum).select("name")
-    d = df.join(gene, "name", "left_semi")
+    one column per sample (and from_tis for the background gate); genes that fail
+    a gate of eligible() are left out.  With ``edge``, edges move out while the
+    profile holds it (columns left and right); regions of both ends are added."""
+    d = df.join(eligible(df, controls, pulldowns, minimum, fold, at, correlation), "name", "left_semi")
     for c in controls:
         d = fill_empty(d, c)
     smooth = moving_mean(enrichment(d, controls, pulldowns), half, value="ratio")
@@ -137,4 +172,8 @@ def detect(df: DataFrame, controls: list[str], pulldowns: list[str], floor: floa
     diff = reduce(add, [F.col(p) for p in pulldowns]) / len(pulldowns) - reduce(add, [F.col(c) for c in controls]) / len(controls)
     t = inside.withColumn("_d", diff).groupBy("name", "start", "end").agg(F.avg("_d").alias("md"), F.stddev_samp("_d").alias("sd"), F.count("*").alias("n"), F.max("smooth").alias("max_value"), F.max_by("pos", "smooth").alias("max_pos"), F.avg("smooth").alias("mean_value"))
     t = t.withColumn("t", F.try_divide("md", F.col("sd") / F.sqrt("n"))).withColumn("p", stats.t_two_sided("t", (F.col("n") - 1).cast("double")))
-    return stats.bh_adjust(t, "p", ["name", "start"], out="bhfdr")
+    t = stats.bh_adjust(t, "p", ["name", "start"], out="bhfdr")
+    if edge is not None:
+        t = t.join(extend_edges(found, smooth, edge, reach), ["name", "start", "end"])
+        t = annotate(t, d)
+    return t

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripletlab.functions.tables import written
+
 
 def _per(names: list[str]) -> Window:
     return Window.partitionBy(*names)
 
 
-def region_quant(df: DataFrame, value: str = "x", name: str = "name", sample: str = "sample") -> DataFrame:
+def region_quant(df: DataFrame, value: str = "x", name: str = "name", sample: str = "sample", tis: int | None = None, tts: int | None = None) -> DataFrame:
     """Counts per gene, region and sample with RPM, RPKM and TPM.  Lengths are
-    the whole gene's rows times three; totals and per-kilobase sums are one row
-    per sample and region and are broadcast."""
-    gene = df.groupBy(name, "region", sample).agg(F.sum(value).alias("count"))
-    length = df.groupBy(name, sample).agg((F.count("*") * 3).alias("length"))
-    total = df.groupBy(sample).agg(F.sum(value).alias("total"))
-    q = gene.join(length, [name, sample]).join(F.broadcast(total), sample)
+    the whole gene's rows times three; one grouped pass gives counts, lengths and
+    totals.  With ``tis`` and ``tts``, coding rows near the start and the stop
+    count neither as reads of their region nor as its rows, but in the totals."""
+    inside = F.lit(True)
+    if tis is not None:
+        inside = inside & (F.col("from_tis") >= tis)
+    if tts is not None:
+        inside = inside & (F.col("from_tts") <= -tts)
+    kept = (F.col("region") != "cds") | inside
+    gene = df.groupBy(name, "region", sample).agg(F.coalesce(F.sum(F.when(kept, F.col(value))), F.lit(0)).alias("count"), F.sum(value).alias("all"), F.count_if(kept).alias("rows"))
+    total = gene.groupBy(sample).agg(F.sum("all").alias("total"))
+    q = gene.withColumn("length", F.sum("rows").over(_per([name, sample])) * 3).where("rows > 0").join(F.broadcast(total), sample)
     q = q.withColumn("rpk", F.try_divide(F.col("count") * 1e3, F.col("length")))
     all_rpk = q.groupBy("region", sample).agg(F.sum("rpk").alias("sum_rpk"))
     q = q.join(F.broadcast(all_rpk), ["region", sample])
@@ -62,8 +70,13 @@ def coverage(df: DataFrame, bins: int, value: str = "x", name: str = "name", pos
     return per.groupBy("bin").agg(F.sum("m").alias("s")).join(F.broadcast(genes)).select("bin", F.try_divide("s", "genes").alias("density"))
 
 
-def fill_outliers(df: DataFrame, value: str = "x", name: str = "name", width: float = 2.0) -> DataFrame:
-    """Values beyond ``width`` interquartile ranges become the gene's mean."""
+def fill_outliers(df: DataFrame, value: str = "x", name: str = "name", width: float = 2.0, how: str = "iqr") -> DataFrame:
+    """Values beyond ``width`` interquartile ranges, or with a z-score beyond
+    ``width`` (``how`` = zscore), become the gene's mean."""
+    if how == "zscore":
+        w = _per([name])
+        z = F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w))
+        return df.withColumn("filled", F.when(F.abs(z) > width, F.avg(value).over(w)).otherwise(F.col(value).cast("double")))
     q = df.groupBy(name).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.avg(value).alias("mean"))
     iqr = F.col("q3") - F.col("q1")
     out = (F.col(value) < F.col("q1") - width * iqr) | (F.col(value) > F.col("q3") + width * iqr)
@@ -168,20 +181,27 @@ def selection_time(gene_codons: DataFrame, genes: DataFrame, times: int) -> Data
 
     gene_codons: (name, codon, n, ribo, rna); genes: (name, codons, density).
     Each round weights a gene's RNA counts by its initiation rate, which comes
-    from the codon times before.  The expression has a fixed number of rounds
-    over one gene-by-codon table, and each round's codon table is tiny."""
-    ribo = gene_codons.groupBy("codon").agg(F.sum("ribo").alias("r"))
-    ribo = ribo.join(F.broadcast(ribo.agg(F.sum("r").alias("rt")))).select("codon", F.try_divide("r", "rt").alias("ribo_share"))
-    weight = None
-    cst = None
+    from the codon times before.  The table is written once with one row per gene,
+    so a round is one map and one partial aggregate over it; the codon times (64
+    numbers) stay on the driver between rounds, and plans do not grow."""
+    spark = gene_codons.sparkSession
+    items = gene_codons.groupBy("name").agg(F.collect_list(F.struct("codon", "n", "ribo", "rna")).alias("items"))
+    table = written(genes.join(items, "name").select("codons", "density", "items"), "gene-codons")
+    flat = table.select(F.explode("items").alias("i"))
+    ribo = {r[0]: r[1] for r in flat.groupBy("i.codon").agg(F.sum("i.ribo")).collect()}
+    all_ribo = float(sum(v or 0 for v in ribo.values()))
+    cst: dict[str, float] | None = None
     for _ in range(times):
-        g = gene_codons.withColumn("w", F.lit(1.0)) if weight is None else gene_codons.join(weight, "name")
-        rna = g.groupBy("codon").agg(F.sum(F.col("rna") * F.col("w")).alias("a"))
-        rna = rna.join(F.broadcast(rna.agg(F.sum("a").alias("at")))).select("codon", F.try_divide("a", "at").alias("rna_share"))
-        cst = ribo.join(rna, "codon").select("codon", F.coalesce(F.try_divide("ribo_share", "rna_share"), F.lit(0.0)).alias("cst"))
-        rate = gene_codons.join(F.broadcast(cst), "codon").groupBy("name").agg(F.sum(F.col("n") * F.col("cst")).alias("time"))
-        weight = genes.join(rate, "name").select("name", F.coalesce(F.try_divide(F.col("codons") * F.col("density"), F.col("time")), F.lit(0.0)).alias("w"))
-    return cst
+        weight = F.lit(1.0)
+        if cst is not None:
+            known = F.create_map(*[x for c, v in cst.items() for x in (F.lit(c), F.lit(v))])
+            time = F.aggregate("items", F.lit(0.0), lambda t, i: t + i["n"] * F.coalesce(F.get(F.map_values(F.map_filter(known, lambda k, _: k == i["codon"])), F.lit(0)), F.lit(0.0)))
+            weight = F.coalesce(F.try_divide(F.col("codons") * F.col("density"), time), F.lit(0.0))
+        rna = {r[0]: r[1] or 0.0 for r in table.select(weight.alias("w"), F.explode("items").alias("i")).groupBy("i.codon").agg(F.sum(F.col("i.rna") * F.col("w"))).collect()}
+        all_rna = sum(rna.values())
+        share = {c: (ribo[c] or 0) / all_ribo if all_ribo else None for c in ribo}
+        cst = {c: share[c] / (rna[c] / all_rna) if all_rna and rna[c] and share[c] is not None else 0.0 for c in ribo}
+    return spark.createDataFrame(sorted((cst or {}).items()), "codon string, cst double")
 
 
 def windows_around(df: DataFrame, match: Column, around: int, value: str = "x", name: str = "name", pos: str = "pos", unique: bool = False) -> DataFrame:

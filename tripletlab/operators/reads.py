@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripletlab.functions.tables import small
+
 SECONDARY, SUPPLEMENTARY, UNMAPPED, REVERSE = 256, 2048, 4, 16
 
 
@@ -24,7 +26,7 @@ def filter_reads(reads: DataFrame, mapq: int = 0, lengths: list[int] | None = No
 def unique_reads(reads: DataFrame, aligner: str = "star", most: int = 1) -> DataFrame:
     """Uniqueness by the tags of the aligner; a missing tag is not unique."""
     tag = lambda t: F.expr(f"try_cast(tags['{t}'] AS int)")
-    rule = {"star": tag("NH") <= most, "hisat2": (tag("NH") <= most) & F.col("tags")["ZS"].isNull(), "bowtie2": tag("AS").isNotNull() & F.col("tags")["XS"].isNull()}[aligner]
+    rule = {"star": tag("NH") <= most, "hisat2": (tag("NH") <= most) & F.col("tags")["ZS"].isNull(), "bowtie2": (tag("AS") <= most) & F.col("tags")["XS"].isNull()}[aligner]
     return reads.where(F.coalesce(rule, F.lit(False)))
 
 
@@ -42,7 +44,7 @@ def end_offsets(reads: DataFrame, annotation: DataFrame, reach: int = 50) -> Dat
     """Histogram of read ends around start and stop: (site, end, length, offset, n).
     A read that spans the start is counted there only."""
     a = annotation.select("name", F.col("utr5_length").alias("tis"), (F.col("utr5_length") + F.col("cds_length") - 6).alias("tts"))
-    d = reads.where(~has(REVERSE)).join(F.broadcast(a), reads.rname == a.name)
+    d = reads.where(~has(REVERSE)).join(small(a), reads.rname == a.name)
     at = F.when((F.col("block_start") <= F.col("tis")) & (F.col("block_end") > F.col("tis")), F.struct(F.lit("tis").alias("site"), F.col("tis").alias("p"))).when(
         (F.col("block_start") <= F.col("tts")) & (F.col("block_end") > F.col("tts")), F.struct(F.lit("tts").alias("site"), F.col("tts").alias("p"))
     )
@@ -56,7 +58,7 @@ def frame_offsets(reads: DataFrame, annotation: DataFrame, peak: int = 30, shift
     neighbouring offsets near (length - peak) div shift + 11, its counts and
     periodicity (%)."""
     a = annotation.select("name", F.col("utr5_length").alias("cds"))
-    d = reads.where(~has(REVERSE)).join(F.broadcast(a), reads.rname == a.name)
+    d = reads.where(~has(REVERSE)).join(small(a), reads.rname == a.name)
     base = (11 + F.floor((F.col("length") - peak) / shift)).cast("int")
     f = F.pmod(F.col("block_start") + base - F.col("cds"), F.lit(3))
     c = d.withColumns({"base": base, "f": f}).groupBy("length", "base").agg(*[F.count_if(F.col("f") == k).alias(f"c{k}") for k in range(3)])
@@ -87,7 +89,7 @@ def psite_hits(reads: DataFrame, offsets: DataFrame) -> DataFrame:
     """(name, nt, n) of P-sites: each read hits block_start + offset for each
     offset of its length; an offset of -1 hits every position of the block.
     Nucleotides count from 1."""
-    d = reads.join(F.broadcast(offsets), "length")
+    d = reads.join(small(offsets), "length")
     hits = F.flatten(F.transform("p_site", lambda o: F.when(o == -1, F.sequence(F.col("block_start"), F.col("block_end") - 1)).otherwise(F.array(F.col("block_start") + o))))
     hits = F.transform(hits, lambda x: (x + 1).cast("long"))
     return d.select(F.col("rname").alias("name"), F.explode(hits).alias("nt")).groupBy("name", "nt").agg(F.count("*").alias("n"))
@@ -101,7 +103,7 @@ def rolling_hits(reads: DataFrame, step: int = 32) -> DataFrame:
 def genome_track(reads: DataFrame, offsets: DataFrame, scale: float = 1e6) -> DataFrame:
     """P-site counts per chromosome position and strand, minus strand negative,
     with RPM rounded to three places."""
-    d = reads.join(F.broadcast(offsets), "length")
+    d = reads.join(small(offsets), "length")
     minus = has(REVERSE)
     at = F.explode(F.transform("p_site", lambda o: F.when(minus, F.col("block_end") - 1 - o).otherwise(F.col("block_start") + o)))
     t = d.select("rname", F.when(minus, "-").otherwise("+").alias("strand"), at.alias("start")).groupBy("rname", "strand", "start").agg(F.count("*").alias("n"))
@@ -113,7 +115,7 @@ def genome_track(reads: DataFrame, offsets: DataFrame, scale: float = 1e6) -> Da
 def digestion_frames(reads: DataFrame, annotation: DataFrame) -> DataFrame:
     """Frames of 5' and 3' ends by read length."""
     a = annotation.select("name", F.col("utr5_length").alias("u"))
-    d = reads.where(~has(REVERSE)).join(F.broadcast(a), reads.rname == a.name)
+    d = reads.where(~has(REVERSE)).join(small(a), reads.rname == a.name)
     five, three = F.pmod(F.col("block_start") - F.col("u"), F.lit(3)), F.pmod(F.col("block_end") - F.col("u"), F.lit(3))
     return d.groupBy("length").agg(*[F.count_if(e == k).alias(f"{n}_{k}") for n, e in (("5end", five), ("3end", three)) for k in range(3)])
 
@@ -121,16 +123,15 @@ def digestion_frames(reads: DataFrame, annotation: DataFrame) -> DataFrame:
 def position_weights(df: DataFrame, seq: str, width: int, letters: str = "ACGT") -> DataFrame:
     """Share of each letter at each of the first ``width`` places."""
     p = df.select(F.posexplode(F.split(F.substring(seq, 1, width), "")).alias("site", "c")).where(F.col("c").isin(*letters))
-    counts = p.groupBy("site").agg(*[F.count_if(F.col("c") == c).alias(c) for c in letters], F.count("*").alias("n"))
-    return counts.select("site", *[F.try_divide(F.col(c), F.col("n")).alias(c) for c in letters])
+    counts = p.groupBy("site").agg(*[F.count_if(F.col("c") == c).alias(c) for c in letters], F.count("*").alias("_all"))
+    return counts.select("site", *[F.try_divide(F.col(c), F.col("_all")).alias(c) for c in letters])
 
 
 def saturation(df: DataFrame, read: str, gene: str, steps: int = 9, step: float = 0.05) -> DataFrame:
     """Genes seen in nested samples of 5 %, 10 %, ... of the reads.  A read is in
-    a sample by its hash, so one pass counts all of them."""
-    u = F.pmod(F.xxhash64(read), F.lit(1_000_000)) / 1e6
-    part = F.ceil(u / step).cast("int")
-    first = df.groupBy(gene).agg(F.min(F.when(part == 0, 1).otherwise(part)).alias("part"))
+    a sample by the first 24 bits of its MD5, so one pass counts all of them."""
+    part = (F.floor(F.conv(F.substring(F.md5(F.col(read).cast("string")), 1, 6), 16, 10).cast("double") / (step * (1 << 24))) + 1).cast("int")
+    first = df.groupBy(gene).agg(F.min(part).alias("part"))
     seen = first.groupBy("part").agg(F.count("*").alias("n"))
     grid = df.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("step"))
     return grid.join(F.broadcast(seen), F.col("part") <= F.col("step"), "left").groupBy("step").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("genes"))
@@ -142,5 +143,5 @@ def shuffle_counts(df: DataFrame, value: str, name: str = "name", pos: str = "po
 
     w = Window.partitionBy(name)
     a = df.withColumn("_k", F.row_number().over(w.orderBy(pos)))
-    b = df.select(F.col(name).alias("_n"), F.col(value).alias("shuffled"), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), name, pos), pos)).alias("_j"))
+    b = df.select(F.col(name).alias("_n"), F.col(value).alias("shuffled"), F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(name), F.col(pos))), pos)).alias("_j"))
     return a.join(b, (F.col(name) == F.col("_n")) & (F.col("_k") == F.col("_j"))).drop("_n", "_j", "_k")

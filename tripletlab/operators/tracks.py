@@ -77,3 +77,9 @@ def quartiles(df: DataFrame, value: str, out: str = "quartile") -> DataFrame:
 def bin_matrix(df: DataFrame, bins: int, name: str = "name", bin_col: str = "bin", value: str = "m") -> DataFrame:
     """One row per gene and one column per bin."""
     return df.groupBy(name).pivot(bin_col, list(range(bins))).agg(F.first(value))
+
+
+def heatmap_order(matrix: DataFrame, name: str = "name") -> DataFrame:
+    """Genes of a matrix by the mean over its columns, largest first."""
+    cols = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in matrix.columns if c != name]
+    return matrix.withColumn("row_mean", sum(cols[1:], cols[0]) / len(cols)).orderBy(F.desc("row_mean"), name)

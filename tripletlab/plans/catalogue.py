@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripletlab.functions import sequence as S
 from tripletlab.functions import stats
 from tripletlab.functions.codons import CODE
+from tripletlab.functions.tables import workspace
 from tripletlab.operators import compare as C
 from tripletlab.operators import density as D
 from tripletlab.operators import peaks as K
@@ -17,6 +18,7 @@ from tripletlab.operators import profiles as P
 from tripletlab.operators import reads as R
 from tripletlab.operators import tracks as T
 from tripletlab.plans.analogs import EV, LN, LN0, events_density, line_counts, line_density, table
+from tripletlab.sources import alignments, sequences, sinks, tables
 from tripletlab.streaming import windows as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +83,21 @@ def gene_list_semi(spark, sf):
     return line_counts(spark, sf).join(genes, "name", "left_semi").groupBy("name").agg(F.count("*").alias("n"), F.sum("f0").alias("f0"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_WANTED = "SELECT DISTINCT '>' || CAST(p_partkey * 3 AS VARCHAR) || ' ' AS id FROM part WHERE p_size < 20"
+
+
+@query(f"WITH w AS ({_WANTED}) SELECT regexp_replace(trim(id), '^>', '') AS id FROM w WHERE regexp_replace(trim(id), '^>', '') NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)")
 def unmatched_ids_anti(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    part = table(spark, sf, "part")
+    wanted = part.where("p_size < 20").select(F.concat(F.lit(">"), (F.col("p_partkey") * 3).cast("string"), F.lit(" ")).alias("id"))
+    return T.lookup(part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("seq")), wanted)[1]
+
+
+@query(f"WITH w AS ({_WANTED}) SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS seq FROM part WHERE CAST(p_partkey AS VARCHAR) IN (SELECT regexp_replace(trim(id), '^>', '') FROM w)")
+def sequence_lookup(spark, sf):
+    part = table(spark, sf, "part")
+    wanted = part.where("p_size < 20").select(F.concat(F.lit(">"), (F.col("p_partkey") * 3).cast("string"), F.lit(" ")).alias("id"))
+    return T.lookup(part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("seq")), wanted)[0]
 
 
 @query("SELECT l_partkey AS name FROM lineitem WHERE l_linestatus = 'F' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'")
@@ -113,10 +127,10 @@ def merge_tables_outer(spark, sf):
     return D.merge_samples({"R": a, "A": b}, ["name"], ["n"], "full_outer")
 
 
-@query("SELECT event_type AS sample, user_id AS name, count(*) AS n FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) GROUP BY 1, 2")
+@query("SELECT event_type AS sample, user_id AS name, count(*) AS n FROM events GROUP BY 1, 2")
 def union_long_tables(spark, sf):
     e = table(spark, sf, "events")
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())[:2]  # a handful of types
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a handful of types
     return D.union_long({k: e.where(F.col("event_type") == k).groupBy(F.col("user_id").alias("name")).agg(F.count("*").alias("n")) for k in kinds})
 
 
@@ -273,11 +287,20 @@ def _cst_sql(times: int) -> str:
     return f"WITH {', '.join(parts)} SELECT codon, round(cst, 6) AS cst FROM c{times - 1}"
 
 
-@query(_cst_sql(3))
-def codon_selection_time_k(spark, sf):
+def _selection(spark, sf, times):
     gc = line_counts(spark, sf).groupBy("name", F.substring("codon", 1, 1).alias("codon")).agg(F.count("*").alias("n"), F.sum("f0").alias("ribo"), F.sum("f1").alias("rna"))
     genes = gc.groupBy("name").agg(F.sum("n").alias("codons"), F.try_divide(F.sum("ribo"), F.sum("rna")).alias("density"))
-    return P.selection_time(gc, genes, 3).select("codon", *r6("cst"))
+    return P.selection_time(gc, genes, times).select("codon", *r6("cst"))
+
+
+@query(_cst_sql(3))
+def codon_selection_time_k(spark, sf):
+    return _selection(spark, sf, 3)
+
+
+@query(_cst_sql(10))
+def codon_selection_time_10(spark, sf):
+    return _selection(spark, sf, 10)
 
 
 # -- meta-codon windows -----------------------------------------------------
@@ -393,10 +416,8 @@ def length_histogram(spark, sf):
 
 @query("WITH p AS (SELECT unnest(range(0, least(16, length(text)))) AS site, text FROM documents WHERE length(text) > 0), c AS (SELECT site, lower(substring(text, site + 1, 1)) AS c FROM p), g AS (SELECT * FROM c WHERE c IN ('a', 'e', 'n', 't')) SELECT CAST(site AS INT) AS site, round(count(*) FILTER (WHERE c = 'a') / count(*), 6) AS a, round(count(*) FILTER (WHERE c = 'e') / count(*), 6) AS e, round(count(*) FILTER (WHERE c = 'n') / count(*), 6) AS n, round(count(*) FILTER (WHERE c = 't') / count(*), 6) AS t FROM g GROUP BY site")
 def pwm_by_position(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) > 0").select(F.lower(F.substring("text", 1, 16)).alias("seq"))
-    p = d.select(F.posexplode(F.split("seq", "")).alias("site", "c")).where(F.col("c").isin(*"aent"))
-    g = p.groupBy("site").agg(*[F.count_if(F.col("c") == c).alias(f"k_{c}") for c in "aent"], F.count("*").alias("k"))
-    return g.select("site", *[F.round(F.col(f"k_{c}") / F.col("k"), 6).alias(c) for c in "aent"])
+    d = table(spark, sf, "documents").where("length(text) > 0").select(F.lower("text").alias("seq"))
+    return R.position_weights(d, "seq", 16, "aent").select("site", *r6("a", "e", "n", "t"))
 
 
 # -- enrichment and peaks ---------------------------------------------------
@@ -528,12 +549,12 @@ def log2_cdf(spark, sf):
     return C.log_cdf(c, "x", ["sample"]).select("sample", *r6("log2_value", "cdf"))
 
 
-@query()
+@query("WITH p AS (SELECT user_id, CAST(floor(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) / (0.05 * 16777216)) AS INT) + 1 AS part FROM events), f AS (SELECT user_id, min(part) AS part FROM p GROUP BY user_id) SELECT CAST(s AS INT) AS step, (SELECT count(*) FROM f WHERE part <= s) AS genes FROM range(1, 10) t(s)")
 def saturation_hash(spark, sf):
     return R.saturation(table(spark, sf, "events"), "event_id", "user_id")
 
 
-@query()
+@query(f"WITH {EV}, a AS (SELECT name, pos, row_number() OVER (PARTITION BY name ORDER BY pos) AS k FROM ev), b AS (SELECT name, x, row_number() OVER (PARTITION BY name ORDER BY md5('0|' || name || '|' || pos), pos) AS k FROM ev) SELECT a.name, a.pos, round(b.x, 6) AS shuffled FROM a JOIN b ON a.name = b.name AND a.k = b.k")
 def shuffle_within_gene(spark, sf):
     return R.shuffle_counts(ev(spark, sf), "x").select("name", "pos", *r6("shuffled"))
 
@@ -549,8 +570,13 @@ def pairwise_distance(spark, sf):
 @query(f"WITH {EV}, s AS (SELECT name, sum(x) AS s FROM ev GROUP BY name) SELECT name, round((s - avg(s) OVER ()) / stddev_samp(s) OVER (), 6) AS z FROM s")
 def zscore_scale(spark, sf):
     g = ev(spark, sf).groupBy("name").agg(F.sum("x").alias("s"))
-    m = g.agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("d"))
-    return g.join(F.broadcast(m)).select("name", F.round((F.col("s") - F.col("m")) / F.col("d"), 6).alias("z"))
+    return stats.scaled(g, "s", "zscore", [], "z").select("name", *r6("z"))
+
+
+@query(f"WITH {EV}, s AS (SELECT name, codon, sum(x) AS s FROM ev GROUP BY ALL) SELECT name, codon, round(s / nullif(max(s) OVER (PARTITION BY name), 0), 6) AS share, round((s - avg(s) OVER w) / nullif(stddev_samp(s) OVER w, 0), 6) AS z FROM s WINDOW w AS (PARTITION BY name)")
+def scale_in_groups(spark, sf):
+    g = ev(spark, sf).groupBy("name", "codon").agg(F.sum("x").alias("s"))
+    return stats.scaled(stats.scaled(g, "s", "minmax", ["name"], "share"), "s", "zscore", ["name"], "z").select("name", "codon", *r6("share", "z"))
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -601,3 +627,236 @@ def mapping_ratio(spark, sf):
     c = table(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("sample"), F.col("l_returnflag").alias("database")).agg(F.count("*").alias("reported"))
     t = c.groupBy("sample").agg(F.sum("reported").alias("processed"))
     return T.mapping_ratios(c.join(F.broadcast(t), "sample"), ["R", "N", "A"]).select("sample", "database", "rank", "count", *r6("ratio"))
+
+
+# -- gates, classes and variants ---------------------------------------------
+
+
+@query(f"WITH {LN}, k AS (SELECT *, region <> 'cds' OR (from_tis >= 2 AND from_tts <= -1) AS ok FROM ln), g AS (SELECT name, region, sample, sum(CASE WHEN ok THEN f0 + f1 + f2 ELSE 0 END) AS c, count(*) FILTER (WHERE ok) AS n FROM k GROUP BY ALL), l AS (SELECT *, sum(n) OVER (PARTITION BY name, sample) * 3 AS len FROM g), t AS (SELECT sample, sum(f0 + f1 + f2) AS total FROM ln GROUP BY ALL) SELECT name, region, l.sample, CAST(c AS BIGINT) AS \"count\", round(c * 1e6 / total, 6) AS rpm, round(c * 1e9 / (len * total), 6) AS rpkm FROM l JOIN t ON l.sample = t.sample WHERE n > 0")
+def region_quant_trimmed(spark, sf):
+    return P.region_quant(ln(spark, sf), tis=2, tts=1).select("name", "region", "sample", "count", *r6("rpm", "rpkm"))
+
+
+@query(f"WITH {EV}, w AS (SELECT *, avg(x) OVER (PARTITION BY name) AS m, stddev_samp(x) OVER (PARTITION BY name) AS d FROM ev) SELECT name, pos, round(CASE WHEN abs((x - m) / nullif(d, 0)) > 1.5 THEN m ELSE x END, 6) AS filled FROM w")
+def outlier_z_fill(spark, sf):
+    return P.fill_outliers(ev(spark, sf), width=1.5, how="zscore").select("name", "pos", *r6("filled"))
+
+
+@query(f"WITH {LN} SELECT name, pos, round(CASE WHEN f1 = 0 THEN (SELECT avg(f1) FROM ln) ELSE f1 END, 6) AS f1 FROM ln")
+def fill_empty_global(spark, sf):
+    return K.fill_empty(line_density(spark, sf), "f1", 0).select("name", "pos", *r6("f1"))
+
+
+@query(f"WITH {LN} SELECT name, pos, round(CASE WHEN f1 = 0 THEN avg(f1) FILTER (WHERE pos <= 10) OVER (PARTITION BY name) ELSE f1 END, 6) AS f1 FROM ln")
+def fill_empty_first(spark, sf):
+    return K.fill_empty(line_density(spark, sf), "f1", 10).select("name", "pos", *r6("f1"))
+
+
+@query(f"WITH {LN0} SELECT name, sample, codon, f0 FROM ln0 WHERE codon IN ('AF', 'NO')")
+def codon_whitelist(spark, sf):
+    return D.keep_codons(line_counts(spark, sf), ["af", "NO"]).select("name", "sample", "codon", "f0")
+
+
+@query(f"WITH {LN0} SELECT DISTINCT name FROM ln0 ORDER BY name LIMIT 20")
+def first_genes(spark, sf):
+    return D.first_genes(line_counts(spark, sf), 20)
+
+
+@query(f"WITH {LN0}, a AS (SELECT name, sample, sum(f0) AS s FROM ln0 GROUP BY ALL), b AS (SELECT name, sample, sum(f1) AS s FROM ln0 GROUP BY ALL) SELECT name FROM a WHERE s >= 200 GROUP BY name HAVING count(*) = 2 INTERSECT SELECT name FROM b WHERE s >= 40 GROUP BY name HAVING count(*) = 2")
+def expressed_in_all(spark, sf):
+    d = line_counts(spark, sf)
+    return C.expressed_in_all(d.withColumn("x", F.col("f0")), d.withColumn("x", F.col("f1")), 200, 40)
+
+
+@query(f"WITH {LN0}, g AS (SELECT name, codon[1] AS codon, sample, sum(f0) AS a, sum(f1) AS b, sum(f2) AS c FROM ln0 GROUP BY ALL), w AS (SELECT name, codon, coalesce(sum(a) FILTER (WHERE sample = 'F'), 0) AS fa, coalesce(sum(a) FILTER (WHERE sample = 'O'), 0) AS oa, coalesce(sum(b) FILTER (WHERE sample = 'F'), 0) AS fb, coalesce(sum(b) FILTER (WHERE sample = 'O'), 0) AS ob, coalesce(sum(c) FILTER (WHERE sample = 'F'), 0) AS fc, coalesce(sum(c) FILTER (WHERE sample = 'O'), 0) AS oc FROM g GROUP BY ALL) SELECT '0' AS mode, 'F' AS a, 'O' AS b, round(corr(fa, oa), 6) AS r FROM w UNION ALL SELECT '1', 'F', 'O', round(corr(fb, ob), 6) FROM w UNION ALL SELECT '2', 'F', 'O', round(corr(fc, oc), 6) FROM w UNION ALL SELECT 'all', 'F', 'O', round(corr(fa + fb + fc, oa + ob + oc), 6) FROM w")
+def frame_mode_correlations(spark, sf):
+    d = line_counts(spark, sf).withColumn("codon", F.substring("codon", 1, 1))
+    return C.frame_correlations(d, ["name", "codon"]).select("mode", "a", "b", *r6("r"))
+
+
+@query(f"WITH {LN0}, {_OD}, z AS (SELECT *, ln(odds) / sqrt(1 / t + 1 / (ts - t) + 1 / c + 1 / (cs - c)) AS z FROM od WHERE t > 0 AND ts - t > 0 AND c > 0 AND cs - c > 0) SELECT codon, count(*) FILTER (WHERE odds < 1 AND abs(z) >= 1.96) AS sig_lower, round(count(*) FILTER (WHERE odds < 1 AND abs(z) >= 1.96) * 100.0 / count(*), 6) AS share_lower, count(*) FILTER (WHERE odds > 1 AND abs(z) >= 1.96) AS sig_higher, round(count(*) FILTER (WHERE odds > 1 AND abs(z) >= 1.96) * 100.0 / count(*), 6) AS share_higher FROM z GROUP BY codon")
+def odds_ratio_significance(spark, sf):
+    return C.odds_summary(C.odds_z(_odds(spark, sf)), F.abs("z") >= 1.96).select("codon", "sig_lower", "sig_higher", *r6("share_lower", "share_higher"))
+
+
+@query(f"WITH i AS ({_IV}), a AS (SELECT DISTINCT name, s - 10 AS start, s + 10 AS \"end\" FROM i WHERE p LIKE '1%'), b AS (SELECT DISTINCT name, s - 10 AS start, s + 10 AS \"end\" FROM i WHERE p LIKE '2%') SELECT name, start, \"end\", 'control' AS side, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.name = a.name AND a.start <= b.\"end\" AND b.start <= a.\"end\") THEN 'overlap' ELSE 'control' END AS kind FROM a UNION ALL SELECT name, start, \"end\", 'treated', CASE WHEN EXISTS (SELECT 1 FROM a WHERE b.name = a.name AND a.start <= b.\"end\" AND b.start <= a.\"end\") THEN 'overlap' ELSE 'treated' END FROM b")
+def overlap_classes(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).cast("long").alias("s"), F.col("o_orderpriority").alias("p"))
+    a, b = (o.where(F.col("p").startswith(k)).select("name", (F.col("s") - 10).alias("start"), (F.col("s") + 10).alias("end")).distinct() for k in "12")
+    return K.overlap_classes(a, b, ["name"])
+
+
+@query(f"WITH {LN}, g AS (SELECT name, max(f0) FILTER (WHERE pos >= 10) AS h, max(f0) FILTER (WHERE pos < 10) AS l FROM ln GROUP BY name) SELECT name, coalesce(h > l * 0.9, false) AS ok FROM g")
+def background_gate(spark, sf):
+    return K.background_gate(line_density(spark, sf), ["f0"], 0.9, 10, pos="pos")
+
+
+@query(f"WITH {LN}, c AS (SELECT name, corr(f0, f1) AS r FROM ln GROUP BY name) SELECT name, CAST(coalesce(r >= 0.1, false) AS INT) AS pairs_passed, coalesce(r >= 0.1, false) AS ok FROM c")
+def replicate_gate(spark, sf):
+    return C.replicate_gate(line_density(spark, sf), ["f0", "f1"], 0.1)
+
+
+@query(f"WITH {LN0}, g AS (SELECT codon[1] AS codon, sample, f0 FROM ln0) SELECT codon, round((avg(f0) FILTER (WHERE sample = 'F') - avg(f0) FILTER (WHERE sample = 'O')) / sqrt(((count(*) FILTER (WHERE sample = 'F') - 1) * var_samp(f0) FILTER (WHERE sample = 'F') + (count(*) FILTER (WHERE sample = 'O') - 1) * var_samp(f0) FILTER (WHERE sample = 'O')) / (count(*) - 2) * (1.0 / count(*) FILTER (WHERE sample = 'F') + 1.0 / count(*) FILTER (WHERE sample = 'O'))), 6) AS t FROM g GROUP BY codon HAVING count(DISTINCT sample) = 2")
+def two_sample_t(spark, sf):
+    d = line_counts(spark, sf).withColumn("codon", F.substring("codon", 1, 1))
+    return stats.t_test(d, ["codon"], "sample", "f0", ("F", "O")).where("t IS NOT NULL").select("codon", *r6("t"))
+
+
+@query(f"WITH {LN0}, v AS (SELECT f0, count(*) FILTER (WHERE sample = 'F') AS a, count(*) FILTER (WHERE sample = 'O') AS b FROM ln0 GROUP BY f0), c AS (SELECT sum(a) OVER (ORDER BY f0) / sum(a) OVER () - sum(b) OVER (ORDER BY f0) / sum(b) OVER () AS g FROM v) SELECT round(max(abs(g)), 6) AS d FROM c")
+def ks_distance(spark, sf):
+    d = line_counts(spark, sf).withColumn("g", F.lit(1))
+    return stats.ks_test(d, ["g"], "sample", "f0", ("F", "O")).select(*r6("d"))
+
+
+@query(f"WITH {_PV}, g AS (SELECT name, name % 3 AS g, p FROM pv), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p, name) AS k, count(*) OVER (PARTITION BY g) AS n FROM g) SELECT name, g, round(min(p * n / k) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS bh FROM r")
+def bh_adjust_in_groups(spark, sf):
+    p = _pvalues(spark, sf).withColumn("g", F.col("name") % 3)
+    return stats.bh_adjust(p, "p", ["name"], groups=["g"]).select("name", "g", *r6("bh"))
+
+
+# -- reads -------------------------------------------------------------------
+
+_RD = """rd AS (SELECT l_partkey AS rname, CASE WHEN l_linestatus = 'O' THEN 16 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 256 ELSE 0 END AS flag, CAST(l_quantity AS INT) AS mapq,
+CAST(l_linenumber * 7 + l_suppkey % 5 AS INT) AS block_start, CAST(l_linenumber * 7 + l_suppkey % 5 + 25 + l_orderkey % 8 AS INT) AS block_end, CAST(25 + l_orderkey % 8 AS INT) AS length FROM lineitem)"""
+_AN = "an AS (SELECT p_partkey AS name, CAST(10 + p_size % 11 AS INT) AS u, CAST(30 + p_size AS INT) AS c FROM part)"
+_OF = "ofs AS (SELECT CAST(l AS INT) AS length, CAST(11 + l % 3 AS INT) AS o FROM range(25, 31) t(l))"
+
+
+def _reads(spark, sf):
+    """Alignments made from order lines."""
+    start = (F.col("l_linenumber") * 7 + F.col("l_suppkey") % 5).cast("int")
+    length = (25 + F.col("l_orderkey") % 8).cast("int")
+    flag = F.when(F.col("l_linestatus") == "O", 16).otherwise(0) + F.when(F.col("l_returnflag") == "R", 256).otherwise(0)
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("rname"), flag.alias("flag"), F.col("l_quantity").cast("int").alias("mapq"), start.alias("block_start"), (start + length).alias("block_end"), length.alias("length"))
+
+
+def _read_annotation(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("name"), (10 + F.col("p_size") % 11).cast("int").alias("utr5_length"), (30 + F.col("p_size")).cast("int").alias("cds_length"))
+
+
+def _read_offsets(spark, sf):
+    return spark.range(25, 31).select(F.col("id").cast("int").alias("length"), F.array((11 + F.col("id") % 3).cast("int")).alias("p_site"))
+
+
+@query(f"WITH {_RD} SELECT rname, flag, mapq, length FROM rd WHERE mapq >= 20 AND flag & 256 = 0 AND length IN (28, 29)")
+def read_filter(spark, sf):
+    return R.filter_reads(_reads(spark, sf), 20, [28, 29]).select("rname", "flag", "mapq", "length")
+
+
+@query(f"WITH {_RD} SELECT length, count(*) FILTER (WHERE flag & 16 = 0) AS plus, count(*) FILTER (WHERE flag & 16 <> 0) AS minus FROM rd GROUP BY length")
+def read_lengths_by_strand(spark, sf):
+    return R.length_by_strand(_reads(spark, sf))
+
+
+@query(f"WITH {_RD}, c AS (SELECT length, count(*) FILTER (WHERE flag & 16 = 0) AS plus, count(*) FILTER (WHERE flag & 16 <> 0) AS minus FROM rd GROUP BY length), t AS (SELECT length AS peak FROM c ORDER BY plus DESC, minus DESC, length DESC LIMIT 1) SELECT peak, CASE WHEN peak BETWEEN 24 AND 34 THEN 'monosome' WHEN peak BETWEEN 54 AND 64 THEN 'disome' WHEN peak BETWEEN 84 AND 94 THEN 'trisome' ELSE 'unknown' END AS kind FROM t")
+def ribosome_class(spark, sf):
+    return R.ribosome_class(R.length_by_strand(_reads(spark, sf)))
+
+
+@query(f"""WITH {_RD}, {_AN}, j AS (SELECT *, CASE WHEN block_start <= u AND block_end > u THEN 'tis' WHEN block_start <= u + c - 6 AND block_end > u + c - 6 THEN 'tts' END AS site FROM rd JOIN an ON rname = name WHERE flag & 16 = 0),
+p AS (SELECT *, CASE site WHEN 'tis' THEN u ELSE u + c - 6 END AS p FROM j WHERE site IS NOT NULL), e AS (SELECT site, '5end' AS "end", length, p - block_start AS "offset" FROM p UNION ALL SELECT site, '3end', length, block_end - 1 - p FROM p)
+SELECT site, "end", length, "offset", count(*) AS n FROM e WHERE abs("offset") <= 50 GROUP BY ALL""")
+def end_offsets(spark, sf):
+    return R.end_offsets(_reads(spark, sf), _read_annotation(spark, sf))
+
+
+@query(f"""WITH {_RD}, {_AN}, j AS (SELECT length, CAST(11 + floor((length - 30) / 2.0) AS INT) AS base, (block_start + CAST(11 + floor((length - 30) / 2.0) AS INT) - u) AS x FROM rd JOIN an ON rname = name WHERE flag & 16 = 0),
+c AS (SELECT length, base, count(*) FILTER (WHERE ((x % 3) + 3) % 3 = 0) AS c0, count(*) FILTER (WHERE ((x % 3) + 3) % 3 = 1) AS c1, count(*) FILTER (WHERE ((x % 3) + 3) % 3 = 2) AS c2 FROM j GROUP BY ALL)
+SELECT length, c0 AS rpfs0, c1 AS rpfs1, c2 AS rpfs2, CAST(base + 1 + CASE WHEN c0 >= c1 AND c0 >= c2 THEN 0 WHEN c1 >= c2 THEN -1 ELSE 1 END AS INT) AS p_site, c0 + c1 + c2 AS rpfs, round(greatest(c0, c1, c2) * 100.0 / (c0 + c1 + c2), 6) AS periodicity FROM c""")
+def frame_offsets(spark, sf):
+    return R.frame_offsets(_reads(spark, sf), _read_annotation(spark, sf)).select("length", "rpfs0", "rpfs1", "rpfs2", "p_site", "rpfs", *r6("periodicity"))
+
+
+@query(f"WITH {_RD}, {_OF} SELECT rname AS name, CAST(block_start + o + 1 AS BIGINT) AS nt, count(*) AS n FROM rd JOIN ofs USING (length) GROUP BY ALL")
+def psite_hits(spark, sf):
+    return R.psite_hits(_reads(spark, sf), _read_offsets(spark, sf))
+
+
+@query(f"WITH {_RD} SELECT rname AS name, CAST(block_start + 1 + k AS BIGINT) AS nt, count(*) AS n FROM rd, (SELECT unnest([0, 10, 20, 30]) AS k) WHERE block_start + 1 + k <= block_end GROUP BY ALL")
+def rolling_hits(spark, sf):
+    return R.rolling_hits(_reads(spark, sf), 10)
+
+
+@query(f"WITH {_RD}, {_OF}, t AS (SELECT rname AS chr, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, CASE WHEN flag & 16 <> 0 THEN block_end - 1 - o ELSE block_start + o END AS start, count(*) AS n FROM rd JOIN ofs USING (length) GROUP BY ALL) SELECT chr, start, start + 1 AS \"end\", strand, CASE strand WHEN '-' THEN -n ELSE n END AS density, round(CASE strand WHEN '-' THEN -n ELSE n END * 1e6 / sum(n) OVER (), 3) AS rpm FROM t")
+def genome_track(spark, sf):
+    return R.genome_track(_reads(spark, sf), _read_offsets(spark, sf))
+
+
+@query(f"WITH {_RD}, {_AN}, j AS (SELECT length, (((block_start - u) % 3) + 3) % 3 AS a, (((block_end - u) % 3) + 3) % 3 AS b FROM rd JOIN an ON rname = name WHERE flag & 16 = 0) SELECT length, " + ", ".join(f"count(*) FILTER (WHERE {c} = {k}) AS \"{n}_{k}\"" for n, c in (("5end", "a"), ("3end", "b")) for k in range(3)) + " FROM j GROUP BY length")
+def digestion_frames(spark, sf):
+    return R.digestion_frames(_reads(spark, sf), _read_annotation(spark, sf))
+
+
+# -- files: written as text to the shared folder and read back -----------------
+
+
+@query(f"WITH {LN0}, w AS (SELECT name, sample, sum(f0) AS f0, sum(f1) AS f1, sum(f2) AS f2 FROM ln0 GROUP BY ALL) SELECT CAST(name AS VARCHAR) AS name, sample, CAST(f0 AS BIGINT) AS f0, CAST(f1 AS BIGINT) AS f1, CAST(f2 AS BIGINT) AS f2 FROM w")
+def density_files(spark, sf):
+    """Wide density table: sink, scan with samples from the header, long form."""
+    g = line_counts(spark, sf).groupBy("name", "sample").agg(*[F.sum(f"f{k}").alias(f"f{k}") for k in range(3)])
+    fixed = {"now_nt": F.lit(1), "from_tis": F.lit(0), "from_tts": F.lit(-1), "region": F.lit("cds"), "codon": F.lit("ATG")}
+    wide = D.long_to_wide(g.withColumns(fixed), ["F", "O"])
+    path = workspace(spark, "density")
+    sinks.write_tsv(wide, path)
+    back = D.wide_to_long(tables.read_density(spark, path))
+    have = g.select(F.col("name").cast("string").alias("name"), "sample")
+    return back.select("name", "sample", "f0", "f1", "f2").join(have, ["name", "sample"], "left_semi")
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, regexp_replace(text, '\\s+', '', 'g') AS seq FROM benchmark WHERE length(trim(text)) > 0")
+def fasta_files(spark, sf):
+    path = workspace(spark, "fasta")
+    sequences.write_fasta(table(spark, sf, "benchmark").where("length(trim(text)) > 0").select(F.col("item_id").cast("string").alias("id"), F.regexp_replace("text", r"\s+", "").alias("seq")), path)
+    return sequences.read_fasta(spark, path).select("id", "seq")
+
+
+@query(f"WITH {_RD} SELECT CAST(rname AS VARCHAR) AS rname, flag, mapq, block_start, block_end, length, count(*) AS n FROM rd GROUP BY ALL")
+def sam_files(spark, sf):
+    """Alignment lines written as text, and read with blocks, lengths and tags."""
+    path = workspace(spark, "sam")
+    line = F.concat_ws("\t", F.lit("r"), "flag", "rname", F.col("block_start") + 1, "mapq", F.concat(F.col("length"), F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), F.lit("NH:i:1"))
+    _reads(spark, sf).select(line.alias("value")).write.text(path)
+    d = alignments.read_sam(spark, path)
+    return R.unique_reads(d).groupBy("rname", "flag", "mapq", "block_start", "block_end", "length").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_RD}, {_OF}, t AS (SELECT CAST(rname AS VARCHAR) AS chr, CAST(block_start + o AS INT) AS start, count(*) AS n FROM rd JOIN ofs USING (length) WHERE flag & 16 = 0 GROUP BY ALL) SELECT chr, start, CAST(start + 1 AS INT) AS \"end\", CAST(n AS DOUBLE) AS rpm FROM t")
+def bedgraph_files(spark, sf):
+    path = workspace(spark, "bedgraph")
+    t = R.genome_track(_reads(spark, sf), _read_offsets(spark, sf)).where("strand = '+'").withColumn("rpm", F.col("density").cast("double"))
+    sinks.write_bedgraph(t, path)
+    return tables.read_bedgraph(spark, path)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name FROM part WHERE p_size > 25")
+def gene_list_files(spark, sf):
+    path = workspace(spark, "list")
+    sinks.write_tsv(table(spark, sf, "part").where("p_size > 25").select(F.lit("x").alias("note"), F.col("p_partkey").alias("transcript_id")), path)
+    return tables.read_list(spark, path)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS name, 'f' || c_nationkey AS file FROM customer")
+def sample_list_files(spark, sf):
+    path = workspace(spark, "samples")
+    sinks.write_tsv(table(spark, sf, "customer").select(F.col("c_custkey").alias("Name"), F.concat(F.lit("f"), "c_nationkey").alias("File")), path)
+    return tables.read_samples(spark, path)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS transcript_id, 10 + p_size % 11 AS utr5_length, 30 + p_size AS cds_length, 40 + p_size + p_size % 11 AS length FROM part WHERE p_partkey % 2 = 0")
+def annotation_files(spark, sf):
+    """The annotation sink and its scan of representative, coding transcripts."""
+    path = workspace(spark, "annotation")
+    m = _read_annotation(spark, sf).select(F.lit("c").alias("chrom"), F.concat(F.lit("gene-"), "name").alias("name2"), F.concat(F.lit("rna-"), "name").alias("name"), F.lit(1).alias("txStart"), F.lit(9).alias("txEnd"), "utr5_length", "cds_length", F.lit(0).alias("utr3_length"), F.lit("+").alias("strand"), (F.col("name") % 2 == 0).alias("rep_transcript"), F.lit(False).alias("modified"))
+    sinks.write_annotation(m, path)
+    return tables.read_annotation(spark, path, True, True).select("transcript_id", "utr5_length", "cds_length", "length")
+
+
+@query("SELECT 'o' || p_partkey AS orf, CASE WHEN p_size % 2 = 0 THEN 'uORF' ELSE 'dORF' END AS kind, CAST(p_size + 30 AS BIGINT) AS length FROM part WHERE p_size BETWEEN 10 AND 30 AND p_size % 3 <> 0")
+def orf_files(spark, sf):
+    """ORF caller rows: two exons each, grouped, filtered by class and length."""
+    path = workspace(spark, "orf")
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.when(F.col("p_size") % 3 == 0, "internal").when(F.col("p_size") % 2 == 0, "uORF").otherwise("dORF").alias("kind"))
+    label = F.concat_ws(";", F.concat(F.lit("o"), "p_partkey"), F.lit("g"), F.lit("r"), "kind")
+    exon = F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(130).alias("b")), F.struct(F.lit(500).alias("a"), (500 + F.col("p_size")).alias("b")))).alias("x")
+    p.select("p_partkey", label.alias("l"), exon).select(F.lit("chr1"), "x.a", "x.b", "l", F.lit("."), F.lit("+")).write.option("sep", "\t").csv(path)
+    return tables.filter_orfs(tables.read_orf_bed(spark, path), ["uORF", "dORF"], 40, 60).select("orf", "kind", "length")

@@ -144,3 +144,16 @@ def read_orf_table(spark: SparkSession, path: str, max_p: float = 0.05, min_aa:
     place = F.split("GenomePos", ":")
     blocks = F.transform(F.split("Blocks", ","), lambda b: F.struct(F.split(b, "-")[0].cast("int").alias("start"), F.split(b, "-")[1].cast("int").alias("end")))
     return df.select("*", place[0].alias("chrom"), place[2].alias("strand"), blocks.alias("blocks"))
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Sample list: name and file."""
+    names = header_of(spark, path)
+    df = _tsv(spark, path, T.StructType([T.StructField(n.lower(), T.StringType()) for n in names]))
+    return df.select(F.trim(df.columns[0]).alias("name"), F.trim(df.columns[1]).alias("file")).where("name <> ''")
+
+
+def filter_orfs(orfs: DataFrame, kinds: list[str], low: int, high: int) -> DataFrame:
+    """ORFs of the listed classes with a length within bounds, by chromosome and place."""
+    some = orfs.where(F.col("kind").isin(kinds) & F.col("length").between(low, high))
+    return some.orderBy("chrom", F.col("exons")[0]["start"], "orf")
