@@ -408,20 +408,23 @@ def search_shards(parts: DataFrame, span: int, load: int = 3 << 20) -> DataFrame
     return sorted_.mapInArrow(run, "doc long, twin long, first long, windows long")
 
 
-def marked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, twin, text): twin is 0, or tells apart the texts of one identifier."""
+def marked_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """(doc, twin, text), twin being 0 or telling apart the texts of one
+    identifier, and the columns that name a row: doc alone where no identifier
+    has two texts, so that groups by row and joins with rows share an exchange."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     mark = F.when(text_mark(F.col("text")) == 0, 1).otherwise(text_mark(F.col("text")))
     ids = rows.where("doc IS NOT NULL").select("doc", mark.alias("m")).groupBy("doc").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi")
     ids = stash(ids.select(F.col("doc").alias("again")), "repeated-ids")
     if ids.isEmpty():
-        return rows.select("doc", F.lit(0).cast("long").alias("twin"), "text")
-    return rows.join(small(ids), F.col("doc") == F.col("again"), "left").select("doc", F.when(F.col("again").isNull(), 0).otherwise(mark).cast("long").alias("twin"), "text")
+        return rows.select("doc", F.lit(0).cast("long").alias("twin"), "text"), ["doc"]
+    rows = rows.join(small(ids), F.col("doc") == F.col("again"), "left").select("doc", F.when(F.col("again").isNull(), 0).otherwise(mark).cast("long").alias("twin"), "text")
+    return rows, ["doc", "twin"]
 
 
-def repeated_windows(rows: DataFrame, span: int = SPAN, hot_runs: int = 2_000, hot_windows: int = 200_000) -> DataFrame:
+def repeated_windows(rows: DataFrame, names: list[str], span: int = SPAN, hot_runs: int = 2_000, hot_windows: int = 200_000) -> DataFrame:
     """Runs of windows that occur earlier in the corpus: (doc, twin, first, windows).
-    ``rows`` as from marked_rows()."""
+    ``rows`` and ``names`` as from marked_rows()."""
     if span % 4 or span < 8:
         raise ValueError("span must be a multiple of 4, 8 or more")
     gram = min(GRAM, span // 2)
@@ -434,18 +437,18 @@ def repeated_windows(rows: DataFrame, span: int = SPAN, hot_runs: int = 2_000, h
     wide = F.lit(False).alias("hot")
     if not hot.isEmpty():
         runs, wide = runs.join(small(hot), F.col("key") == F.col("hot_key"), "left"), F.col("hot_key").isNotNull().alias("hot")
-    lists = runs.groupBy("doc", "twin").agg(F.collect_list(F.struct("key", "first", "windows", wide)).alias("runs"))
-    joined = rows.join(lists, ["doc", "twin"]).select("doc", "twin", "text", "runs")
+    lists = runs.groupBy(*names).agg(F.collect_list(F.struct("key", "first", "windows", wide)).alias("runs"))
+    joined = rows.join(lists, names).select("doc", "twin", "text", "runs")
     return search_shards(segments(joined, span), span)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, texts: bool = True, **limits) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked
     for, the text of the kept words."""
-    rows = marked_rows(docs, id_col, text_col)
-    hits = repeated_windows(rows, span, **limits)
-    lists = hits.groupBy("doc", "twin").agg(F.collect_list(F.struct("first", "windows")).alias("hits"))
-    rows = rows.join(lists, ["doc", "twin"], "left").select("doc", "text", "hits")
+    rows, names = marked_rows(docs, id_col, text_col)
+    hits = repeated_windows(rows, names, span, **limits)
+    lists = hits.groupBy(*names).agg(F.collect_list(F.struct("first", "windows")).alias("hits"))
+    rows = rows.join(lists, names, "left").select("doc", "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
