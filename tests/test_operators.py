@@ -200,3 +200,50 @@ def test_tracks(spark):
     assert [x.id for x in found.collect()] == ["a"] and [x.id for x in missing.collect()] == ["z"]
     m = spark.createDataFrame([("g", 0, 1.0), ("g", 1, 2.0)], "name string, bin int, m double")
     assert tracks.bin_matrix(m, 2).first()["1"] == 2.0
+
+
+def test_psites_move_by_codons():
+    from tripletlab.operators.reads import into_range
+
+    def slow(sites):
+        out = {}
+        for n, (length, v) in enumerate(sorted(sites)):
+            while v is not None and (v < 7 or v > 19):
+                last = out.get(length - 1)
+                if n == 0:
+                    v += 3 if v < 7 else -3
+                elif last is not None and last + 2 < v and v > 19:
+                    v -= 3
+                elif last is not None and v < last - 2 and v < 7:
+                    v += 3
+                else:
+                    v = None
+            out[length] = v
+        return out
+
+    for a in range(1, 30):
+        for b in range(1, 30):
+            sites = [(27, a), (28, b), (29, 6), (30, 22), (32, 4)]
+            assert into_range(sites) == slow(sites)
+    assert into_range([(28, 12), (29, 25)]) == {28: 12, 29: 19}
+    assert into_range([(28, 8), (29, 6)]) == {28: 8, 29: None}
+    assert into_range([]) == {}
+
+
+def test_pair_of_groups(spark):
+    from tripletlab.operators import compare
+
+    rows = [(f"g{g}", f"s{s}", float(50 * (g + 1) * (4 if g == 0 and s > 2 else 1) + s)) for g in range(6) for s in range(1, 6)] + [("low", "s1", 1.0)]
+    counts = spark.createDataFrame(rows, "name string, sample string, x double")
+    design = spark.createDataFrame([("s1", "A"), ("s2", "B"), ("s3", "C"), ("s4", "C"), ("s5", "Z")], "sample string, `group` string")
+    got = {r["name"]: r for r in compare.pair_test(counts, design, "A+B_vs_C", 10).collect()}
+    assert set(got) == {f"g{g}" for g in range(6)}
+    assert set(got["g1"]["counts"]) == {"s1", "s2", "s3", "s4"} and got["g1"]["counts"]["s3"] == 103.0
+    assert got["g0"]["log2_fold"] > 1.5 and abs(got["g3"]["log2_fold"]) < 0.3
+    assert min(got.values(), key=lambda r: r["p"])["name"] == "g0"
+
+
+def test_flexibility_of_a_window():
+    from tripletlab.functions.sequence import FLEXIBILITY, FLEXIBILITY_WEIGHTS
+
+    assert len(FLEXIBILITY) == 20 and sum(FLEXIBILITY_WEIGHTS) == 5.25

@@ -116,3 +116,20 @@ def isoelectric_point(protein: Column, steps: int = 40) -> Column:
         return F.struct(F.when(basic, mid).otherwise(acc["lo"]).alias("lo"), F.when(basic, acc["hi"]).otherwise(mid).alias("hi"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), bounds, halve, lambda a: (a["lo"] + a["hi"]) / 2)
+
+
+#: Vihinen flexibility of residues and the weights of a window of nine (published values, fixed).
+FLEXIBILITY = {
+    "A": 0.984, "C": 0.906, "E": 1.094, "D": 1.068, "G": 1.031, "F": 0.915, "I": 0.927, "H": 0.950, "K": 1.102, "M": 0.952,
+    "L": 0.935, "N": 1.048, "Q": 1.037, "P": 1.049, "S": 1.046, "R": 1.008, "T": 0.997, "W": 0.904, "V": 0.931, "Y": 0.929,
+}
+FLEXIBILITY_WEIGHTS = [0.25, 0.4375, 0.625, 0.8125, 1.0, 0.8125, 0.625, 0.4375, 0.25]
+
+
+def flexibility(protein: Column) -> Column:
+    """Weighted flexibility of each window of nine residues; shorter proteins
+    have none, and residues that are not listed count as nothing."""
+    table = F.create_map(*[F.lit(x) for kv in FLEXIBILITY.items() for x in kv])
+    each = F.transform(F.split(protein, ""), lambda c: F.coalesce(table[c], F.lit(0.0)))
+    window = lambda i: F.aggregate(F.zip_with(F.slice(each, i, F.lit(9)), F.array(*[F.lit(w) for w in FLEXIBILITY_WEIGHTS]), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v) / 5.25
+    return F.when(F.length(protein) >= 9, F.transform(F.sequence(F.lit(1), F.length(protein) - 8), window)).otherwise(F.array().cast("array<double>"))

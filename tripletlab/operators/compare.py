@@ -194,3 +194,18 @@ def expressed_in_all(ribo: DataFrame, rna: DataFrame, ribo_min: float, rna_min:
         per = df.groupBy(name, sample).agg(F.sum(value).alias("s")).where(F.col("s") >= least).groupBy(name).agg(F.count("*").alias("n"))
         sides.append(per.join(F.broadcast(k)).where("n = _k").select(name))
     return sides[0].intersect(sides[1])
+
+
+def pair_test(counts: DataFrame, design: DataFrame, pair: str, minimum: float) -> DataFrame:
+    """count_test() of a pair of groups, ``A+B_vs_C``, over the genes whose total
+    in either side is above ``minimum``, with the counts and normalised counts of
+    each sample as maps."""
+    first, second = ([g.strip() for g in side.split("+")] for side in pair.split("_vs_"))
+    side = F.when(F.col("group").isin(first), "a").when(F.col("group").isin(second), "b")
+    groups = design.select("sample", side.alias("group")).where("group IS NOT NULL")
+    d = counts.join(F.broadcast(groups), "sample")
+    keep = d.groupBy("name").agg(*[F.sum(F.when(F.col("group") == s, F.col("x"))).alias(s) for s in "ab"]).where(f"a > {minimum} OR b > {minimum}")
+    d = d.join(keep.select("name"), "name", "left_semi").drop("group")
+    factors = size_factors(d)
+    each = d.join(F.broadcast(factors), "sample").groupBy("name").agg(*[F.map_from_entries(F.sort_array(F.collect_list(F.struct("sample", v)))).alias(n) for n, v in (("counts", F.col("x")), ("normalised", (F.col("x") / F.col("size_factor")).alias("v")))])
+    return count_test(d, factors, groups, ("a", "b")).join(each, "name")

@@ -167,3 +167,13 @@ def expand_intervals(df: DataFrame, start: str = "start", end: str = "end") -> D
     """One row per base of half-open intervals."""
     ok = df.where(F.col(end) > F.col(start))
     return ok.withColumn("pos", F.explode(F.sequence(F.col(start), F.col(end) - 1)))
+
+
+def gene_profile(df: DataFrame, genes: DataFrame | None = None, sample: str = "sample") -> DataFrame:
+    """Nucleotide profile of genes: counts of each frame per ten million of the
+    sample, and relative to an even spread over all nucleotides of the table."""
+    total = df.groupBy(sample).agg(F.sum(F.col("f0") + F.col("f1") + F.col("f2")).alias("_total"), (F.count("*") * 3).alias("_cells"))
+    some = df if genes is None else df.join(genes, "name", "left_semi")
+    d = some.join(F.broadcast(total), sample).select("name", "from_tis", "from_tts", sample, "_total", "_cells", F.posexplode(F.array("f0", "f1", "f2")).alias("frame", "_n"))
+    share = F.try_divide(F.col("_n").cast("double"), F.col("_total"))
+    return d.select("name", "from_tis", "from_tts", sample, "frame", (share * 1e7).alias("rpm"), (share * F.col("_cells")).alias("density"))

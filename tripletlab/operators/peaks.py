@@ -177,3 +177,8 @@ def detect(df: DataFrame, controls: list[str], pulldowns: list[str], floor: floa
         t = t.join(extend_edges(found, smooth, edge, reach), ["name", "start", "end"])
         t = annotate(t, d)
     return t
+
+
+def with_notes(df: DataFrame, notes: DataFrame, name: str = "name") -> DataFrame:
+    """Adds ``gene`` from notes (name, gene), one row a name; ``-`` if there is none."""
+    return df.join(notes.select(F.col("name").alias("_n"), "gene"), F.col(name) == F.col("_n"), "left").drop("_n").withColumn("gene", F.coalesce("gene", F.lit("-")))

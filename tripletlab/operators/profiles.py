@@ -246,3 +246,20 @@ def moving_mean(df: DataFrame, half: int, value: str = "x", name: str = "name",
     after = F.greatest(F.lit(0), half - (F.count("*").over(w) - F.row_number().over(o)))
     first, last = F.first(value).over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last(value).over(o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return df.withColumn(out, (body + before * first + after * last) / (2 * half + 1))
+
+
+def occupancy_nonzero(df: DataFrame, minimum: float, site: str = "P", value: str = "x", name: str = "name", pos: str = "pos", sample: str = "sample") -> DataFrame:
+    """Occupancy in its older form: genes whose largest sample total reaches
+    ``minimum``, the shifted value over the gene's mean of non-zero values,
+    averaged over non-zero ratios by codon and sample (no stop codons), with its
+    z-score over the codons of the sample."""
+    per = _per([name, sample])
+    total = F.sum(value).over(per)
+    d = df.withColumns({"_m": F.avg(F.nullif(F.col(value).cast("double"), F.lit(0.0))).over(per), "_t": total})
+    moved = {"E": F.lead(value, 1, 0), "P": F.col(value), "A": F.lag(value, 1, 0)}[site]
+    d = d.withColumn("_v", moved if site == "P" else moved.over(per.orderBy(pos)))
+    d = d.withColumn("_top", F.max("_t").over(_per([name]))).where(F.col("_top") >= minimum)
+    d = d.withColumn("_r", F.nullif(F.try_divide(F.col("_v"), F.col("_m")), F.lit(0.0)))
+    occ = d.where(~F.col("codon").isin("TAA", "TAG", "TGA")).groupBy("codon", sample).agg(F.avg("_r").alias("occupancy"))
+    over = _per([sample])  # 61 codons at most
+    return occ.withColumn("relative", F.try_divide(F.col("occupancy") - F.avg("occupancy").over(over), F.stddev_samp("occupancy").over(over)))

@@ -145,3 +145,37 @@ def shuffle_counts(df: DataFrame, value: str, name: str = "name", pos: str = "po
     a = df.withColumn("_k", F.row_number().over(w.orderBy(pos)))
     b = df.select(F.col(name).alias("_n"), F.col(value).alias("shuffled"), F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(name), F.col(pos))), pos)).alias("_j"))
     return a.join(b, (F.col(name) == F.col("_n")) & (F.col("_k") == F.col("_j"))).drop("_n", "_j", "_k")
+
+
+def candidate_offsets(ends: DataFrame, peak: int, shift: int = 2) -> DataFrame:
+    """P-site of each read length from a histogram of end_offsets(): the most
+    frequent 5' offset between 8 + s and 16 + s, s = (length - peak) div shift
+    (ties: the smallest), with the counts of its three frames over the E, P and
+    A sites.  Lengths without a 5' end near start or stop have no row."""
+    h = ends.where("`end` = '5end'").groupBy("length", F.abs("offset").cast("int").alias("o")).agg(F.sum("n").alias("n"))
+    seen = h.groupBy("length").agg(F.map_from_entries(F.collect_list(F.struct("o", "n"))).alias("at"))
+    low = 8 + F.floor((F.col("length") - peak) / shift).cast("int")
+    count = lambda o: F.coalesce(F.try_element_at("at", o), F.lit(0).cast("long"))
+    best = F.array_max(F.transform(F.sequence(low, low + 8), lambda o: F.struct(count(o).alias("n"), (-o).alias("o"))))
+    d = seen.withColumn("site", -best["o"])
+    for k in range(3):
+        d = d.withColumn(f"rpfs{k}", sum((count(F.col("site") + (k - 3 + 3 * j)) for j in range(1, 3)), count(F.col("site") + (k - 3))))
+    total = F.col("rpfs0") + F.col("rpfs1") + F.col("rpfs2")
+    return d.select("length", "site", "rpfs0", "rpfs1", "rpfs2", (F.col("site") + 1).alias("p_site"), total.alias("rpfs"), F.try_divide(F.greatest("rpfs0", "rpfs1", "rpfs2") * 1.0, total).alias("periodicity"))
+
+
+def into_range(sites: list[tuple[int, int | None]]) -> dict[int, int | None]:
+    """P-sites moved by whole codons into 7 to 19, from the shortest length on (a
+    few dozen).  After the first length a move stops where the site comes within
+    two of its predecessor's outside of the range, or has none; such are null."""
+    out: dict[int, int | None] = {}
+    for n, (length, site) in enumerate(sorted(sites)):
+        last = out.get(length - 1)
+        while site is not None and not 7 <= site <= 19:
+            step = -3 if site > 19 else 3
+            if n and (last is None or (site - last) * (1 if step < 0 else -1) <= 2):
+                site = None
+            else:
+                site += step
+        out[length] = site
+    return out

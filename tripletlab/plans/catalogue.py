@@ -860,3 +860,121 @@ def orf_files(spark, sf):
     exon = F.explode(F.array(F.struct(F.lit(100).alias("a"), F.lit(130).alias("b")), F.struct(F.lit(500).alias("a"), (500 + F.col("p_size")).alias("b")))).alias("x")
     p.select("p_partkey", label.alias("l"), exon).select(F.lit("chr1"), "x.a", "x.b", "l", F.lit("."), F.lit("+")).write.option("sep", "\t").csv(path)
     return tables.filter_orfs(tables.read_orf_bed(spark, path), ["uORF", "dORF"], 40, 60).select("orf", "kind", "length")
+
+
+# -- further variants ------------------------------------------------------------
+
+
+@query(f"""WITH {_RD}, {_AN}, j AS (SELECT *, CASE WHEN block_start <= u AND block_end > u THEN u WHEN block_start <= u + c - 6 AND block_end > u + c - 6 THEN u + c - 6 END AS p FROM rd JOIN an ON rname = name WHERE flag & 16 = 0),
+h AS (SELECT length, CAST(p - block_start AS INT) AS o, count(*) AS n FROM j WHERE p IS NOT NULL AND p - block_start <= 50 GROUP BY ALL),
+c AS (SELECT length, CAST(o AS INT) AS o FROM (SELECT length, unnest(range(8 + CAST(floor((length - 30) / 2.0) AS INT), 17 + CAST(floor((length - 30) / 2.0) AS INT))) AS o FROM (SELECT DISTINCT length FROM h))),
+b AS (SELECT c.length, c.o AS site FROM c LEFT JOIN h USING (length, o) QUALIFY row_number() OVER (PARTITION BY c.length ORDER BY coalesce(n, 0) DESC, c.o) = 1),
+f AS (SELECT b.length, site, CAST(coalesce(sum(n) FILTER (WHERE o IN (site - 3, site, site + 3)), 0) AS BIGINT) AS rpfs0, CAST(coalesce(sum(n) FILTER (WHERE o IN (site - 2, site + 1, site + 4)), 0) AS BIGINT) AS rpfs1, CAST(coalesce(sum(n) FILTER (WHERE o IN (site - 1, site + 2, site + 5)), 0) AS BIGINT) AS rpfs2 FROM b LEFT JOIN h ON h.length = b.length GROUP BY ALL)
+SELECT length, site, rpfs0, rpfs1, rpfs2, site + 1 AS p_site, rpfs0 + rpfs1 + rpfs2 AS rpfs, round(greatest(rpfs0, rpfs1, rpfs2) * 1.0 / nullif(rpfs0 + rpfs1 + rpfs2, 0), 6) AS periodicity FROM f""")
+def candidate_offsets(spark, sf):
+    h = R.end_offsets(_reads(spark, sf), _read_annotation(spark, sf))
+    return R.candidate_offsets(h, 30).select("length", "site", "rpfs0", "rpfs1", "rpfs2", "p_site", "rpfs", *r6("periodicity"))
+
+
+@query(f"WITH {EV}, g AS (SELECT *, sum(x) OVER (PARTITION BY name) AS t, avg(nullif(x, 0)) OVER (PARTITION BY name) AS m, coalesce(lag(x) OVER (PARTITION BY name ORDER BY pos), 0) AS v FROM ev), o AS (SELECT codon, avg(nullif(v / nullif(m, 0), 0)) AS occ FROM g WHERE t >= 20 GROUP BY codon) SELECT codon, 'all' AS sample, round(occ, 6) AS occupancy, round((occ - avg(occ) OVER ()) / stddev_samp(occ) OVER (), 6) AS relative FROM o")
+def codon_occupancy_nonzero(spark, sf):
+    return P.occupancy_nonzero(ev(spark, sf).withColumn("sample", F.lit("all")), 20, "A").select("codon", "sample", *r6("occupancy", "relative"))
+
+
+@query(f"WITH {LN}, t AS (SELECT sample, sum(f0 + f1 + f2) AS total, count(*) * 3 AS cells FROM ln GROUP BY sample), m AS (SELECT name, from_tis, from_tts, ln.sample, unnest([0, 1, 2]) AS frame, unnest([f0, f1, f2]) AS f, total, cells FROM ln JOIN t ON t.sample = ln.sample) SELECT name, from_tis, from_tts, sample, CAST(frame AS INT) AS frame, round(f * 1e7 / total, 6) AS rpm, round(f * cells / total, 6) AS density FROM m")
+def gene_profile(spark, sf):
+    return D.gene_profile(line_density(spark, sf)).select("name", "from_tis", "from_tts", "sample", "frame", *r6("rpm", "density"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS name, coalesce(n_name, '-') AS gene FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey = 1")
+def gene_notes(spark, sf):
+    nations = table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("name"), F.col("n_name").alias("gene"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key"), F.col("c_nationkey").alias("name"))
+    return K.with_notes(c, nations).select(F.col("key").alias("name"), "gene")
+
+
+@query(f"WITH {LN}, d AS (SELECT name, count(*) AS n, avg(f0 - f1) AS m, stddev_samp(f0 - f1) AS s FROM ln GROUP BY name) SELECT name, n, round(m, 6) AS mean, round(m / nullif(s / sqrt(n), 0), 6) AS t FROM d")
+def paired_t(spark, sf):
+    return stats.paired_t(line_density(spark, sf), ["name"], "f0", "f1").select("name", "n", *r6("mean", "t"))
+
+
+_PN = "pn AS (SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) AS seq FROM part)"
+
+
+def _letters(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("seq"))
+
+
+@query(f"WITH {_PN} SELECT 'r' || p_partkey AS id, substr(seq, 1, 8) AS seq, 8 AS n_quality FROM pn WHERE length(seq) >= 8")
+def fastq_files(spark, sf):
+    """FASTQ written as text, read, cut to eight letters."""
+    path = workspace(spark, "fastq")
+    _letters(spark, sf).select(F.concat_ws("\n", F.concat(F.lit("@r"), "key"), "seq", F.lit("+"), F.expr("repeat('I', length(seq))")).alias("value")).write.text(path)
+    return sequences.trim_reads(sequences.read_fastq(spark, path), 8).select("id", "seq", F.length("quality").alias("n_quality"))
+
+
+_RES = lambda t, c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.items()) + " ELSE 0 END"
+
+
+@query(f"""WITH {_PN}, r AS (SELECT p_partkey, seq, unnest(string_split(seq, '')) AS c, unnest(range(1, length(seq) + 1)) AS i FROM pn WHERE seq <> ''),
+g AS (SELECT p_partkey, avg(CAST({_RES(S.HYDROPATHY, 'c')} AS DOUBLE)) AS gravy, avg(CASE WHEN c IN ('V', 'I', 'Y', 'F', 'W', 'L') THEN 1.0 ELSE 0 END) AS helix, avg(CASE WHEN c IN ('N', 'P', 'G', 'S') THEN 1.0 ELSE 0 END) AS turn, avg(CASE WHEN c IN ('E', 'M', 'A', 'L') THEN 1.0 ELSE 0 END) AS sheet,
+CASE WHEN count(*) >= 9 THEN sum(CAST({_RES(S.FLEXIBILITY, 'c')} AS DOUBLE) * (1.25 - abs(i - 5) * 0.1875 - 0.25)) FILTER (WHERE i <= 9) / 5.25 END AS flexibility FROM r GROUP BY p_partkey)
+SELECT p_partkey AS key, round(gravy, 6) AS gravy, round(helix, 6) AS helix, round(turn, 6) AS turn, round(sheet, 6) AS sheet, round(flexibility, 6) AS flexibility FROM g""")
+def protein_properties(spark, sf):
+    d = _letters(spark, sf)
+    x = S.fractions(F.col("seq"))
+    return d.where("seq <> ''").select("key", F.round(S.gravy(F.col("seq")), 6).alias("gravy"), *[F.round(v, 6).alias(k) for k, v in x.items()], F.round(F.try_element_at(S.flexibility(F.col("seq")), F.lit(1)), 6).alias("flexibility"))
+
+
+@query(f"WITH {_RD}, {_OF}, t AS (SELECT CAST(rname AS VARCHAR) AS chr, CAST(block_start + o AS INT) AS start, count(*) AS n FROM rd JOIN ofs USING (length) WHERE flag & 16 = 0 GROUP BY ALL) SELECT chr, start, CAST(n AS DOUBLE) AS value FROM t")
+def wig_files(spark, sf):
+    path = workspace(spark, "wig")
+    sinks.write_wig(R.genome_track(_reads(spark, sf), _read_offsets(spark, sf)).where("strand = '+'").withColumn("rpm", F.col("density").cast("double")), path)
+    return tables.read_wig(spark, path)
+
+
+_MODELS = "m AS (SELECT 't' || p_partkey AS name, 'g' || p_partkey % 50 AS name2, p_partkey % 2 = 0 AS plus, CAST(p_size AS INT) AS s FROM part)"
+
+
+@query(f"WITH {_MODELS}, l AS (SELECT *, CASE WHEN plus THEN 50 ELSE 30 END AS u5, 50 + s AS c, CASE WHEN plus THEN 30 ELSE 50 END AS u3 FROM m) SELECT name, name2, u5 AS utr5_length, c AS cds_length, u3 AS utr3_length, row_number() OVER (PARTITION BY name2 ORDER BY c DESC, s DESC, u5 DESC, u3 DESC, name) = 1 AS rep_transcript FROM l")
+def genepred_files(spark, sf):
+    """Gene predictions of two exons: region lengths and the representative."""
+    path = workspace(spark, "genepred")
+    k, s = F.col("p_partkey"), F.col("p_size").cast("int")
+    text = F.concat_ws("\t", F.concat(F.lit("t"), k), F.lit("chr1"), F.when(k % 2 == 0, "+").otherwise("-"), F.lit("100"), 330 + s, F.lit("150"), 300 + s, F.lit("2"), F.lit("100,300,"), F.concat(F.lit("200,"), 330 + s, F.lit(",")), F.lit("0"), F.concat(F.lit("g"), k % 50), F.lit("cmpl"), F.lit("cmpl"), F.lit("0,0,"))
+    table(spark, sf, "part").select(text.alias("value")).write.text(path)
+    d = sequences.representative(sequences.region_lengths(sequences.read_genepred(spark, path)))
+    return d.select("name", "name2", "utr5_length", "cds_length", "utr3_length", "rep_transcript")
+
+
+@query(f"WITH {_MODELS} SELECT name, name2, 99 AS \"txStart\", 500 + s AS \"txEnd\", 150 AS \"cdsStart\", 303 + s AS \"cdsEnd\", 2 AS exons FROM m")
+def gff_files(spark, sf):
+    """Parents and identifiers of GFF3; the stop codon joins the CDS."""
+    path = workspace(spark, "gff")
+    k, s = F.col("p_partkey"), F.col("p_size").cast("int")
+    lines = [("mRNA", F.lit(100), 500 + s), ("exon", F.lit(100), F.lit(200)), ("exon", F.lit(301), 500 + s), ("CDS", F.lit(151), F.lit(200)), ("CDS", F.lit(301), 300 + s), ("stop_codon", 301 + s, 303 + s)]
+    parent = F.concat(F.lit("Parent=t"), k)
+    text = [F.concat_ws("\t", F.lit("chr1"), F.lit("x"), F.lit(f), a, b, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=t"), k, F.lit(";Parent=g"), k % 50) if f == "mRNA" else parent) for f, a, b in lines]
+    table(spark, sf, "part").select(F.explode(F.array(*text)).alias("value")).write.text(path)
+    return sequences.transcripts(sequences.read_gtf(spark, path)).select("name", "name2", "txStart", "txEnd", "cdsStart", "cdsEnd", F.size("exonStarts").alias("exons"))
+
+
+@query("SELECT 'o' || p_partkey AS orf, CASE WHEN p_partkey % 2 = 0 THEN 100 ELSE 97 END AS first_start, CASE WHEN p_partkey % 2 = 0 THEN 503 + p_size ELSE 500 + p_size END AS last_end, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size % 3 END AS frame0, CASE WHEN p_partkey % 2 = 0 THEN 31 % 3 ELSE 0 END AS frame1 FROM part")
+def orf_places(spark, sf):
+    p = table(spark, sf, "part").select(F.concat(F.lit("o"), "p_partkey").alias("orf"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.array(F.struct(F.lit(100).alias("start"), F.lit(131).alias("end")), F.struct(F.lit(500).alias("start"), (500 + F.col("p_size").cast("int")).alias("end"))).alias("exons"), (31 + F.col("p_size")).alias("length"))
+    d = tables.with_stop(p)
+    return d.select("orf", F.col("exons")[0]["start"].alias("first_start"), F.col("exons")[1]["end"].alias("last_end"), F.col("frames")[0].alias("frame0"), F.col("frames")[1].alias("frame1"))
+
+
+@query("SELECT CAST(l_linenumber AS INT) AS length, l_linestatus AS site, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS five, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS three FROM lineitem GROUP BY ALL")
+def offset_detail_files(spark, sf):
+    """Offset matrices per site and end, written, read and laid side by side."""
+    root, paths = workspace(spark, "offsets"), []
+    d = table(spark, sf, "lineitem")
+    for site, status in (("tis", "F"), ("tts", "O")):
+        for end, flag in (("5end", "R"), ("3end", "A")):
+            paths.append(f"{root}/s_{site}_{end}")
+            g = d.where(F.col("l_linestatus") == status).groupBy(F.col("l_linenumber").alias("length")).agg(F.count_if(F.col("l_returnflag") == flag).alias("-12"))
+            sinks.write_tsv(g, paths[-1])
+    e = tables.offset_ends(tables.read_offset_detail(spark, paths), [-12])
+    return e.select("length", F.when(F.col("site") == "tis", "F").otherwise("O").alias("site"), F.col("5p_-12").alias("five"), F.col("3p_-12").alias("three"))

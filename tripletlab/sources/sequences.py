@@ -63,13 +63,22 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transcripts(gtf: DataFrame) -> DataFrame:
-    """Gene models: exon arrays (0-based half-open) and CDS bounds per transcript."""
-    t = gtf.where(F.col("feature").isin("exon", "CDS")).withColumns({"name": F.col("attributes")["transcript_id"], "name2": F.col("attributes")["gene_id"]}).where("name IS NOT NULL")
+    """Gene models: exon arrays (0-based half-open) and CDS bounds per transcript.
+    Transcript and gene come from transcript_id and gene_id, or else from Parent
+    and ID.  A start or stop codon that begins or ends at most three nucleotides
+    outside the CDS belongs to it."""
+    a = lambda k: F.col("attributes")[k]
+    part = F.col("feature").isin("exon", "CDS", "start_codon", "stop_codon")
+    own = F.when(part, F.coalesce(a("transcript_id"), a("Parent"))).otherwise(F.coalesce(a("transcript_id"), a("ID")))
+    t = gtf.where(part | F.col("feature").isin("mRNA", "transcript")).withColumns({"name": F.explode(F.split(own, ",")), "name2": F.coalesce(a("gene_id"), F.when(~part, a("Parent")))})
     exon = F.when(F.col("feature") == "exon", F.struct((F.col("start") - 1).alias("s"), F.col("end").alias("e")))
     g = t.groupBy("name").agg(
-        F.first("name2").alias("name2"), F.first("chrom").alias("chrom"), F.first("strand").alias("strand"), F.sort_array(F.collect_list(exon)).alias("exons"),
+        F.min("name2").alias("name2"), F.first("chrom").alias("chrom"), F.first("strand").alias("strand"), F.sort_array(F.collect_list(exon)).alias("exons"),
         F.min(F.when(F.col("feature") == "CDS", F.col("start") - 1)).alias("cdsStart"), F.max(F.when(F.col("feature") == "CDS", F.col("end"))).alias("cdsEnd"),
+        F.min(F.when(F.col("feature").endswith("_codon"), F.col("start") - 1)).alias("_low"), F.max(F.when(F.col("feature").endswith("_codon"), F.col("end"))).alias("_high"),
     )
+    low, high = F.col("cdsStart") - F.col("_low") <= 3, F.col("_high") - F.col("cdsEnd") <= 3
+    g = g.withColumns({"cdsStart": F.when(low, F.least("cdsStart", "_low")).otherwise(F.col("cdsStart")), "cdsEnd": F.when(high, F.greatest("cdsEnd", "_high")).otherwise(F.col("cdsEnd"))})
     g = g.where(F.size("exons") > 0)
     first, last = F.get("exons", F.lit(0)), F.element_at("exons", -1)
     return g.select(

@@ -29,3 +29,13 @@ def write_annotation(models: DataFrame, path: str) -> None:
     bare = lambda c: F.regexp_replace(c, "^(cds-|rna-|gene-)", "")
     cols = [F.col("chrom").alias("chromosome"), bare("name2").alias("gene_id"), bare("name").alias("transcript_id"), F.col("txStart").alias("start"), F.col("txEnd").alias("end"), "utr5_length", "cds_length", "utr3_length", "strand", "rep_transcript", "modified"]
     write_tsv(models.select(*cols), path)
+
+
+def write_wig(track: DataFrame, path: str, value: str = "rpm", by_strand: bool = False) -> None:
+    """Sorted chr, start, value without header; values that are no number go."""
+    ok = track.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (F.abs(value) < float("inf")))
+    cols = ["chr", "start", value]
+    if by_strand:
+        ok.select(*cols, "strand").repartitionByRange("strand", "chr", "start").sortWithinPartitions("chr", "start").write.partitionBy("strand").option("sep", "\t").csv(path)
+    else:
+        ok.select(*cols).orderBy("chr", "start").write.option("sep", "\t").csv(path)

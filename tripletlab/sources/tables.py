@@ -157,3 +157,42 @@ def filter_orfs(orfs: DataFrame, kinds: list[str], low: int, high: int) -> DataF
     """ORFs of the listed classes with a length within bounds, by chromosome and place."""
     some = orfs.where(F.col("kind").isin(kinds) & F.col("length").between(low, high))
     return some.orderBy("chrom", F.col("exons")[0]["start"], "orf")
+
+
+def read_wig(spark: SparkSession, path: str) -> DataFrame:
+    return _tsv(spark, path, "chr string, start int, value double", header=False)
+
+
+def read_offset_detail(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Offset matrices ``<sample>_<tis|tts>_<5end|3end>`` (one row a read length,
+    one column an offset) as one long table."""
+    parts = []
+    for path in paths:
+        stem = path.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
+        sample, site, end = stem.rsplit("_", 2)
+        if site not in ("tis", "tts") or end not in ("5end", "3end"):
+            raise ValueError(f"not an offset matrix: {stem}")
+        names = header_of(spark, path)
+        wide = _tsv(spark, path, T.StructType([T.StructField(f"c{i}", T.LongType()) for i in range(len(names))]))
+        cells = F.explode(F.array(*[F.struct(F.lit(int(n)).alias("offset"), F.col(f"c{i}").alias("n")) for i, n in enumerate(names) if i])).alias("x")
+        parts.append(wide.select(F.lit(sample).alias("sample"), F.lit(site).alias("site"), F.lit(f"{end[0]}p-end").alias("end"), F.col("c0").cast("int").alias("length"), cells).select("sample", "site", "end", "length", "x.*"))
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, parts)
+
+
+def offset_ends(detail: DataFrame, offsets: list[int]) -> DataFrame:
+    """One row per sample, site and length, with both ends' offsets side by side."""
+    cell = lambda e, o: F.sum(F.when((F.col("end") == f"{e}p-end") & (F.col("offset") == o), F.col("n"))).alias(f"{e}p_{o}")
+    return detail.groupBy("sample", "site", "length").agg(*[cell(e, o) for e in "53" for o in offsets])
+
+
+def with_stop(orfs: DataFrame) -> DataFrame:
+    """ORFs of read_orf_bed with the stop codon: three nucleotides more at the
+    last block on the plus strand, before the first one on the minus strand; and
+    the frame of each block, counted in reading direction."""
+    last = F.size("exons") - 1
+    wider = F.transform("exons", lambda x, i: F.struct(F.when((F.col("strand") == "-") & (i == 0), x["start"] - 3).otherwise(x["start"]).alias("start"), F.when((F.col("strand") != "-") & (i == last), x["end"] + 3).otherwise(x["end"]).alias("end")))
+    d = orfs.withColumns({"exons": wider, "length": F.col("length") + 3})
+    ahead = lambda i: F.when(F.col("strand") == "-", F.slice("exons", i + 2, F.size("exons"))).otherwise(F.slice("exons", F.lit(1), i))
+    return d.withColumn("frames", F.transform("exons", lambda x, i: F.aggregate(ahead(i), F.lit(0), lambda t, e: t + e["end"] - e["start"]) % 3))
