@@ -1,5 +1,7 @@
 """Operators on small frames whose results are worked by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,56 @@ def test_islands_and_chain(spark):
     assert [(r.start, r.end, r.covered) for r in chain] == [(1, 7, 5)]
 
 
+def plain_chains(rows, width, share, gap):
+    """All chains of allowed stretches, the most covered positions of any."""
+    fits = {}
+    for i in range(len(rows)):
+        for j in range(i, len(rows)):
+            if j > i and rows[j][0] - rows[j - 1][1] > gap * width:
+                break
+            long, covered = rows[j][1] - rows[i][0] + 1, sum(r[2] for r in rows[i : j + 1])
+            if long >= width and covered >= share * long:
+                fits[i, j] = covered
+    most = lambda i: 0 if i >= len(rows) else max([most(i + 1)] + [fits[i, j] + most(j + 1) for j in range(i, len(rows)) if (i, j) in fits])
+    return most(0), fits
+
+
+def test_chain_is_the_best_of_all():
+    for seed in range(300):
+        r, rows, x = random.Random(seed), [], 0
+        for _ in range(r.randint(0, 8)):
+            x += r.randint(1, 9)
+            e = x + r.randint(0, 5)
+            rows.append((x, e, r.randint(1, e - x + 1)))
+            x = e + 1
+        for share in (0.5, 0.75, 1.0):
+            width, gap = r.randint(1, 8), r.randint(0, 3)
+            got = peaks.chain(rows, width, share, gap)
+            best, fits = plain_chains(rows, width, share, gap)
+            assert sum(g[2] for g in got) == best
+            at = [([r[0] for r in rows].index(s), [r[1] for r in rows].index(e)) for s, e, _ in got]
+            assert all(fits[a] == g[2] for a, g in zip(at, got)) and all(a[1] < b[0] for a, b in zip(at, at[1:]))
+
+
+def test_chain_of_a_very_long_gene():
+    rows = [(3 * i, 3 * i + 1, 2) for i in range(200_000)]
+    got = peaks.chain(rows, 5, 0.6, 2)  # splits cover as much as the whole, so short stretches stay
+    assert sum(g[2] for g in got) == 400_000 and max(e - s + 1 for s, e, _ in got) <= 8
+    assert peaks.chain(rows, 5, 0.9, 2) == []
+
+
+def test_pairs_of_assays(spark):
+    wide = lambda *s: spark.createDataFrame([("a", 1, 0, -5, "cds", "ATG", *[2] * (3 * len(s)))], "name string, now_nt int, from_tis int, from_tts int, region string, codon string, " + ", ".join(f"{x}_f{k} int" for x in s for k in range(3)))
+    p = density.ingest_pair(wide("r1", "r2"), wide("m1", "m2"))
+    assert p.pairs == [("r1", "m1"), ("r2", "m2")] and p.ribo.rows.count() == 2
+    with pytest.raises(ValueError):
+        density.ingest_pair(wide("r1", "r2"), wide("m1"))
+    assert density.ingest_pair(wide("r1", "r2"), wide("m1"), pairs=[("r1", "m1")]).pairs == [("r1", "m1")]
+    given = spark.createDataFrame([("r1", 60), ("r2", 6)], "sample string, total int")
+    per = {r["sample"]: r for r in peaks.pulldown_table(wide("r1", "r2"), ["r1"], ["r2"], given)[1].collect()}
+    assert (per["r1"].side, per["r1"].mean_rpm, per["r2"].total) == ("control", 1e5, 6)
+
+
 def test_edges_and_labels(spark):
     p = spark.createDataFrame([("g", 4, 5)], "name string, start long, end long")
     prof = spark.createDataFrame([("g", i, 0.0 if i in (1, 9) else 2.0, "cds" if i < 5 else "3utr") for i in range(1, 11)], "name string, pos long, smooth double, region string")

@@ -115,6 +115,26 @@ def ingest(wide: DataFrame, genes: DataFrame | None = None, site: str = "P", whi
     return Ingest(expressed(rows, minimum, n_samples=len(names)) if minimum else rows, total, names)
 
 
+@dataclass(frozen=True)
+class IngestPair:
+    ribo: Ingest
+    rna: Ingest
+    pairs: list[tuple[str, str]]
+
+
+def ingest_pair(ribo: DataFrame, rna: DataFrame, pairs: list[tuple[str, str]] | None = None, genes: DataFrame | None = None, site: str = "P", minimum: float = 0, tis: int | None = None, tts: int | None = None) -> IngestPair:
+    """ingest() of both assays; only genes that both keep remain in either.
+    Samples are paired as listed, or else by their order, which needs equally
+    many; the site shift is for ribosomes only."""
+    a = ingest(ribo, genes, site, "all", minimum, tis, tts)
+    b = ingest(rna, genes, "P", "all", minimum, tis, tts)
+    if pairs is None and len(a.samples) != len(b.samples):
+        raise ValueError(f"{len(a.samples)} ribo and {len(b.samples)} rna samples: name the pairs")
+    both = a.rows.select("name").intersect(b.rows.select("name"))
+    keep = lambda x: Ingest(x.rows.join(both, "name", "left_semi"), x.totals, x.samples)
+    return IngestPair(keep(a), keep(b), pairs or list(zip(a.samples, b.samples)))
+
+
 def codon_grid(annotation: DataFrame) -> DataFrame:
     """Codon rows of each transcript from its three lengths: name, now_nt,
     from_tis, from_tts, region (a trailing part of a codon moves to the 3' UTR)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from fractions import Fraction
 from functools import reduce
 from operator import add
 
@@ -57,40 +59,62 @@ def summarise(found: DataFrame, value: str = "ratio", name: str = "name", pos: s
     )
 
 
+def chain(rows: list[tuple[int, int, int]], width: int, share: float, gap: int) -> list[tuple[int, int, int]]:
+    """The chain of best_chain() over the islands (start, end, covered) of one
+    gene in order.  A stretch i..j is covered well enough where
+    share start_i - S_i >= share (end_j + 1) - S_(j+1) (S: covered before), so the
+    best first island is a maximum over ranks of the left side, kept in a Fenwick
+    tree: n log n steps, in whole numbers."""
+    part = Fraction(share).limit_denominator(1_000_000)
+    before = [0]
+    for r in rows:
+        before.append(before[-1] + r[2])
+    side = [part.numerator * r[0] - part.denominator * before[i] for i, r in enumerate(rows)]
+    best: list[tuple[int, int | None]] = [(0, None)]  # covered so far, first island of the last stretch
+    low = 0
+    while low < len(rows):
+        high = low + 1
+        while high < len(rows) and rows[high][0] - rows[high - 1][1] <= gap * width:
+            high += 1
+        ranks = sorted({-side[i] for i in range(low, high)})  # the largest side has rank 1
+        tree: list[tuple[int, int] | None] = [None] * (len(ranks) + 1)
+        put = low
+        for j in range(low, high):
+            while put <= j and rows[put][0] <= rows[j][1] - width + 1:
+                entry, k = (best[put][0] - before[put], put), bisect_left(ranks, -side[put]) + 1
+                while k < len(tree):
+                    tree[k] = entry if tree[k] is None else max(tree[k], entry)
+                    k += k & -k
+                put += 1
+            k, top = bisect_right(ranks, part.denominator * before[j + 1] - part.numerator * (rows[j][1] + 1)), None
+            while k:
+                top = tree[k] if top is None else top if tree[k] is None else max(top, tree[k])
+                k -= k & -k
+            gain = None if top is None else top[0] + before[j + 1]
+            best.append((gain, top[1]) if gain is not None and gain > best[j][0] else (best[j][0], None))
+        low = high
+    out, j = [], len(rows)
+    while j > 0:
+        first = best[j][1]
+        if first is not None:
+            out.append((rows[first][0], rows[j - 1][1], before[j] - before[first]))
+        j = j - 1 if first is None else first
+    return out[::-1]
+
+
 def best_chain(peaks: DataFrame, width: int, share: float, gap: int) -> DataFrame:
     """Merge neighbouring islands while the merged stretch stays covered by at
     least ``share``, and keep those of ``width`` or more: for each gene the chain
-    with most covered positions, by dynamic programming over its islands."""
-    schema = "name string, start long, end long, covered long"
+    with most covered positions, by dynamic programming over its islands.  Of
+    equal chains the one with the later, shorter stretches stays."""
+    schema = f"name {peaks.schema['name'].dataType.simpleString()}, start long, end long, covered long"
 
     def solve(pdf):
         import pandas as pd
 
-        rows = pdf.sort_values("start").to_numpy().tolist()
-        cols = list(pdf.columns)
-        at = {c: cols.index(c) for c in ("name", "start", "end", "covered")}
-        best = [(0, None, None)]  # covered so far, first island of the last peak, previous state
-        for j in range(len(rows)):
-            top = (best[j][0], None, j)
-            covered = 0
-            for i in range(j, -1, -1):
-                if i < j and rows[i + 1][at["start"]] - rows[i][at["end"]] > gap * width:
-                    break
-                covered += rows[i][at["covered"]]
-                long = rows[j][at["end"]] - rows[i][at["start"]] + 1
-                if long >= width and covered >= share * long and best[i][0] + covered > top[0]:
-                    top = (best[i][0] + covered, i, i)
-            best.append(top)
-        out, j = [], len(rows)
-        while j > 0:
-            _, first, prev = best[j]
-            if first is None:
-                j = prev
-                continue
-            part = rows[first:j]
-            out.append((str(part[0][at["name"]]), int(part[0][at["start"]]), int(part[-1][at["end"]]), int(sum(r[at["covered"]] for r in part))))
-            j = prev
-        return pd.DataFrame(out[::-1], columns=["name", "start", "end", "covered"])
+        rows = pdf.sort_values("start")
+        found = chain(list(zip(rows["start"].tolist(), rows["end"].tolist(), rows["covered"].tolist())), width, share, gap)
+        return pd.DataFrame([(rows["name"].iloc[0], *r) for r in found], columns=["name", "start", "end", "covered"])
 
     return peaks.select("name", "start", "end", "covered").groupBy("name").applyInPandas(solve, schema)
 
@@ -170,7 +194,7 @@ def detect(df: DataFrame, controls: list[str], pulldowns: list[str], floor: floa
     found = best_chain(summarise(islands(smooth.where(F.col("smooth") >= floor), gap)), width, share, gap)
     inside = found.join(smooth, "name").where(F.col("pos").between(F.col("start"), F.col("end")))
     diff = reduce(add, [F.col(p) for p in pulldowns]) / len(pulldowns) - reduce(add, [F.col(c) for c in controls]) / len(controls)
-    t = inside.withColumn("_d", diff).groupBy("name", "start", "end").agg(F.avg("_d").alias("md"), F.stddev_samp("_d").alias("sd"), F.count("*").alias("n"), F.max("smooth").alias("max_value"), F.max_by("pos", "smooth").alias("max_pos"), F.avg("smooth").alias("mean_value"))
+    t = inside.withColumn("_d", diff).groupBy("name", "start", "end").agg(F.avg("_d").alias("md"), F.stddev_samp("_d").alias("sd"), F.count("*").alias("n"), F.max("smooth").alias("max_value"), F.max_by("pos", F.struct("smooth", -F.col("pos"))).alias("max_pos"), F.avg("smooth").alias("mean_value"))
     t = t.withColumn("t", F.try_divide("md", F.col("sd") / F.sqrt("n"))).withColumn("p", stats.t_two_sided("t", (F.col("n") - 1).cast("double")))
     t = stats.bh_adjust(t, "p", ["name", "start"], out="bhfdr")
     if edge is not None:
@@ -179,6 +203,23 @@ def detect(df: DataFrame, controls: list[str], pulldowns: list[str], floor: floa
     return t
 
 
+def pulldown_table(wide: DataFrame, controls: list[str], pulldowns: list[str], totals: DataFrame | None = None, scale: float = 1e6, background: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """The caller's input from a wide density table: (name, pos, from_tis, region,
+    one column of summed frames per sample), and per sample (sample, side, total,
+    mean_rpm), where mean_rpm is the sum of CDS counts per ``scale`` over genes and
+    ``background``.  ``totals`` (sample, total) replaces the table's own sums."""
+    names = [*controls, *pulldowns]
+    sums = [reduce(add, [F.coalesce(F.col(f"`{s}_f{k}`"), F.lit(0)) for k in range(3)]).cast("long").alias(s) for s in names]
+    rows = wide.select("name", F.col("now_nt").alias("pos"), "from_tis", "region", *sums)
+    cds = F.col("region") == "cds"
+    one = rows.agg(F.count_distinct("name").alias("genes"), *[f for i, s in enumerate(names) for f in (F.sum(F.col(f"`{s}`")).alias(f"t{i}"), F.sum(F.when(cds, F.col(f"`{s}`"))).alias(f"c{i}"))])
+    items = [F.struct(F.lit(s).alias("sample"), F.lit("control" if s in controls else "pulldown").alias("side"), F.col(f"t{i}").alias("own"), F.col(f"c{i}").alias("cds")) for i, s in enumerate(names)]
+    per = one.select("genes", F.explode(F.array(*items)).alias("x")).select("genes", "x.*")
+    per = per.withColumn("total", F.col("own")) if totals is None else per.join(totals.select("sample", F.col("total").cast("long").alias("total")), "sample")
+    mean = F.coalesce(F.try_divide(F.col("cds") * F.lit(scale), F.col("total") * F.col("genes") * F.lit(background)), F.lit(0.0))
+    return rows, per.select("sample", "side", "total", mean.alias("mean_rpm"))
+
+
 def with_notes(df: DataFrame, notes: DataFrame, name: str = "name") -> DataFrame:
     """Adds ``gene`` from notes (name, gene), one row a name; ``-`` if there is none."""
     return df.join(notes.select(F.col("name").alias("_n"), "gene"), F.col(name) == F.col("_n"), "left").drop("_n").withColumn("gene", F.coalesce("gene", F.lit("-")))

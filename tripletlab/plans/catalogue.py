@@ -457,7 +457,30 @@ def peak_summary(spark, sf):
     return K.summarise(i, "x").select("name", "island", "start", "end", "covered", *r6("max_value"), "max_pos", *r6("mean_value"))
 
 
-@query()
+# The caller in SQL: filled control, ratio, mean over five positions, islands, the
+# best chain of islands (recursion over islands, then back from the last one), and
+# the t-test of each stretch; the tail of Student's t for whole degrees of freedom
+# is a finite sum.
+_CALL = f"""{LN}, d AS (SELECT name, pos, f0 AS ip, CASE WHEN f1 = 0 THEN avg(f1) OVER (PARTITION BY name) ELSE f1 END AS ck FROM ln),
+ra AS (SELECT name, pos, ip - ck AS diff, coalesce(ip / nullif(ck, 0), 0) AS x, count(*) OVER (PARTITION BY name) AS n FROM d),
+sm AS (SELECT name, pos, diff, (sum(x) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) + greatest(0, 3 - pos) * first_value(x) OVER w + greatest(0, 2 - (n - pos)) * last_value(x) OVER w) / 5 AS smooth FROM ra
+  WINDOW w AS (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+st AS (SELECT name, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY name ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS fresh FROM sm WHERE smooth >= 8),
+isl AS (SELECT name, k, min(pos) AS s, max(pos) AS e, count(*) AS c FROM (SELECT name, pos, sum(fresh) OVER (PARTITION BY name ORDER BY pos) AS k FROM st) GROUP BY name, k),
+isr AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY name ORDER BY k) <= 2 * 3 THEN 0 ELSE 1 END AS fresh, sum(c) OVER (PARTITION BY name ORDER BY k) AS p FROM isl),
+g AS (SELECT name, count(*) AS m, list(s ORDER BY k) AS s, list(e ORDER BY k) AS e, list(c ORDER BY k) AS c, list(p ORDER BY k) AS p, list(r ORDER BY k) AS r FROM (SELECT *, sum(fresh) OVER (PARTITION BY name ORDER BY k) AS r FROM isr) GROUP BY name),
+dp AS (SELECT name, 0 AS j, [0::BIGINT] AS best, []::BIGINT[] AS fr FROM g UNION ALL
+  SELECT name, j + 1, list_append(best, CASE WHEN top // 1000000 > best[j + 1] THEN top // 1000000 ELSE best[j + 1] END), list_append(fr, CASE WHEN top // 1000000 > best[j + 1] THEN top % 1000000 ELSE 0 END)
+  FROM (SELECT dp.*, list_max([CAST((best[i] + p[j + 1] - p[i] + c[i]) * 1000000 + i AS BIGINT) FOR i IN range(1, j + 2) IF r[i] = r[j + 1] AND e[j + 1] - s[i] + 1 >= 3 AND p[j + 1] - p[i] + c[i] >= 0.5 * (e[j + 1] - s[i] + 1)]) AS top FROM dp JOIN g USING (name) WHERE j < m)),
+bt AS (SELECT name, m AS j FROM g UNION ALL SELECT bt.name, CASE WHEN fr[bt.j] > 0 THEN fr[bt.j] - 1 ELSE bt.j - 1 END FROM bt JOIN dp ON dp.name = bt.name JOIN g ON g.name = bt.name AND dp.j = m WHERE bt.j > 0),
+pk AS (SELECT g.name, s[fr[bt.j]] AS start, e[bt.j] AS "end", p[bt.j] - p[fr[bt.j]] + c[fr[bt.j]] AS covered FROM bt JOIN g ON g.name = bt.name JOIN dp ON dp.name = bt.name AND dp.j = m WHERE bt.j > 0 AND fr[bt.j] > 0)"""
+_T_TAIL = """CASE WHEN t IS NULL THEN NULL WHEN v % 2 = 0 THEN 1 - abs(t) / sqrt(v + t * t) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(v / (v + t * t), k) FOR k IN range(0, v // 2)])
+ELSE 1 - 2 / pi() * (atan(abs(t) / sqrt(v)) + abs(t) * sqrt(v) / (v + t * t) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(v / (v + t * t), k) FOR k IN range(0, (v - 1) // 2)]), 0)) END"""
+
+
+@query(f"""WITH RECURSIVE {_CALL}, q AS (SELECT pk.name, start, "end", count(*) AS n, avg(diff) AS md, stddev_samp(diff) AS sd, max(smooth) AS max_value, arg_max(pos, (smooth, -pos)) AS max_pos, avg(smooth) AS mean_value FROM pk JOIN sm ON sm.name = pk.name AND pos BETWEEN start AND "end" GROUP BY ALL),
+t AS (SELECT *, n - 1 AS v, md / nullif(sd / sqrt(n), 0) AS t FROM q), p AS (SELECT *, {_T_TAIL} AS p FROM t), r AS (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, name, start) AS k, count(p) OVER () AS m FROM p)
+SELECT name, start, "end", n, round(max_value, 6) AS max_value, round(mean_value, 6) AS mean_value, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END, 6) AS bhfdr, max_pos FROM r""")
 def peak_detection(spark, sf):
     d = line_density(spark, sf).select("name", "pos", "region", F.col("f1").alias("ck"), F.col("f0").alias("ip"))
     p = K.detect(d, ["ck"], ["ip"], floor=8.0, width=3, share=0.5)
@@ -495,7 +518,14 @@ def odds_ratio_z(spark, sf):
     return C.odds_z(_odds(spark, sf)).select("name", "codon", *r6("z"))
 
 
-@query()
+# Two-sided normal tail of z as 1 - erf(u), u = |z| / sqrt(2): erf as the series of
+# positive terms 2^n u^(2n+1) / (2n+1)!! times 2 exp(-u^2) / sqrt(pi).
+_Z_TAIL = "CASE WHEN u = 0 THEN 1 WHEN u > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-u * u) * list_sum([exp(n * ln(2) + (2 * n + 1) * ln(u) - lgamma(2 * n + 3) + (n + 1) * ln(2) + lgamma(n + 2)) FOR n IN range(0, 150)]) END"
+
+
+@query(f"""WITH {LN0}, {_OD}, z AS (SELECT name, codon, ln(odds) / sqrt(1 / t + 1 / (ts - t) + 1 / c + 1 / (cs - c)) AS z FROM od WHERE t > 0 AND ts - t > 0 AND c > 0 AND cs - c > 0),
+u AS (SELECT *, abs(z) / sqrt(2) AS u FROM z), p AS (SELECT name, codon, z, {_Z_TAIL} AS p FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY codon ORDER BY p, name) AS k, count(*) OVER (PARTITION BY codon) AS n FROM p)
+SELECT name, codon, round(z, 6) AS z, round(p, 6) AS p, round(min(p * n / k) OVER (PARTITION BY codon ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS bh FROM r""")
 def odds_ratio_pvalue(spark, sf):
     return C.odds_pvalues(_odds(spark, sf), ["name"], ["codon"]).select("name", "codon", *r6("z", "p", "bh"))
 
@@ -978,3 +1008,58 @@ def offset_detail_files(spark, sf):
             sinks.write_tsv(g, paths[-1])
     e = tables.offset_ends(tables.read_offset_detail(spark, paths), [-12])
     return e.select("length", F.when(F.col("site") == "tis", "F").otherwise("O").alias("site"), F.col("5p_-12").alias("five"), F.col("3p_-12").alias("three"))
+
+
+# -- ingest -----------------------------------------------------------------------
+
+
+def _wide(spark, sf):
+    """A wide density table of both samples; every position holds counts of one."""
+    return D.long_to_wide(line_density(spark, sf).withColumn("now_nt", F.col("pos")), ["F", "O"])
+
+
+_LONG = f"{LN}, lg AS (SELECT name, pos AS now_nt, from_tis, from_tts, region, codon, s AS sample, CASE WHEN sample = s THEN f0 + f1 + f2 ELSE 0 END AS v FROM ln, (SELECT unnest(['F', 'O']) AS s) WHERE NOT contains(codon, 'N'))"
+_KEPT = "kp AS (SELECT name, now_nt, sample, coalesce(lag(v) OVER (PARTITION BY name, sample ORDER BY now_nt), 0) AS x FROM lg WHERE from_tis >= 1 AND from_tts <= -1)"
+
+
+@query(f"WITH {_LONG}, {_KEPT}, e AS (SELECT name FROM kp GROUP BY name HAVING sum(x) / 2 >= 40) SELECT name, now_nt, sample, CAST(x AS BIGINT) AS x FROM kp WHERE name IN (SELECT name FROM e)")
+def ingest_rows(spark, sf):
+    d = D.ingest(_wide(spark, sf), site="A", minimum=40, tis=1, tts=1)
+    return d.rows.select("name", "now_nt", "sample", "x")
+
+
+@query(f"WITH {_LONG.split(', lg AS')[0]} SELECT sample, CAST(sum(f0 + f1 + f2) AS BIGINT) AS total FROM ln GROUP BY sample")
+def ingest_totals(spark, sf):
+    return D.ingest(_wide(spark, sf), site="A", minimum=40, tis=1, tts=1).totals
+
+
+@query(f"""WITH {_LONG}, {_KEPT}, listed AS (SELECT p_partkey AS name FROM part WHERE p_size % 2 = 0), a AS (SELECT * FROM kp WHERE name IN (SELECT name FROM listed)),
+b0 AS (SELECT name, now_nt, CASE sample WHEN 'F' THEN 'x' ELSE 'y' END AS sample, v AS x FROM lg WHERE from_tis >= 1 AND from_tts <= -1 AND now_nt % 2 = 0 AND name IN (SELECT name FROM listed)),
+ok AS (SELECT name FROM a GROUP BY name HAVING sum(x) / 2 >= 20 INTERSECT SELECT name FROM b0 GROUP BY name HAVING sum(x) / 2 >= 20),
+u AS (SELECT 'ribo' AS assay, sample, name, x FROM a UNION ALL SELECT 'rna', sample, name, x FROM b0) SELECT assay, sample, name, CAST(sum(x) AS BIGINT) AS x FROM u WHERE name IN (SELECT name FROM ok) GROUP BY ALL""")
+def ingest_both_assays(spark, sf):
+    """Ribosome and RNA tables with a gene list; genes that both assays keep."""
+    wide = _wide(spark, sf)
+    rna = wide.where("now_nt % 2 = 0").withColumnsRenamed({f"{s}_f{k}": f"{t}_f{k}" for s, t in ("Fx", "Oy") for k in range(3)})
+    listed = table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("transcript_id"))
+    p = D.ingest_pair(wide, rna, genes=listed, site="A", minimum=20, tis=1, tts=1)
+    each = [x.rows.groupBy("sample", "name").agg(F.sum("x").alias("x")).select(F.lit(n).alias("assay"), "sample", "name", "x") for n, x in (("ribo", p.ribo), ("rna", p.rna))]
+    return each[0].union(each[1])
+
+
+@query(f"WITH {LN}, t AS (SELECT sample, sum(f0 + f1 + f2) AS total, sum(f0 + f1 + f2) FILTER (WHERE region = 'cds') AS cds, (SELECT count(DISTINCT name) FROM ln) AS genes FROM ln GROUP BY sample) SELECT sample, CASE sample WHEN 'F' THEN 'control' ELSE 'pulldown' END AS side, CAST(total AS BIGINT) AS total, round(cds * 1e6 / (total * genes * 30.0), 6) AS mean_rpm FROM t")
+def pulldown_background(spark, sf):
+    return K.pulldown_table(_wide(spark, sf), ["F"], ["O"], background=30.0)[1].select("sample", "side", "total", *r6("mean_rpm"))
+
+
+@query(f"WITH {LN} SELECT name, pos, from_tis, region, CAST(CASE sample WHEN 'F' THEN f0 + f1 + f2 ELSE 0 END AS BIGINT) AS \"F\", CAST(CASE sample WHEN 'O' THEN f0 + f1 + f2 ELSE 0 END AS BIGINT) AS \"O\" FROM ln")
+def pulldown_rows(spark, sf):
+    return K.pulldown_table(_wide(spark, sf), ["F"], ["O"])[0]
+
+
+@query(f"WITH {EV}, i AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY name ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS fresh FROM ev WHERE x > 60), k AS (SELECT *, sum(fresh) OVER (PARTITION BY name ORDER BY pos) AS island FROM i) SELECT CAST(name AS VARCHAR) AS chrom, CAST(min(pos) - 1 AS INT) AS start, CAST(max(pos) AS INT) AS \"end\", name || '_' || min(pos) AS label, round(max(x), 4) AS score FROM k GROUP BY name, island")
+def peak_bed_files(spark, sf):
+    """Peaks as BED text, read back."""
+    path = workspace(spark, "bed")
+    K.write_bed(K.summarise(K.islands(ev(spark, sf).where("x > 60"), 2), "x"), path)
+    return spark.read.csv(path, sep="\t", schema="chrom string, start int, end int, label string, score double")
