@@ -989,6 +989,18 @@ def gff_files(spark, sf):
     return sequences.transcripts(sequences.read_gtf(spark, path)).select("name", "name2", "txStart", "txEnd", "cdsStart", "cdsEnd", F.size("exonStarts").alias("exons"))
 
 
+@query(f"WITH {_MODELS} SELECT name, name2, CASE WHEN plus THEN '+' ELSE '-' END AS strand, 100 AS \"txStart\", 330 + s AS \"txEnd\", CASE WHEN s > 10 THEN 150 ELSE 330 + s END AS \"cdsStart\", CASE WHEN s > 10 THEN 300 + s ELSE 330 + s END AS \"cdsEnd\", 2 AS exons FROM m")
+def gtf_files(spark, sf):
+    """Gene models written as GTF with transcripts and CDS, and read back; models
+    without CDS have it empty at their end."""
+    path = workspace(spark, "gtf")
+    k, s = F.col("p_partkey"), F.col("p_size").cast("int")
+    a, b = F.when(s > 10, F.lit(150)).otherwise(330 + s), F.when(s > 10, 300 + s).otherwise(330 + s)
+    m = table(spark, sf, "part").select(F.concat(F.lit("t"), k).alias("name"), F.concat(F.lit("g"), k % 50).alias("name2"), F.lit("chr1").alias("chrom"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(100).alias("txStart"), (330 + s).alias("txEnd"), a.alias("cdsStart"), b.alias("cdsEnd"), F.array(F.lit(100), F.lit(300)).alias("exonStarts"), F.array(F.lit(200), 330 + s).alias("exonEnds"))
+    sequences.gene_models_to_gtf(m, full=True).write.text(path)
+    return sequences.transcripts(sequences.read_gtf(spark, path)).select("name", "name2", "strand", "txStart", "txEnd", "cdsStart", "cdsEnd", F.size("exonStarts").alias("exons"))
+
+
 @query("SELECT 'o' || p_partkey AS orf, CASE WHEN p_partkey % 2 = 0 THEN 100 ELSE 97 END AS first_start, CASE WHEN p_partkey % 2 = 0 THEN 503 + p_size ELSE 500 + p_size END AS last_end, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size % 3 END AS frame0, CASE WHEN p_partkey % 2 = 0 THEN 31 % 3 ELSE 0 END AS frame1 FROM part")
 def orf_places(spark, sf):
     p = table(spark, sf, "part").select(F.concat(F.lit("o"), "p_partkey").alias("orf"), F.when(F.col("p_partkey") % 2 == 0, "+").otherwise("-").alias("strand"), F.array(F.struct(F.lit(100).alias("start"), F.lit(131).alias("end")), F.struct(F.lit(500).alias("start"), (500 + F.col("p_size").cast("int")).alias("end"))).alias("exons"), (31 + F.col("p_size")).alias("length"))

@@ -157,8 +157,20 @@ def cds_convention(gtf: DataFrame, most: int = 2000) -> DataFrame:
     return cds.agg(*[F.sum(F.when((F.col("n") + s * F.col("k")) % 3 != 0, 1).otherwise(0)).alias(n) for n, s in (("half_open", 0), ("closed", 1), ("open", -1))])
 
 
-def gene_models_to_gtf(models: DataFrame) -> DataFrame:
-    """GTF exon lines of gene models."""
+def gene_models_to_gtf(models: DataFrame, full: bool = False) -> DataFrame:
+    """GTF exon lines of gene models; ``full`` adds a transcript line and the CDS
+    part of each exon (none for a model without CDS)."""
+
+    def line(feature: Column, start: Column, end: Column, extra: Column) -> Column:
+        attr = F.concat(F.format_string('gene_id "%s"; transcript_id "%s";', F.col("name2"), F.col("name")), extra)
+        return F.concat_ws("\t", "chrom", F.lit("models"), feature, (start + 1).cast("string"), end.cast("string"), F.lit("."), "strand", F.lit("."), attr)
+
     x = models.select("*", F.posexplode(F.arrays_zip("exonStarts", "exonEnds")).alias("i", "x"))
-    attr = F.format_string('gene_id "%s"; transcript_id "%s"; exon_number "%d";', F.col("name2"), F.col("name"), F.col("i") + 1)
-    return x.select(F.concat_ws("\t", "chrom", F.lit("models"), F.lit("exon"), (F.col("x.exonStarts") + 1).cast("string"), F.col("x.exonEnds").cast("string"), F.lit("."), "strand", F.lit("."), attr).alias("value"))
+    start, end, number = F.col("x.exonStarts"), F.col("x.exonEnds"), F.format_string(' exon_number "%d";', F.col("i") + 1)
+    exon = line(F.lit("exon"), start, end, number)
+    if not full:
+        return x.select(exon.alias("value"))
+    low, high = F.greatest(start, F.col("cdsStart")), F.least(end, F.col("cdsEnd"))
+    whole = F.when(F.col("i") == 0, line(F.lit("transcript"), F.col("txStart"), F.col("txEnd"), F.lit("")))
+    lines = F.array(whole, exon, F.when(low < high, line(F.lit("CDS"), low, high, number)))
+    return x.select(F.explode(F.filter(lines, lambda v: v.isNotNull())).alias("value"))
