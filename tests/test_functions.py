@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +97,10 @@ def test_scales_and_fit(spark):
     pts = spark.createDataFrame([(float(m), math.sqrt(2) * math.log2(3.0 / m + 1.2)) for m in range(1, 80)], "m double, c double")
     a, b = stats.fit_log_curve(pts, "m", "c")
     assert a == pytest.approx(1.2, abs=1e-3) and b == pytest.approx(3.0, abs=1e-2)
+
+
+def test_beta_of_arrays():
+    r = np.random.default_rng(1)
+    a, x = np.concatenate([r.integers(1, 400, 500) / 2, [1, 2, 3]]), np.concatenate([r.random(500) ** r.integers(1, 9, 500), [0.0, 1.0, 1.5]])
+    assert stats.beta_incs(a, 0.5, x).tolist() == pytest.approx([stats.beta_inc(p, 0.5, q) for p, q in zip(a.tolist(), x.tolist())], rel=1e-12, abs=1e-15)
+    assert len(stats.beta_incs(a[:0], 0.5, x[:0])) == 0

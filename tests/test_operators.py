@@ -142,6 +142,30 @@ def test_chain_of_a_very_long_gene():
     assert peaks.chain(rows, 5, 0.9, 2) == []
 
 
+def test_chains_take_no_call_per_gene(spark):
+    r, rows = random.Random(5), []
+    for g in range(300):
+        x = 0
+        for _ in range(r.randint(1, 40 if g else 4000)):  # runs end within batches, at their ends, and go over several
+            x += r.randint(1, 14 if g else 6)
+            e = x + r.randint(0, 7)
+            rows.append((f"g{g}" if g % 50 else None if g else "long", x, e, r.randint(1, e - x + 1)))
+            x = e + 1
+    d = spark.createDataFrame(r.sample(rows, len(rows)), "name string, start long, end long, covered long")
+    best = peaks.best_chain(d, width=5, share=0.6, gap=2)
+    assert "FlatMapGroups" not in best._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for n, *x in rows:
+        by.setdefault(n, []).append(tuple(x))
+    del by[None]  # several genes in one
+    want = sorted((n, *c) for n, v in by.items() for c in peaks.chain(v, 5, 0.6, 2))
+    for size in ("7", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted(tuple(x) for x in best.where("name IS NOT NULL").collect()) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert best.where("false").count() == 0
+
+
 def test_pairs_of_assays(spark):
     wide = lambda *s: spark.createDataFrame([("a", 1, 0, -5, "cds", "ATG", *[2] * (3 * len(s)))], "name string, now_nt int, from_tis int, from_tts int, region string, codon string, " + ", ".join(f"{x}_f{k} int" for x in s for k in range(3)))
     p = density.ingest_pair(wide("r1", "r2"), wide("m1", "m2"))
