@@ -166,6 +166,21 @@ def test_chains_take_no_call_per_gene(spark):
     assert best.where("false").count() == 0
 
 
+def test_parts_grow_with_the_input(spark, tmp_path):
+    from tripletlab.functions.tables import dealt
+    from tripletlab.plans import catalogue
+
+    spark.range(20_000).selectExpr("id % 500 AS name", "id AS x").coalesce(1).write.parquet(f"{tmp_path}/t")
+    d = spark.read.parquet(f"{tmp_path}/t")
+    mb = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")) / 1e6
+    few, many = (dealt(d, "name", mb / k) for k in (9.5, 95))
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (10, 95)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, d.collect()))
+    assert dealt(d, "name", mb) is d
+    wide = catalogue._wide(spark, "/root/testdata/sf0.001")
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # windows and groups share it
+
+
 def test_pairs_of_assays(spark):
     wide = lambda *s: spark.createDataFrame([("a", 1, 0, -5, "cds", "ATG", *[2] * (3 * len(s)))], "name string, now_nt int, from_tis int, from_tts int, region string, codon string, " + ", ".join(f"{x}_f{k} int" for x in s for k in range(3)))
     p = density.ingest_pair(wide("r1", "r2"), wide("m1", "m2"))

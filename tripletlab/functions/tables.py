@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -32,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, mb: float = 4.0) -> DataFrame:
+    """``df`` dealt out by ``key`` in parts of about ``mb`` of what its plan reads,
+    for windows and groups by key that hold much more than they read.  The number
+    of parts grows with the input; Spark would keep its own number, or join parts by
+    their compressed size.  Less than four parts are left to Spark."""
+    spark = df.sparkSession
+    parts = math.ceil(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / (mb * 1e6))
+    return df if parts < 4 else df.repartition(max(parts, spark.sparkContext.defaultParallelism), key)
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, marked for broadcast only if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

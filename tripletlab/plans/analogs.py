@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripletlab.functions.tables import dealt
+
 LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -19,10 +21,16 @@ def _regions(df: DataFrame) -> DataFrame:
     return df.withColumn("region", F.when(F.col("from_tis") < 0, "5utr").when(F.col("from_tts") > 0, "3utr").otherwise("cds"))
 
 
+def _ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``key`` as name, and pos = rank within it.  The name comes before the deal, so
+    that all windows and groups by name after it stay in its parts."""
+    w = Window.partitionBy("name").orderBy(*order)
+    return dealt(df.withColumnRenamed(key, "name"), "name").withColumn("pos", F.row_number().over(w).cast("long"))
+
+
 def events_density(spark: SparkSession, sf: str) -> DataFrame:
     """name = user, pos = rank in time, codon = event type, x = value."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = table(spark, sf, "events").select(F.col("user_id").alias("name"), F.row_number().over(w).cast("long").alias("pos"), F.col("event_type").alias("codon"), F.col("value").alias("x"))
+    d = _ranked(table(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("name", "pos", F.col("event_type").alias("codon"), F.col("value").alias("x"))
     return _regions(d)
 
 
@@ -36,9 +44,8 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_density(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("l_partkey").orderBy(*LINE_ORDER)
-    d = table(spark, sf, "lineitem").select(
-        F.col("l_partkey").alias("name"), F.row_number().over(w).cast("long").alias("pos"), F.col("l_linestatus").alias("sample"), F.concat("l_returnflag", "l_linestatus").alias("codon"),
+    d = _ranked(table(spark, sf, "lineitem"), "l_partkey", LINE_ORDER).select(
+        "name", "pos", F.col("l_linestatus").alias("sample"), F.concat("l_returnflag", "l_linestatus").alias("codon"),
         F.col("l_quantity").cast("long").alias("f0"), F.round(F.col("l_discount") * 100).cast("long").alias("f1"), F.round(F.col("l_tax") * 100).cast("long").alias("f2"),
     )
     return _regions(d)
