@@ -181,6 +181,14 @@ def test_parts_grow_with_the_input(spark, tmp_path):
     assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # windows and groups share it
 
 
+def test_kept_genes_are_not_computed_twice(spark):
+    d = spark.createDataFrame([("a", "s", 5), ("a", "t", 3), ("b", "s", 7), (None, "s", 99)], "name string, sample string, x long")
+    k = density.expressed(d, 4, n_samples=2)
+    assert {tuple(r) for r in k.collect()} == {("a", "s", 5), ("a", "t", 3)} and k.columns == d.columns
+    assert {tuple(r) for r in density.expressed(d, 4).collect()} == {("a", "s", 5), ("a", "t", 3), ("b", "s", 7)}
+    assert "Join" not in k._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_of_assays(spark):
     wide = lambda *s: spark.createDataFrame([("a", 1, 0, -5, "cds", "ATG", *[2] * (3 * len(s)))], "name string, now_nt int, from_tis int, from_tts int, region string, codon string, " + ", ".join(f"{x}_f{k} int" for x in s for k in range(3)))
     p = density.ingest_pair(wide("r1", "r2"), wide("m1", "m2"))

@@ -66,10 +66,14 @@ def totals(df: DataFrame, value: str = "x", by: str = "sample") -> DataFrame:
 
 
 def expressed(df: DataFrame, minimum: float, value: str = "x", name: str = "name", sample: str = "sample", n_samples: int | None = None) -> DataFrame:
-    """Rows of genes whose sum, averaged over samples, reaches ``minimum``."""
+    """Rows of genes whose sum, averaged over samples, reaches ``minimum``.  Where
+    the number of samples is known, the sum comes by a window beside the rows, which
+    are then not computed twice."""
+    if n_samples is not None:
+        d = df.where(F.col(name).isNotNull()).withColumn("_s", F.sum(value).over(Window.partitionBy(name)))
+        return d.where(F.col("_s") / n_samples >= minimum).drop("_s")
     per = df.groupBy(name).agg(F.sum(value).alias("s"), F.count_distinct(sample).alias("k"))
-    n = F.col("k") if n_samples is None else F.lit(n_samples)
-    return df.join(per.where(F.col("s") / n >= minimum).select(name), name, "left_semi")
+    return df.join(per.where(F.col("s") / F.col("k") >= minimum).select(name), name, "left_semi")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -130,7 +134,7 @@ def ingest_pair(ribo: DataFrame, rna: DataFrame, pairs: list[tuple[str, str]] |
     b = ingest(rna, genes, "P", "all", minimum, tis, tts)
     if pairs is None and len(a.samples) != len(b.samples):
         raise ValueError(f"{len(a.samples)} ribo and {len(b.samples)} rna samples: name the pairs")
-    both = a.rows.select("name").intersect(b.rows.select("name"))
+    both = a.rows.select("name").intersect(b.rows.select("name")).repartition("name")  # one exchange, which both results read
     keep = lambda x: Ingest(x.rows.join(both, "name", "left_semi"), x.totals, x.samples)
     return IngestPair(keep(a), keep(b), pairs or list(zip(a.samples, b.samples)))
 
